@@ -23,6 +23,7 @@ import heapq
 import json
 import re
 import unicodedata
+import uuid
 from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -195,18 +196,19 @@ def broadcast_codec(spark: SparkSession, path: str):
     whatever the input's. Only the driver reads the path."""
     spec = load_spec(path)
     small = {"added_tokens": spec["added_tokens"], "model": {k: spec["model"][k] for k in ("vocab", "merges")}}
-    return spark.sparkContext.broadcast((small, *unicode_exceptions(path)))
+    return uuid.uuid4().hex, spark.sparkContext.broadcast((small, *unicode_exceptions(path)))
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def worker_codec(shared) -> Codec:
     """One codec per Python worker, kept between tasks."""
-    if shared.id not in _codecs:
+    token, content = shared
+    if token not in _codecs:
         _codecs.clear()
-        _codecs[shared.id] = Codec(*shared.value)
-    return _codecs[shared.id]
+        _codecs[token] = Codec(*content.value)
+    return _codecs[token]
 
 
 def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
