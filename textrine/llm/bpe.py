@@ -26,6 +26,7 @@ import unicodedata
 import uuid
 from itertools import chain, islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,8 +214,6 @@ def worker_codec(shared) -> Codec:
 
 def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``df`` with an array of token ids of ``text``; all columns stay."""
-    import pandas as pd
-
     shared = broadcast_codec(df.sparkSession, path)
 
     @F.pandas_udf("array<int>")
@@ -227,8 +226,6 @@ def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "toke
 
 def decode_column(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``df`` with the decoded text of an array of token ids."""
-    import pandas as pd
-
     shared = broadcast_codec(df.sparkSession, path)
 
     @F.pandas_udf("string")

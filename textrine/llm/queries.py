@@ -13,7 +13,22 @@ def op8_bpe(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    from textrine.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_fm(spark, sf_dir):
+    from textrine.llm.quality_fm import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op6_quality_rules": op6_quality_rules,
+    "op7_quality_fm": op7_quality_fm,
     "op8_bpe": op8_bpe,
 }
 
