@@ -97,7 +97,7 @@ def features(x: pd.DataFrame) -> np.ndarray:
         0.05 + x["n_symbols"] / words,
         np.maximum(0.10, x["n_upper"] / chars),
         0.05 + x["n_bangs"] / words,
-        0.05 + x["n_echoes"] / words,
+        np.maximum(0.10, x["n_echoes"] / words),
     ]).astype(float))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textrine.llm import line_dedup
 from textrine.llm.common import table
 
 
@@ -13,6 +14,18 @@ def op8_bpe(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_sharding(spark, sf_dir):
+    from textrine.llm.sharding import place
+
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
+
+
+def op4_line_dedup(spark, sf_dir):
+    from textrine.llm.line_dedup import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark, sf_dir):
     from textrine.llm.quality_rules import judge
 
@@ -26,10 +39,21 @@ def op7_quality_fm(spark, sf_dir):
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_near_dup(spark, sf_dir):
+    from textrine.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_fm": op7_quality_fm,
     "op8_bpe": op8_bpe,
+    "op9_near_dup": op9_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+}
