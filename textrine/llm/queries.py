@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textrine.llm import line_dedup
+from textrine.llm import decontam, line_dedup
 from textrine.llm.common import table
 
 
@@ -26,6 +26,12 @@ def op4_line_dedup(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark, sf_dir):
+    from textrine.llm.decontam import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark, sf_dir):
     from textrine.llm.quality_rules import judge
 
@@ -48,6 +54,7 @@ def op9_near_dup(spark, sf_dir):
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_fm": op7_quality_fm,
     "op8_bpe": op8_bpe,
@@ -56,4 +63,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_decontamination": decontam.ORACLE,
 }
