@@ -51,6 +51,12 @@ def op9_near_dup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    from textrine.llm.suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_line_dedup": op4_line_dedup,
@@ -59,6 +65,7 @@ QUERIES = {
     "op7_quality_fm": op7_quality_fm,
     "op8_bpe": op8_bpe,
     "op9_near_dup": op9_near_dup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
