@@ -14,12 +14,24 @@ def op8_bpe(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_license_scan(spark, sf_dir):
+    from textrine.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark, sf_dir):
     from textrine.llm.sharding import place
 
     return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
 
+def op3_html_extraction(spark, sf_dir):
+    from textrine.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark, sf_dir):
     from textrine.llm.line_dedup import digests
 
@@ -58,7 +70,9 @@ def op10_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
+    "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
