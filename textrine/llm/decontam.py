@@ -137,59 +137,94 @@ def item_sets(benchmark: DataFrame) -> DataFrame:
 _index: dict[str, Index] = {}
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment of every contaminated pair."""
+def item_blocks(benchmark: DataFrame):
+    """The benchmark's items in blocks of about BLOCK_SHINGLES shingles."""
     sets = item_sets(benchmark)
     total = sets.agg(F.sum(F.size("set")).alias("n")).first()["n"] or 0
     blocks = -(-total // BLOCK_SHINGLES)
-    parts = []
     for block in range(blocks):
         rows = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        parts.append(search(docs, [(r.item_id, r.words, np.array(r.set, np.int64).view(np.uint64)) for r in rows]))
+        yield [(r.item_id, r.words, np.array(r.set, np.int64).view(np.uint64)) for r in rows]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment of every contaminated pair."""
     schema = "doc_id long, item_id long, n_shared long, n_item long"
+    parts = [search(docs, items) for items in item_blocks(benchmark)]
     found = reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def searcher(spark, items: list[tuple[int, int, np.ndarray]]):
+    """A function from texts to (text number, item, n_shared, n_item), for use on executors."""
+    token, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+
+    def find(texts: list[str | None], cache: WordHashes):
+        if token not in _index:
+            _index.clear()
+            _index[token] = Index(shared.value)
+        index = _index[token]
+        look = cache.__getitem__
+        for a, b in slices([len(t or "") for t in texts], PART):
+            lists = [np.array(list(map(look, text_words(t))), np.uint64) for t in texts[a:b]]
+            hashes, offsets = windows_of(lists, WORDS)
+            pairs = index.candidates(hashes, offsets)
+            shingles = {WORDS: (hashes, offsets)}
+            for n in index.small:
+                shingles.setdefault(n, windows_of(lists, n))
+                pairs |= index.small_candidates(*shingles[n], n)
+            for t, k in sorted(pairs):
+                item, words, wanted = index.items[k]
+                h, o = shingles[words]
+                n = int(np.isin(wanted, h[o[t] : o[t + 1]]).sum())
+                if 100 * n >= PERCENT * len(wanted):
+                    yield a + t, item, n, len(wanted)
+
+    return find
+
+
 def search(docs: DataFrame, items: list[tuple[int, int, np.ndarray]]) -> DataFrame:
     """One pass over the documents for one block of items; no shuffle."""
     import pyarrow as pa
 
-    token, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)
+    find = searcher(docs.sparkSession, items)
 
     def run(batches):
-        if token not in _index:
-            _index.clear()
-            _index[token] = Index(shared.value)
-        index, cache = _index[token], WordHashes()
-        look = cache.__getitem__
+        cache = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[tuple] = []
-            for a, b in slices([len(t or "") for t in texts], PART):
-                lists = [np.array(list(map(look, text_words(t))), np.uint64) for t in texts[a:b]]
-                hashes, offsets = windows_of(lists, WORDS)
-                pairs = index.candidates(hashes, offsets)
-                shingles = {WORDS: (hashes, offsets)}
-                for n in index.small:
-                    shingles.setdefault(n, windows_of(lists, n))
-                    pairs |= index.small_candidates(*shingles[n], n)
-                for t, k in sorted(pairs):
-                    item, words, wanted = index.items[k]
-                    h, o = shingles[words]
-                    n = int(np.isin(wanted, h[o[t] : o[t + 1]]).sum())
-                    if 100 * n >= PERCENT * len(wanted):
-                        out.append((ids[a + t], item, n, len(wanted)))
+            ids = batch.column(0).to_pylist()
+            out = [(ids[t], *rest) for t, *rest in find(batch.column(1).to_pylist(), cache)]
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_item"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
 
 
+def without(docs: DataFrame, items: list[tuple[int, int, np.ndarray]]) -> DataFrame:
+    """The rows in whose text no item of the block is found."""
+    import pyarrow as pa
+
+    find, at = searcher(docs.sparkSession, items), docs.columns.index("text")
+
+    def run(batches):
+        cache = WordHashes()
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[t for t, *_ in find(batch.column(at).to_pylist(), cache)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def filter_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no test item contaminates, with their columns."""
-    found = matches(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """The rows of ``docs`` that no test item contaminates, with their columns.
+
+    Rows pass through the search itself, so that no text is shuffled and rows
+    that share an id are judged by their own text.
+    """
+    for items in item_blocks(benchmark):
+        docs = without(docs, items)
+    return docs
 
 
 ORACLE = """
