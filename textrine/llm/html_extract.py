@@ -178,7 +178,8 @@ class Vectors:
                     known.clear()
                 f = known[w] = bucket(w.strip(".,:;!?()\"'"), WORD_DIM)
             out[PATH_DIM + f[0]] += f[1]
-        out[PATH_DIM : PATH_DIM + WORD_DIM] /= max(1.0, len(words) ** 0.5) * 2
+        bag = out[PATH_DIM : PATH_DIM + WORD_DIM]
+        np.clip(bag / (max(1.0, len(words) ** 0.5) * 2), -1, 1, out=bag)
         stops = text.count(".") + text.count("!") + text.count("?")
         out[PATH_DIM + WORD_DIM :] = (
             np.log1p(len(words)) / 3, np.log1p(len(text)) / 5, min(1.0, linked / max(1, len(text))), min(2.0, 8 * stops / max(1, len(words))),

@@ -52,6 +52,16 @@ def sentence(r: random.Random, n: int) -> str:
 
 
 def prose(r: random.Random, longest: int = 4) -> str:
+    x = r.random()
+    if x < 0.05:  # the same word or few words again and again
+        some = [word(r) for _ in range(r.randint(1, 4))]
+        return " ".join(w.capitalize() if r.random() < 0.5 else w for w in some for _ in range(r.randint(1, 60)))
+    if x < 0.12:  # words that are usual in boilerplate, in any text
+        return " ".join(r.choice(r.choice(list(PHRASES.values()))) if r.random() < 0.5 else word(r) for _ in range(r.randint(1, 14))) + r.choice((".", "", "!"))
+    if x < 0.16:  # numbers, keys and signs
+        return " ".join(r.choice((word(r), str(r.randrange(10**12)), f"{r.randrange(256)}.{r.randrange(256)}.1.2", "|", "###", "%%%", f"{word(r)}@{word(r)}.com", "license version 3 gnu")) for _ in range(r.randint(1, 25)))
+    if x < 0.2:
+        return " ".join(word(r).upper() + "!!" for _ in range(r.randint(1, 40)))
     return " ".join(sentence(r, r.choice((1, 2, 4, 8, 12, 18, 30))) for _ in range(r.randint(1, longest)))
 
 
@@ -208,7 +218,7 @@ def backward(x, mask, w, u, state, dh_out):
     return x.reshape(-1, INPUT).T @ flat, h[:-1].reshape(-1, HIDDEN).T @ flat, flat.sum(0)
 
 
-def train(pages: int = 3000, epochs: int = 6, seed: int = 3) -> dict[str, np.ndarray]:
+def train(pages: int = 12_000, epochs: int = 8, seed: int = 3) -> dict[str, np.ndarray]:
     data = examples(pages, seed)
     w = initial(seed)
     m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
