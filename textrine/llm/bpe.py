@@ -252,7 +252,7 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text: str =
         name = [str(i) for i in range(max(codec.pieces) + 1)]
         for batch in batches:
             n_tokens, ids_sha, text_sha = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in map(lambda t: t.as_py(), batch.column(1)):
                 count, of_ids, of_text, tail = 0, hashlib.sha256(), hashlib.sha256(), b""
                 for ids in codec.blocks(text or ""):
                     if not ids:

@@ -8,16 +8,16 @@ cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only used where the session names no checkpoint folder (unit tests).
 LOCAL_SCRATCH = "/tmp/checkpoints/textrine"
 
 #: Distinct words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 GOLD = 0x9E3779B97F4A7C15
 
@@ -160,5 +160,32 @@ def slices(sizes, most: int):
         yield lo, len(sizes)
 
 
-def crc32_of_id(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
+def text_slices(column, most: int):
+    """(from, to, texts) of an Arrow string column, about ``most`` bytes at a time."""
+    import pyarrow.compute as pc
+
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+        yield a, b, column[a:b].to_pylist()
+
+
+#: A set of hashed numbers as one bit each: 16 MB, whatever the set's size.
+BITMAP_BITS = 27
+
+
+def bitmap_of(df: DataFrame, column: str):
+    """Broadcast bitmap of the top bits of a column of longs.
+
+    Its size is fixed; what passes ``in_bitmap`` by chance must be harmless or
+    dropped by a later join.
+    """
+    bit = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
+    rows = df.select((bit / 32768).cast("long").alias("b"), (bit % 32768).alias("i")).groupBy("b").agg(F.bitmap_construct_agg("i").alias("bits"))
+    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for r in rows.toLocalIterator():
+        bits[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return df.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bitmap(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    i = numbers.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return ((bits[(i >> np.uint64(3)).astype(np.int64)] >> (i & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)

@@ -32,13 +32,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import WordHashes, distinct_per_text, shingle_hashes, slices, text_words
+from textrine.llm.common import WordHashes, distinct_per_text, shingle_hashes, text_slices, text_words
 
 WORDS, PERCENT = 5, 75
 SYMBOLS, SMALL = 48, 8
 #: Shingles of items that are broadcast at once: 8 bytes each, and as many for signatures.
 BLOCK_SHINGLES = 1_000_000
-PART = 3_000_000
+PART = 1_500_000
 
 _rng = np.random.default_rng(5)
 XORS = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -156,17 +156,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def searcher(spark, items: list[tuple[int, int, np.ndarray]]):
-    """A function from texts to (text number, item, n_shared, n_item), for use on executors."""
+    """A function from an Arrow column of texts to (text number, item, n_shared, n_item), for use on executors."""
     token, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
 
-    def find(texts: list[str | None], cache: WordHashes):
+    def find(column, cache: WordHashes):
         if token not in _index:
             _index.clear()
             _index[token] = Index(shared.value)
         index = _index[token]
         look = cache.__getitem__
-        for a, b in slices([len(t or "") for t in texts], PART):
-            lists = [np.array(list(map(look, text_words(t))), np.uint64) for t in texts[a:b]]
+        for a, _, texts in text_slices(column, PART):
+            lists = [np.array(list(map(look, text_words(t))), np.uint64) for t in texts]
             hashes, offsets = windows_of(lists, WORDS)
             pairs = index.candidates(hashes, offsets)
             shingles = {WORDS: (hashes, offsets)}
@@ -193,7 +193,7 @@ def search(docs: DataFrame, items: list[tuple[int, int, np.ndarray]]) -> DataFra
         cache = WordHashes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out = [(ids[t], *rest) for t, *rest in find(batch.column(1).to_pylist(), cache)]
+            out = [(ids[t], *rest) for t, *rest in find(batch.column(1), cache)]
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_item"])
 
@@ -210,7 +210,7 @@ def without(docs: DataFrame, items: list[tuple[int, int, np.ndarray]]) -> DataFr
         cache = WordHashes()
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            keep[[t for t, *_ in find(batch.column(at).to_pylist(), cache)]] = False
+            keep[[t for t, *_ in find(batch.column(at), cache)]] = False
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import Scratch, mix64
+from textrine.llm.common import Scratch, bitmap_of, in_bitmap, mix64, text_slices
 
 LENGTH, GRAM = 400, 32
 #: Batches that documents are dealt to by a hash, whatever their number.
@@ -52,7 +52,6 @@ BATCHES = 4
 PART = 1 << 21
 #: Classes of one key that a task compares in memory.
 GROUP = 20_000
-BITMAP_BITS = 27
 
 _rng = np.random.default_rng(400)
 _TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -111,6 +110,13 @@ def parts(raws: list[bytes]):
         yield group
 
 
+def groups_of(column):
+    """The same groups for an Arrow column, with the column's row numbers."""
+    for a, _, texts in text_slices(column, 4 * PART):
+        for group in parts([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
+            yield [(a + row, at, piece) for row, at, piece in group]
+
+
 def anchors(group):
     """Entries of a group as arrays: row, anchor, first and last window (in the text), key, span hash, and the buffer with each entry's place."""
     hs = hasher()
@@ -150,9 +156,8 @@ def entries(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             did, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for group in parts(raws):
+            for group in groups_of(batch.column(2)):
                 row, at, p1, p2, key, span, _, _ = anchors(group)
                 columns = [key.view(np.int64), did[row], th[row], at.astype(np.int32), (at - p1).astype(np.int32), (p2 - p1 + 1).astype(np.int32), span.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "did", "th", "at", "o", "n", "span"])
@@ -201,28 +206,19 @@ class IndexFamily:
 def spans_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Entries (with the bytes that they span) whose key may be in ``wanted``.
 
-    The keys go to the text pass as a bitmap of 2^BITMAP_BITS bits, 16 MB at any
-    size; what passes by chance is dropped by the join that follows.
+    The keys go to the text pass as a bitmap of fixed size; what passes by chance is dropped by the join that follows.
     """
     import pyarrow as pa
 
-    shift = 64 - BITMAP_BITS
-    bit = F.shiftrightunsigned(F.col("key"), shift)
-    rows = wanted.select((bit / 32768).cast("long").alias("b"), (bit % 32768).alias("i")).groupBy("b").agg(F.bitmap_construct_agg("i").alias("bits")).toLocalIterator()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for r in rows:
-        bitmap[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = bitmap_of(wanted, "key")
 
     def run(batches):
         bits = shared.value
         for batch in batches:
-            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             did, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for group in parts(raws):
+            for group in groups_of(batch.column(2)):
                 row, at, p1, p2, key, span, buf, begin = anchors(group)
-                i = key >> np.uint64(shift)
-                ok = np.flatnonzero((bits[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1)
+                ok = np.flatnonzero(in_bitmap(bits, key))
                 raw = buf.tobytes()
                 for some in np.array_split(ok, len(ok) // 8192 + 1):
                     size = (p2 - p1)[some] + LENGTH
@@ -248,6 +244,8 @@ def window_hashes(raws: list[bytes], keys: np.ndarray, offsets: np.ndarray):
 
 def runs_of(of: np.ndarray, w: np.ndarray):
     """Maximal runs of consecutive windows as (span, first, last)."""
+    if not len(of):
+        return of, w, w
     fresh = np.ones(len(of), bool)
     fresh[1:] = (of[1:] != of[:-1]) | (w[1:] != w[:-1] + 1)
     first = np.flatnonzero(fresh)
