@@ -21,12 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import CACHE_WORDS, WordHashes, slices
+from textrine.llm.common import CACHE_WORDS, WordHashes, text_slices
 from textrine.llm.quality_rules import rule_counts
 
 FIT_ROWS = 8_000
 BUCKETS, RANK, EPOCHS, BATCH, SEED = 1 << 13, 8, 8, 128, 5
 RATE, DECAY = 0.02, 1e-4
+#: Steps at least, where the labelled rows are few.
+STEPS = 250
 CUT = 0.7
 
 
@@ -102,7 +104,7 @@ class FactorisationMachine:
         m = {k: 0.0 for k in "0wv"}
         s = {k: 0.0 for k in "0wv"}
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(y)))):
             order = rng.permutation(len(y))
             for i in range(0, len(y), BATCH):
                 rows = np.sort(order[i : i + BATCH])
@@ -197,10 +199,9 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     def run(batches):
         buckets, cache, fm = Buckets(), WordHashes(), shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = np.zeros(len(texts))
-            for a, b in slices([len(t or "") + 64 for t in texts], 4_000_000):
-                out[a:b] = fm.logits(b - a, *vectors(texts[a:b], buckets, cache))
+            out = np.zeros(batch.num_rows)
+            for a, b, texts in text_slices(batch.column(1), 2_000_000):
+                out[a:b] = fm.logits(b - a, *vectors(texts, buckets, cache))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
