@@ -85,20 +85,24 @@ def runs(marked: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``, and _n_lines, _n_removed, _n_runs."""
     found = runs(repeated_windows(line_arrays(docs), k, window))
-    keyed = docs.withColumn("did", F.coalesce(F.col("doc_id"), F.lit(FIRST_ID))).withColumn("th", F.xxhash64("text"))
-    joined = keyed.join(found, ["did", "th"], "left").withColumn("_ls", F.split("text", "\n"))
+    # the row goes along as one struct, so that its columns may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id"), F.lit(FIRST_ID)).alias("did"), F.xxhash64("text").alias("th"))
+    joined = keyed.join(found, ["did", "th"], "left").withColumn("ls", F.split("row.text", "\n"))
     gaps = F.expr("""transform(sequence(0, size(runs)), i -> struct(
-        if(i = 0, 0, runs[i - 1].b + 1) AS a, if(i = size(runs), size(_ls), runs[i].a) AS b))""")
-    cut = F.expr("array_join(flatten(transform(_gaps, x -> slice(_ls, x.a + 1, x.b - x.a))), '\n')")
+        if(i = 0, 0, runs[i - 1].b + 1) AS a, if(i = size(runs), size(ls), runs[i].a) AS b))""")
+    cut = F.expr("array_join(flatten(transform(gaps, x -> slice(ls, x.a + 1, x.b - x.a))), '\n')")
     removed = F.expr("aggregate(runs, 0, (n, r) -> n + r.b - r.a + 1)")
-    return (
-        joined.withColumn("_gaps", gaps)
-        .withColumn("_n_lines", F.coalesce(F.size("_ls"), F.lit(0)).cast("long") * F.when(F.col("text").isNull(), 0).otherwise(1))
-        .withColumn("_n_removed", F.coalesce(removed, F.lit(0)).cast("long"))
-        .withColumn("_n_runs", F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("long"))
-        .withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(cut))
-        .select(*docs.columns, "_n_lines", "_n_removed", "_n_runs")
+    done = joined.withColumn("gaps", gaps).select(
+        "row",
+        F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(cut).alias("text"),
+        F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls")).cast("long").alias("n_lines"),
+        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("long").alias("n_runs"),
     )
+    return done.select(
+        *(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns),
+        F.col("n_lines").alias("_n_lines"), F.col("n_removed").alias("_n_removed"), F.col("n_runs").alias("_n_runs"),
+    )
 
 
 def digests(docs: DataFrame) -> DataFrame:
