@@ -380,3 +380,16 @@ def dedup(docs: DataFrame, batches: int = BATCHES, group: int = GROUP, with_byte
             yield pa.RecordBatch.from_pydict(columns)
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
+w AS (SELECT doc_id, p, md5(b[p : p + 399]) AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d WHERE octet_length(b) >= 400)),
+m AS (SELECT doc_id, p, p + 399 AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+s AS (SELECT doc_id, p, q, CASE WHEN p > coalesce(max(q) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -9) + 1 THEN p END AS f FROM m),
+r AS (SELECT doc_id, a, max(q) AS z FROM (SELECT doc_id, q, last_value(f IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p) AS a FROM s) GROUP BY doc_id, a),
+g AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a + 1) AS BIGINT) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(CASE WHEN spans IS NULL THEN b ELSE list_reduce(list_transform(range(0, spans + 1), lambda i: b[CASE WHEN i = 0 THEN 1 ELSE z[i] + 1 END : CASE WHEN i = spans THEN octet_length(b) ELSE a[i + 1] - 1 END]), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
