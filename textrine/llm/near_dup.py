@@ -12,12 +12,17 @@ words: the whole sequence). Two documents are linked if 100 * intersection >=
    most one wrong symbol, so enumerating "all but one symbol" of each chunk as
    join keys finds every such pair: DISTANCE = 19 of 40. A pair of similarity
    0.75 differs in 10 on average, and one without any common key has a
-   probability of 2e-6 (farther pairs that meet are kept up to LOOSE symbols).
-3. Groups are not paired with themselves. First each key's members meet the
-   key's smallest id only; confirmed links make components. Then only members
-   of one key that are still in different components are compared, in the
-   join's own filter, and what passes is confirmed. Hot keys are counted before
-   they are shuffled.
+   probability of 2e-6 (farther pairs that meet are kept up to LOOSE symbols;
+   a pair of similarity 0.75 is farther with a probability of 1e-5).
+3. Groups are not paired with themselves. First each key's members meet one
+   member only, the one that shares most keys; confirmed links make components.
+   For some turns, members outside a key's largest component meet one member of
+   it, another for each key and turn. What is then still apart is compared by
+   pairs, but only documents that can have a link: those of whose shingles
+   enough occur in any other document that is left, and only pairs that share a
+   rare shingle or whose counts of frequent ones allow the similarity. A text
+   with many changes of its own, of which a group of copies may have thousands,
+   falls out here unpaired. Hot keys are counted before they are shuffled.
 4. Components by label propagation with pointer jumping; nothing is collected.
 
 Defined results: null and empty texts and texts without words have an empty
@@ -32,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import Scratch, WordHashes, batch_shingles, distinct_per_text, mix64, slices
+from textrine.llm.common import Scratch, WordHashes, batch_shingles, bitmap_of, distinct_per_text, in_bitmap, mix64, text_slices
 
 WORDS, PERCENT = 5, 75
 CHUNKS, CHUNK, BITS = 10, 4, 14
@@ -40,10 +45,14 @@ SYMBOLS = CHUNKS * CHUNK
 #: Symbols lie PER to a long, STEP bits apart: a spare bit each, and no sign bit.
 PER, STEP = 4, BITS + 1
 DISTANCE = 2 * CHUNKS - 1
-LOOSE = 26
+LOOSE = 22
+#: Turns of comparing with one member of a component before all members are.
+TURNS = 1
+#: Shingles that at most so many documents have, among those left, make pairs by themselves.
+RARE = 8
 LANES = SYMBOLS // PER
 #: Bytes of text whose shingles are in memory at once (and one text, if longer).
-PART = 3_000_000
+PART = 1_500_000
 
 _rng = np.random.default_rng(20240229)
 XORS = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -69,9 +78,8 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], PART):
-                values, offsets = distinct_per_text(*batch_shingles(texts[a:b], cache, WORDS))
+            for a, b, texts in text_slices(batch.column(1), PART):
+                values, offsets = distinct_per_text(*batch_shingles(texts, cache, WORDS))
                 n = np.diff(offsets)
                 symbols = signatures(values, offsets)
                 lanes = [sum(symbols[PER * i + j] << np.uint64(STEP * j) for j in range(PER)).view(np.int64) for i in range(LANES)]
@@ -85,54 +93,99 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def keys(classes: DataFrame) -> DataFrame:
-    """key, id: for each chunk, the hash of all but one of its symbols."""
+    """slot, key, id: for each chunk, the hash of all but one of its symbols."""
     symbol = lambda s: f"(shiftrightunsigned(sig[{s // PER}], {STEP * (s % PER)}) & {(1 << BITS) - 1}L)"
     made = []
     for c in range(CHUNKS):
         for skip in range(CHUNK):
             rest = [symbol(c * CHUNK + j) for j in range(CHUNK) if j != skip]
             made.append(f"xxhash64({c * CHUNK + skip}, {', '.join(rest)})")
-    return classes.select("id", F.explode(F.expr(f"array({', '.join(made)})")).alias("key"))
+    return classes.select("id", F.posexplode(F.expr(f"array({', '.join(made)})")).alias("slot", "key"))
 
 
-def differing(a: str, b: str) -> str:
-    """SQL: the number of symbols in which two packed signatures differ."""
+def lane_difference(a: str, b: str, i: int) -> str:
+    """SQL: the number of symbols in which lane i of two packed signatures differs."""
     ones = sum(((1 << BITS) - 1) << (STEP * j) for j in range(PER))  # added to a symbol, it carries into the spare bit unless that is 0
     spare = sum(1 << (STEP * j + BITS) for j in range(PER))
-    lane = lambda i: f"bit_count((({a}[{i}] ^ {b}[{i}]) + {ones}L) & {spare}L)"
-    return " + ".join(lane(i) for i in range(LANES))
+    return f"bit_count((({a}[{i}] ^ {b}[{i}]) + {ones}L) & {spare}L)"
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of distinct ids whose full sets are similar enough.
+def differing(a: str, b: str) -> str:
+    """SQL: the number of symbols in which two packed signatures differ."""
+    return " + ".join(lane_difference(a, b, i) for i in range(LANES))
+
+
+def first_shared(a: str, b: str, slot: str) -> str:
+    """SQL: whether ``slot`` is the first key that two signatures share (a lane is a chunk).
+
+    A pair may share many keys; with this condition a join makes it once.
+    """
+    lanes = [lane_difference(a, b, i) for i in range(LANES)]
+    return "CASE " + " ".join(f"WHEN {d} <= 1 THEN {slot} = {CHUNK * i} OR ({slot} DIV {CHUNK} = {i} AND {d} = 1)" for i, d in enumerate(lanes)) + " ELSE false END"
+
 
-    Only texts in some pair are read into sets. A pair's larger partner by
-    count of pairs (a) meets last, so that what is shuffled is one set a pair.
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, set: the distinct shingles of the documents with these ids.
+
+    Only texts that a bitmap of the ids lets through are cut into sets, so that
+    texts are never shuffled; some other documents may pass.
     """
     import pyarrow as pa
 
+    shared = bitmap_of(ids.select("id").distinct().withColumn("hash", F.xxhash64("id")), "hash")
+
     def run(batches):
-        cache = WordHashes()
+        cache, bits = WordHashes(), shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], PART):
-                values, offsets = distinct_per_text(*batch_shingles(texts[a:b], cache, WORDS))
+            batch = batch.filter(pa.array(in_bitmap(bits, batch.column(1).to_numpy())))
+            for a, b, texts in text_slices(batch.column(2), PART):
+                values, offsets = distinct_per_text(*batch_shingles(texts, cache, WORDS))
                 sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], sets], ["id", "set"])
 
-    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.keep(texts.mapInArrow(run, "id long, set array<long>"), f"{name}-sets")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), "text")
+    return texts.mapInArrow(run, "id long, set array<long>")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of distinct ids whose full sets are similar enough; of each pair one set is shuffled."""
+    sets = scratch.keep(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs), f"{name}-sets")
     both = (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
     )
-    links = scratch.keep(both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b"), f"{name}-links")
+    links = scratch.keep(both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{name}-links")
     scratch.drop(sets)
     return links
 
 
+def linkable(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Those ids that can have a link among the others at all, and pairs by rare shingles.
+
+    First: id, n, common, frequent. ``common`` counts the document's shingles that any
+    other of the ids has; no intersection is larger, so a link needs 100 * common >=
+    75 * n. Documents that fall out take their shingles along; two rounds are made.
+    ``frequent`` counts those that more than RARE of the ids have.
+    Second: id, s of shingles that 2 to RARE ids have. A link either shares one of
+    these, or its intersection is among the frequent ones.
+    """
+    alive = scratch.keep(sets_of(ids, docs).join(ids, "id", "left_semi").dropDuplicates(["id"]), "rest-sets")
+    for _ in range(2):
+        own = alive.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
+        counts = own.groupBy("id").agg(F.count("*").alias("alone"))
+        fewer = alive.join(counts, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where(f"100 * (size(set) - alone) >= {PERCENT} * size(set)")
+        last, alive = alive, scratch.keep(fewer.select("id", "set"), "linkable")
+        scratch.drop(last)
+    shingles = alive.select("id", F.explode("set").alias("s"))
+    few = shingles.groupBy("s").agg(F.count("*").alias("df")).where(f"df <= {RARE}")
+    rare = scratch.keep(shingles.join(few, "s"), "rare")
+    counts = rare.groupBy("id").agg(F.count("*").alias("rare"), F.count(F.when(F.col("df") == 1, 1)).alias("alone"))
+    size, zero = F.size("set"), F.lit(0)
+    able = alive.join(counts, "id", "left").select("id", size.alias("n"), (size - F.coalesce("alone", zero)).alias("common"), (size - F.coalesce("rare", zero)).alias("frequent"))
+    return scratch.keep(able, "able"), rare.where("df > 1").select("id", "s")
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """id, label (smallest reachable id) of every id in a link.
 
@@ -156,6 +209,35 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def joined_components(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``labels`` after further links: only links between components count, and only
+    their labels are propagated."""
+    at = lambda i: labels.select(F.col("id").alias(i), F.col("label").alias(f"l{i}"))
+    between = (
+        links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+        .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b").distinct()
+    )
+    between = scratch.keep(between, f"{name}-between")
+    if between.isEmpty():
+        return labels
+    moved = components(between, scratch, name).select(F.col("id").alias("from"), F.col("label").alias("to"))
+    known = labels.join(moved, F.col("label") == F.col("from"), "left").select("id", F.coalesce("to", "label").alias("label"))
+    fresh = moved.join(labels, F.col("from") == F.col("id"), "left_anti").select(F.col("from").alias("id"), F.col("to").alias("label"))
+    return scratch.keep(known.union(fresh), f"{name}-labels")
+
+
+def leads(labelled: DataFrame, turn: int) -> DataFrame:
+    """key, lead, its label: one member of each key's most frequent component.
+
+    Which member that is differs from key to key and turn to turn, so that a
+    document with many keys meets many members of a component.
+    """
+    dealt = F.xxhash64(F.lit(turn), "key", "id")
+    per = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.struct(dealt.alias("h"), "id")).alias("one"))
+    top = per.groupBy("key").agg(F.max(F.struct("n", "label", F.col("one.id").alias("lead"))).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    return top.select("key", "top.lead", F.col("top.label").alias("lead_label"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -166,26 +248,57 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = scratch.keep(classes, "classes")
     keyed = keys(classes)
-    shared = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), "shared")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.keep(keyed.join(shared, "key"), "members")
 
     side = lambda x: classes.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"))
     near = f"{differing('sa', 'sb')} <= {LOOSE}"
-    star = members.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    star = scratch.keep(star.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"), "star")
-    links = confirmed(star, docs, scratch, "star")
-    labels = components(links, scratch, "star")
-
-    labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = scratch.keep(labelled.join(split, "key", "left_semi").join(classes.select("id", "sig"), "id"), "rest")
-    x = rest.select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"))
-    y = rest.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb"))
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & F.expr(near)).select("a", "b").distinct()
-    cross = scratch.keep(cross.join(star, ["a", "b"], "left_anti"), "cross")
-    more = confirmed(cross, docs, scratch, "cross")
-    labels = components(links.union(more), scratch, "all")
-    scratch.drop(shared, members, rest, star, cross)
+
+    def close(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch.keep(pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"), name)
+
+    # first the member of most keys' weight, which is the middle of a group of copies
+    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    middle = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"))).alias("top")).select("key", (-F.col("top.col2")).alias("lead"))
+    pairs = members.join(middle, "key").where("id != lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+    tried = close(pairs, "star")
+    labels = components(confirmed(tried, docs, scratch, "star"), scratch, "star")
+
+    def labelled() -> DataFrame:
+        return members.join(labels, "id", "left").select("key", "slot", "id", F.coalesce("label", "id").alias("label"))
+
+    for turn in range(TURNS):
+        now = scratch.keep(labelled(), "labelled")
+        pairs = now.join(leads(now, turn), "key").where("label != lead_label").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+        fresh = close(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "turn")
+        scratch.drop(now)
+        if fresh.isEmpty():
+            break
+        labels = joined_components(labels, confirmed(fresh, docs, scratch, "turn"), scratch, "turn")
+        tried = tried.union(fresh)
+
+    # what is left: pairs of different components that share a key and can be links
+    now = scratch.keep(labelled(), "labelled")
+    split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rest = scratch.keep(now.join(split, "key", "left_semi"), "rest")
+    able, rare = linkable(rest.select("id").distinct(), docs, scratch)
+    able = able.join(classes.select("id", "sig"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    able = scratch.keep(able, "able")
+
+    def meet(rows: DataFrame, on: str, bound: str, more: str) -> DataFrame:
+        """Pairs of different components that meet in ``on`` and whose counts allow a link."""
+        rows = scratch.keep(rows.join(able, "id"), "meet")
+        x, y = (rows.select(F.col(on).alias("on"), *(F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "label", "sig", bound, *(["slot"] if "slot" in rows.columns else [])))) for i in "ab")
+        least = f"least({bound}_a, {bound}_b)"
+        can = f"id_a < id_b AND label_a != label_b AND 100 * {least} >= {PERCENT} * (n_a + n_b - {least}) AND {differing('sig_a', 'sig_b')} <= {LOOSE}{more}"
+        return x.join(y, (x["on"] == y["on"]) & F.expr(can)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+    by_key = meet(rest.select("key", "slot", "id"), "key", "frequent", f" AND {first_shared('sig_a', 'sig_b', 'slot_a')}")
+    cross = by_key.union(meet(rare, "s", "common", "")).distinct()
+    cross = scratch.keep(cross.join(tried, ["a", "b"], "left_anti"), "cross")
+    if not cross.isEmpty():
+        labels = joined_components(labels, confirmed(cross, docs, scratch, "cross"), scratch, "cross")
+    scratch.drop(members, now, rest, cross)
 
     named = classes.join(labels, "id", "left").select("n", "d1", "d2", F.coalesce("label", "id").alias("component"))
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
@@ -200,3 +313,19 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are their component's smallest id, all columns."""
     dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")
+
+
+ORACLE = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+h AS (
+  SELECT DISTINCT doc_id, list_slice(w, p, p + least(len(w), 5) - 1) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+m AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM m JOIN z zx ON zx.doc_id = x JOIN z zy ON zy.doc_id = y WHERE 100 * c >= 75 * (zx.n + zy.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON r.doc_id = e.x WHERE r.c < e.y)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, min(c) = doc_id AS kept
+FROM r LEFT JOIN z USING (doc_id) GROUP BY doc_id
+"""

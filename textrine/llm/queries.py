@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textrine.llm import decontam, line_dedup
+from textrine.llm import decontam, line_dedup, near_dup, suffix_dedup
 from textrine.llm.common import table
 
 
@@ -85,4 +85,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_decontamination": decontam.ORACLE,
+    "op9_near_dup": near_dup.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }
