@@ -405,7 +405,11 @@ def hash_cuckoo(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", numeric.cuckoo_hash(F.col("l_orderkey"), F.ascii("l_returnflag"), 3141592653, 271828182, 1013, 500).alias("h"))
 
 
-@query()
+@query("""WITH x AS (SELECT doc_id, CAST(2 * length(text) + 2 AS BIGINT) AS wanted FROM documents WHERE text IS NOT NULL), top AS (SELECT max(wanted) + 500 AS m FROM x),
+q AS (SELECT n FROM (SELECT unnest(range(2, (SELECT m FROM top))) AS n) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, (SELECT CAST(sqrt(m) AS BIGINT) + 1 FROM top))) AS d) WHERE d * d <= n AND n % d = 0)),
+p AS (SELECT x.doc_id, min(q.n) AS cuckoo_first_size FROM x JOIN q ON q.n > greatest(1, wanted // 8) AND q.n <= greatest(1, wanted // 8) + 500 GROUP BY x.doc_id),
+r AS (SELECT x.doc_id, min(q.n) AS double_size FROM x JOIN q ON q.n > wanted AND q.n <= wanted + 500 GROUP BY x.doc_id)
+SELECT doc_id, cuckoo_first_size, double_size, double_size - 2 AS second_hash_size FROM p JOIN r USING (doc_id)""")
 def hash_settings(spark, sf_dir):
     """Cuckoo table sizes for the number of edges of each document's tree."""
     d = docs(spark, sf_dir).select("doc_id", (2 * F.length("text") + 2).alias("wanted"))
