@@ -1,7 +1,7 @@
 """Suffixes, suffix arrays, nodes and edges of texts, as DataFrames.
 
 Whole texts are indexed by the array kernel in ``mapInArrow``: a task takes the
-texts of an Arrow batch a million characters at a time, so that memory does not
+texts of an Arrow batch some hundred thousand characters at a time, so that memory does not
 depend on the number of texts, nothing is shuffled, and texts of any length are
 indexed in full. Which of the classical constructions a caller names (simple or
 linked McCreight, simple or linked Ukkonen, partition and write-only) has no

@@ -17,7 +17,7 @@ import numpy as np
 
 END = 0x110000
 #: Characters that are indexed at once (and one text, if it is longer).
-PART = 1_000_000
+PART = 300_000
 
 
 def slices(sizes, most: int = PART):
@@ -44,7 +44,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted order, rank of equal keys) of some integers."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     fresh = np.ones(len(keys), bool)
     fresh[1:] = keys[order][1:] != keys[order][:-1]
     rank = np.empty(len(keys), np.int64)
@@ -52,6 +52,28 @@ def dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
+def packed_codes(chars: np.ndarray, doc: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Integers that order suffixes by their text and first 1, 2 and 4 characters.
+
+    As many as fit in 62 bits with the batch's alphabet; what lies behind a
+    text's end counts as 0.
+    """
+    present = np.zeros(END + 1, bool)
+    present[chars] = True
+    code = np.cumsum(present)[chars]  # from 1; the terminator has the greatest
+    size = int(present.sum()) + 1
+    docs = int(doc[-1]) + 1 if len(doc) else 1
+    out, tail, width = [], code, 1
+    while True:
+        out.append(doc * size**width + tail)
+        if width == 4 or docs * size ** (2 * width) >= 1 << 62:
+            return out
+        behind = np.zeros_like(tail)
+        behind[:-width] = tail[width:]
+        behind[np.arange(len(tail)) + width >= end] = 0
+        tail, width = tail * size**width + behind, 2 * width
+
+
 class SparseMin:
     """Range minima of an array, as (value, position) packed in one integer."""
 
@@ -106,8 +128,10 @@ class SuffixArrays:
         n = len(self.chars)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         self.end = self.bounds[1:][self.doc]
-        order, rank = dense(self.doc * (END + 1) + self.chars)
-        levels, k = [rank], 1
+        levels = packed_codes(self.chars, self.doc, self.end)
+        k = 1 << (len(levels) - 1)
+        order, rank = dense(levels[-1])
+        levels[-1] = rank
         while n and rank[order[-1]] != n - 1:
             ahead = np.minimum(np.arange(n) + k, n - 1)
             second = np.where(np.arange(n) + k < self.end, rank[ahead], 0)
@@ -115,7 +139,7 @@ class SuffixArrays:
             levels.append(rank)
             k *= 2
         self.order, self.rank = order, rank
-        # ranks after step s tell whether 2^s characters are equal
+        # codes and ranks of step s tell whether 2^s characters are equal
         a, b = order[1:].copy(), order[:-1].copy()
         lcp = np.zeros(max(n - 1, 0), np.int64)
         same = self.doc[a] == self.doc[b]
