@@ -101,6 +101,7 @@ class FactorisationMachine:
         self.w0 = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
         z = self.standard(dense).astype(np.float32)
         rng = np.random.default_rng(SEED)
+        self.w, self.v = self.w.astype(np.float32), self.v.astype(np.float32)
         m = {k: 0.0 for k in "0wv"}
         s = {k: 0.0 for k in "0wv"}
         step = 0
@@ -111,18 +112,19 @@ class FactorisationMachine:
                 xb = np.hstack([x[rows], z[rows]])
                 sums = xb @ self.v
                 sq = xb**2
-                logit = self.w0 + xb @ self.w + 0.5 * (sums**2 - sq @ self.v**2).sum(1)
+                logit = self.w0 + xb @ self.w + np.float32(0.5) * (sums**2 - sq @ self.v**2).sum(1)
                 g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[rows]) / len(rows)
+                g = g.astype(np.float32)
                 grad = {
                     "0": g.sum(),
-                    "w": xb.T @ g + DECAY * self.w,
-                    "v": xb.T @ (g[:, None] * sums) - (sq.T @ g)[:, None] * self.v + DECAY * self.v,
+                    "w": xb.T @ g + np.float32(DECAY) * self.w,
+                    "v": xb.T @ (g[:, None] * sums) - (sq.T @ g)[:, None] * self.v + np.float32(DECAY) * self.v,
                 }
                 step += 1
                 for k, d in grad.items():
-                    m[k] = 0.9 * m[k] + 0.1 * d
-                    s[k] = 0.999 * s[k] + 0.001 * d * d
-                    move = RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+                    m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * d
+                    s[k] = np.float32(0.999) * s[k] + np.float32(0.001) * d * d
+                    move = np.float32(RATE / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
                     if k == "0":
                         self.w0 -= float(move)
                     elif k == "w":
