@@ -34,7 +34,7 @@ SHORT_WORD = 96
 NEVER = 1 << 60
 
 #: Words whose tokens a worker remembers, and the longest that is remembered.
-CACHE_WORDS, CACHE_BYTES = 300_000, 96
+CACHE_WORDS, CACHE_BYTES = 150_000, 96
 
 #: Pieces that are encoded at once.
 BLOCK = 200_000
@@ -268,6 +268,7 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text: str =
                 ids_sha.append(of_ids.hexdigest())
                 text_sha.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.words.clear()  # the worker may do other things next
 
     return df.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(digest, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -162,10 +162,12 @@ def slices(sizes, most: int):
 
 def text_slices(column, most: int):
     """(from, to, texts) of an Arrow string column, about ``most`` bytes at a time."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
         yield a, b, column[a:b].to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 #: A set of hashed numbers as one bit each: 16 MB, whatever the set's size.

@@ -124,11 +124,12 @@ def first_shared(a: str, b: str, slot: str) -> str:
     return "CASE " + " ".join(f"WHEN {d} <= 1 THEN {slot} = {CHUNK * i} OR ({slot} DIV {CHUNK} = {i} AND {d} = 1)" for i, d in enumerate(lanes)) + " ELSE false END"
 
 
-def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, set: the distinct shingles of the documents with these ids.
+def sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """id, set: the distinct shingles of the documents with these ids, as a written table.
 
     Only texts that a bitmap of the ids lets through are cut into sets, so that
-    texts are never shuffled; some other documents may pass.
+    texts are never shuffled; some other documents may pass. Once the table is
+    written, nothing needs the bitmap any more.
     """
     import pyarrow as pa
 
@@ -144,12 +145,14 @@ def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], sets], ["id", "set"])
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), "text")
-    return texts.mapInArrow(run, "id long, set array<long>")
+    sets = scratch.keep(texts.mapInArrow(run, "id long, set array<long>"), name)
+    shared.destroy()
+    return sets
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of distinct ids whose full sets are similar enough; of each pair one set is shuffled."""
-    sets = scratch.keep(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs), f"{name}-sets")
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, scratch, f"{name}-sets")
     both = (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
@@ -170,7 +173,9 @@ def linkable(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFra
     Second: id, s of shingles that 2 to RARE ids have. A link either shares one of
     these, or its intersection is among the frequent ones.
     """
-    alive = scratch.keep(sets_of(ids, docs).join(ids, "id", "left_semi").dropDuplicates(["id"]), "rest-sets")
+    near = sets_of(ids, docs, scratch, "rest-sets")
+    alive = scratch.keep(near.join(ids, "id", "left_semi").dropDuplicates(["id"]), "alive")
+    scratch.drop(near)
     for _ in range(2):
         own = alive.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
         counts = own.groupBy("id").agg(F.count("*").alias("alone"))

@@ -203,8 +203,8 @@ class IndexFamily:
         return every.join(met.distinct(), "key", "left_semi")
 
 
-def spans_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Entries (with the bytes that they span) whose key may be in ``wanted``.
+def spans_of(docs: DataFrame, wanted: DataFrame):
+    """(relation, bitmap) of entries (with the bytes that they span) whose key may be in ``wanted``.
 
     The keys go to the text pass as a bitmap of fixed size; what passes by chance is dropped by the join that follows.
     """
@@ -226,7 +226,7 @@ def spans_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     columns = [key.view(np.int64)[some], did[row[some]], th[row[some]], at[some].astype(np.int32), (at - p1)[some].astype(np.int32), (p2 - p1 + 1)[some].astype(np.int32), span.view(np.int64)[some]]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(cut, pa.binary())], ["key", "did", "th", "at", "o", "n", "span", "raw"])
 
-    return identified(docs).mapInArrow(run, ENTRY + ", raw binary")
+    return identified(docs).mapInArrow(run, ENTRY + ", raw binary"), shared
 
 
 def window_hashes(raws: list[bytes], keys: np.ndarray, offsets: np.ndarray):
@@ -326,8 +326,10 @@ def marks(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, group: int
     several = classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("m").alias("least")).where("classes > 1 AND least = 1").select("key", "classes")
     several = scratch.keep(several, "several")
     chosen = classes.join(several, "key").select("key", "classes", "o", "n", "span", F.col("one.did").alias("did"), F.col("one.th").alias("th"), F.col("one.at").alias("at"))
-    spans = spans_of(docs, several).join(chosen, ["key", "did", "th", "at", "o", "n", "span"]).dropDuplicates(["key", "did", "th", "at", "o"])
+    spans, bitmap = spans_of(docs, several)
+    spans = spans.join(chosen, ["key", "did", "th", "at", "o", "n", "span"]).dropDuplicates(["key", "did", "th", "at", "o"])
     spans = scratch.keep(spans, "spans")
+    bitmap.destroy()
     near = compare(spans.where(F.col("classes") <= group).repartition("key").sortWithinPartitions("key"))
     found = whole.union(near)
     if not several.where(F.col("classes") > group).isEmpty():
