@@ -87,3 +87,14 @@ def locus(edges: DataFrame, depth: int) -> DataFrame:
     across = edges.where((F.col("parent_depth") <= depth) & (F.col("child_depth") > depth))
     # a leaf lies below the edge that its path takes at this depth: same letters, so the same string prefix
     return across.select("doc_id", F.col("parent").alias("node"), F.col("parent_depth").alias("node_depth"), "child", F.when(F.col("parent_depth") == depth, 0).otherwise(-1).alias("exact"))
+
+
+def upsert(records: DataFrame, changes: DataFrame, key: list[str], value: str, vacant=None) -> DataFrame:
+    """Records keyed by ``key`` after changes: inserted, overwritten, or removed where the new value is ``vacant``.
+
+    What a hash table of edges does one record at a time; here one join on the key.
+    """
+    fresh = changes.select(*key, F.col(value).alias("_new"), F.lit(True).alias("_changed"))
+    out = records.select(*key, value).join(fresh, key, "full").withColumn(value, F.when(F.col("_changed"), F.col("_new")).otherwise(F.col(value)))
+    out = out.drop("_new", "_changed")
+    return out if vacant is None else out.where(F.col(value) != vacant)

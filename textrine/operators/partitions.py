@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from textrine.operators.navigate import common_length
+from textrine.operators.trees import per_batch
+from textrine.plans.kernel import code_points
 
 #: Sorts after every character and stands for the terminator.
 LAST = "\U0010ffff"
@@ -47,6 +50,23 @@ def partitions(texts: DataFrame, prefix: int) -> DataFrame:
     )
 
 
+def select_partition(texts: DataFrame, prefix: str) -> DataFrame:
+    """doc_id, i: the suffixes of one partition, those that start with ``prefix``."""
+    wanted = [ord(c) for c in prefix]
+
+    def make(rows):
+        chars, bounds = code_points(rows)
+        hit = np.ones(len(chars), bool)
+        for k, c in enumerate(wanted):  # a terminator is no character, so that no match crosses texts
+            hit[: len(chars) - k] &= chars[k:] == c
+            hit[len(chars) - k :] = False
+        at = np.flatnonzero(hit)
+        doc = np.searchsorted(bounds, at, "right") - 1
+        return {"doc": doc, "i": at - bounds[doc] + 1}
+
+    return per_batch(texts, make, "doc_id long, i int")
+
+
 def distributed_suffix_array(spark, text: str | None = None, chars: DataFrame | None = None) -> DataFrame:
     """i, rank of one text of any size, sorted across the cluster by prefix doubling.
 

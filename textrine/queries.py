@@ -136,6 +136,23 @@ def documents_suffix_array(spark, sf_dir):
     return trees.suffix_array(docs(spark, sf_dir))
 
 
+@query("""WITH a AS (SELECT o_custkey, o_orderstatus, max(o_orderkey) AS edge FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey, o_orderstatus), b AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) * (o_custkey % 3) AS edge FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey, o_orderstatus)
+SELECT * FROM (SELECT o_custkey, o_orderstatus, CASE WHEN b.edge IS NOT NULL THEN b.edge ELSE a.edge END AS edge FROM a FULL JOIN b USING (o_custkey, o_orderstatus)) WHERE edge <> 0""")
+def record_upsert(spark, sf_dir):
+    """Insert, overwrite and remove of keyed records; 0 is vacant."""
+    o, key = spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_custkey", "o_orderstatus"]
+    records = o.where("o_orderkey % 2 = 0").groupBy(*key).agg(F.max("o_orderkey").alias("edge"))
+    changes = o.where("o_orderkey % 2 = 1").groupBy(*key).agg((F.min("o_orderkey") * (F.col("o_custkey") % 3)).alias("edge"))
+    return navigate.upsert(records, changes, key, "edge", vacant=0)
+
+
+@query()
+def random_numbers(spark, sf_dir):
+    """Seeded random numbers under each order's key + 1."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select("o_orderkey", numeric.random_below(F.col("o_orderkey") + 1, 7).alias("r"))
+
+
 @query(tree() + "SELECT nd.doc_id, node_id, CAST(depth AS INTEGER) AS depth, CAST(head_position AS INTEGER) AS head_position, CAST(leftmost AS INTEGER) AS leftmost, CAST(n_children AS INTEGER) AS n_children FROM nd")
 def branching_nodes(spark, sf_dir):
     return trees.nodes(items(spark, sf_dir)).drop("suffix_link", "parent")
@@ -257,6 +274,11 @@ def partition_min_offset(spark, sf_dir):
     return partitions.partitions(items(spark, sf_dir), 2).groupBy("doc_id").agg(F.min("text_offset").alias("least_offset"), (F.max("idx") + 1).alias("n_partitions"))
 
 
+@query("SELECT doc_id, CAST(i AS INTEGER) AS i FROM (SELECT doc_id, text, unnest(range(1, length(text) + 2)) AS i FROM documents WHERE text IS NOT NULL) WHERE substr(text, i, 2) = 'th'")
+def partition_select(spark, sf_dir):
+    return partitions.select_partition(docs(spark, sf_dir), "th")
+
+
 @query("""SELECT l_orderkey, l_linenumber, n, CAST(CASE WHEN n + 1 <= 1048576 THEN 0 ELSE 1 + CAST((n + 1) >> 25 > 0 AS INTEGER) + CAST((n + 1) >> 30 > 0 AS INTEGER) + CAST((n + 1) >> 35 > 0 AS INTEGER) + CAST((n + 1) >> 40 > 0 AS INTEGER)
 + CAST((n + 1) >> 45 > 0 AS INTEGER) + CAST((n + 1) >> 50 > 0 AS INTEGER) + CAST((n + 1) >> 55 > 0 AS INTEGER) + CAST((n + 1) >> 60 > 0 AS INTEGER) END AS INTEGER) AS prefix_length FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey * l_orderkey * 1000 AS BIGINT) AS n FROM lineitem)""")
 def auto_prefix_length(spark, sf_dir):
