@@ -238,3 +238,70 @@ def test_licences_of_the_table(spark):
     lines = {"GPL-3": "This work is licensed under the GNU General Public License, version 3.", "MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
     texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
     assert got == Counter({k: sum(t.count(v) for t in texts) for k, v in lines.items()})
+
+
+#: The usual wording of each known sentence.
+USUAL = {
+    "spdx:{v}": "SPDX-License-Identifier: MIT",
+    "gpl-version:{v}": "Licensed under the terms of the GNU General Public License, version 2",
+    "lgpl-version:{v}": "Licensed under the GNU Lesser General Public License v3",
+    "agpl-version:{v}": "Licensed under the GNU Affero General Public License, Version 3",
+    "gpl-modify:{v}": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2",
+    "lgpl-modify:{v}": "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; version 2",
+    "agpl-modify:{v}": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3",
+    "fsf-useful": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "fsf-details": "See the GNU Lesser General Public License for more details",
+    "fsf-copy": "You should have received a copy of the GNU General Public License along with this program",
+    "apache-license:{v}": "Licensed under the Apache License, Version 2.0",
+    "apache-compliance": "you may not use this file except in compliance with the License",
+    "apache-copy": "You may obtain a copy of the License at",
+    "apache-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
+    "apache-limits": "See the License for the specific language governing permissions and limitations under the License",
+    "mit-name": "This is available under the terms of the MIT License",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING",
+    "mit-liable": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM",
+    "bsd-name:{v}": "Distributed under the 3-Clause BSD License",
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization",
+    "bsd-endorse": "Neither the name of the organization nor the names of its members may be used to endorse or promote products derived from this software",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES",
+    "bsd-liable": "IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE",
+    "isc-liable": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES",
+    "mpl-subject:{v}": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one there",
+    "epl-terms:{v}": "made available under the terms of the Eclipse Public License v2.0",
+    "cc-name:{v}": "Licensed under CC BY-SA 4.0",
+    "cc-long:{v}": "Licensed under a Creative Commons Attribution 4.0 International License",
+    "public-domain": "The work is placed in the public domain",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications",
+    "zlib-origin": "The origin of this software must not be misrepresented",
+    "zlib-altered": "Altered source versions must be plainly marked as such",
+    "proprietary": "All rights reserved, no part of this may be copied without written permission",
+}
+
+
+def test_every_known_sentence_is_found():
+    assert set(USUAL) == {name for name, _ in license_scan.SENTENCES}
+    for name, text in USUAL.items():
+        wrapped = "// " + text.replace(" ", "\n// ") + "."
+        for t in (text, wrapped):
+            ids = [x for _, s in license_scan.sentences(t) for x in license_scan.identify(s)]
+            assert [x.split(":")[0] for x in ids] == [name.split(":")[0]], (name, ids)
+            assert license_scan.scan(t) != [], name
+
+
+def test_four_clauses():
+    clauses = [USUAL[x] for x in ("bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse")]
+    for marks in (("1.", "2.", "3.", "4."), "****"):
+        text = USUAL["bsd-grant"] + ":\n" + "".join(f"{a} {b}.\n" for a, b in zip(marks, clauses))
+        assert [(a, len(b)) for a, b, _ in license_scan.scan(text)] == [("BSD-4-Clause", 5)]

@@ -9,8 +9,9 @@ licence rules; the first rule that matches at a place wins and its sentences are
 used up. Up to GAP unknown sentences may lie between two sentences of a rule.
 Known sentences that no rule uses are reported as ``UNMATCHED``.
 
-One pass over whole texts without a shuffle. Texts without any of KEYWORDS hold
-no known sentence (each pattern needs one of them), so they are not cut.
+One pass over whole texts without a shuffle. Each pattern's longest literal and
+longest word are derived from the pattern. A word is never wrapped, so texts
+without any of the words hold no known sentence and are not cut.
 
 Defined results: null and empty texts and texts without known sentences give
 no rows; repeated rows give repeated findings; texts of any length are scanned
@@ -26,9 +27,6 @@ from pyspark.sql import functions as F
 
 GAP = 2
 
-#: Every sentence pattern needs one of these; lower case.
-KEYWORDS = ("licen", "permission", "redistribution", "warrant", "spdx", "public domain", "as is", "copyright", "liable", "altered", "misrepresented")
-
 #: Sentences of public licences in normal form. {v} is a version.
 SENTENCES = [
     ("spdx:{v}", r"spdx-license-identifier (?P<v>[a-z0-9.+-]+)"),
@@ -67,10 +65,10 @@ SENTENCES = [
     ("epl-terms:{v}", r"made available under the terms of the eclipse public license v(?:ersion)?\.? ?(?P<v>\d\.\d)"),
     ("cc-name:{v}", r"licen[sc]ed under (?:a |the )?(?:creative commons |cc )(?P<v>(?:by|zero|0)[a-z0-9. -]*)"),
     ("cc-long:{v}", r"licen[sc]ed under (?:a |the )?creative commons (?P<v>attribution[a-z0-9. -]*?)(?: international| unported)? license"),
-    ("public-domain", r"(?:released|placed|dedicated|is) (?:into|in|to) the public domain"),
     ("unlicense-free", r"this is free and unencumbered software released into the public domain"),
+    ("public-domain", r"(?:released|placed|dedicated|is) (?:into|in|to) the public domain"),
     ("unlicense-anyone", r"anyone is free to copy modify publish use compile sell or distribute this software"),
-    ("zlib-as-is", r"this software is provided as is without any express or implied warranty"),
+    ("zlib-as-is", r"this software is provided as[ -]is without any express or implied warranty"),
     ("zlib-liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
     ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
     ("zlib-origin", r"the origin of this software must not be misrepresented"),
@@ -112,9 +110,19 @@ RULES = [
     ("proprietary", "Proprietary"),
 ]
 
-_patterns = [(name, re.compile(rf"\b{pattern}")) for name, pattern in SENTENCES]
+
+def literals(pattern: str) -> list[str]:
+    """The literal stretches that every match of a sentence pattern holds."""
+    before = None
+    while before != pattern:
+        before, pattern = pattern, re.sub(r"\([^()]*\)[?*]?", "\0", pattern)
+    return re.sub(r"(?:\[[^]]*\]|\\.|\.)(?:[?*+]|\{[^}]*\})*|[^\0][?*]", "\0", pattern).split("\0")
+
+
+_patterns = [(name, max(literals(pattern), key=len), re.compile(rf"\b{pattern}")) for name, pattern in SENTENCES]
+_WORDS = sorted({max(" ".join(literals(pattern)).split(), key=len) for _, pattern in SENTENCES})
 _COMMENT = re.compile(r"(?m)^[ \t]*(?://+|/\*+|\*+/|\*+|#+|--+|;+|<!--+|%+)[ \t]?")
-_END = re.compile(r"[.!?][\"')*]*(?=\s|$)|\n[ \t]*\n")
+_END = re.compile(r"(?!(?<=\b[vV])\.\s+\d)[.!?][\"')*]*(?=\s|$)|\n[ \t]*\n")
 _NOT_WORD = re.compile(r"[^a-z0-9./+,-]+")
 
 
@@ -138,10 +146,10 @@ def identify(sentence: str) -> list[str]:
     Notices often lack the full stop before them, so known sentences are sought
     anywhere; of overlapping ones the first listed counts.
     """
-    if not any(k in sentence for k in KEYWORDS):
-        return []
     taken: list[tuple[int, int, str]] = []
-    for name, pattern in _patterns:
+    for name, literal, pattern in _patterns:
+        if literal not in sentence:
+            continue
         for m in pattern.finditer(sentence):
             if any(m.start() < b and a < m.end() for a, b, _ in taken):
                 continue
@@ -172,7 +180,7 @@ def scan(text: str | None) -> list[tuple[str, list[str], int]]:
     if not text:
         return []
     low = text.lower()
-    if not any(k in low for k in KEYWORDS):
+    if not any(w in low for w in _WORDS):
         return []
     ids: list[str | None] = []
     starts: list[int] = []
