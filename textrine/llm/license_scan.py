@@ -7,7 +7,9 @@ identifier, with its version if it names one. The document's sequence of
 identifiers is then matched, from left to right, against an ordered list of
 licence rules; the first rule that matches at a place wins and its sentences are
 used up. Up to GAP unknown sentences may lie between two sentences of a rule.
-Known sentences that no rule uses are reported as ``UNMATCHED``.
+Known sentences that no rule uses are reported as ``UNMATCHED``, but for a bare
+"all rights reserved", which stands in free licences' notices as well: unless
+the next known sentence within GAP is a prohibition, it counts as unknown.
 
 One pass over whole texts without a shuffle. Each pattern's longest literal and
 longest word are derived from the pattern. A word is never wrapped, so texts
@@ -74,6 +76,9 @@ SENTENCES = [
     ("zlib-origin", r"the origin of this software must not be misrepresented"),
     ("zlib-altered", r"altered source versions must be plainly marked as such"),
     ("proprietary", r"all rights reserved (?:no part|unauthorized|unauthorised) .{0,120}(?:without .{0,40}permission|prohibited)"),
+    ("rights-reserved", r"all rights reserved"),
+    ("no-part", r"no part .{0,300}(?:without .{0,40}permission|prohibited)"),
+    ("unauthorised", r"unauthori[sz]ed .{0,300}(?:without .{0,40}permission|prohibited)"),
 ]
 
 #: Ordered rules: longer and more special ones first. Sequences of sentence
@@ -108,6 +113,8 @@ RULES = [
     ("zlib-as-is? zlib-liable? zlib-grant zlib-origin? zlib-altered?", "Zlib"),
     ("public-domain", "Public-Domain"),
     ("proprietary", "Proprietary"),
+    ("rights-reserved no-part unauthorised?", "Proprietary"),
+    ("rights-reserved unauthorised no-part?", "Proprietary"),
 ]
 
 
@@ -188,6 +195,9 @@ def scan(text: str | None) -> list[tuple[str, list[str], int]]:
         some = identify(sentence) or [None]
         ids += some
         starts += [start] * len(some)
+    for i, name in enumerate(ids):
+        if name == "rights-reserved" and next((x for x in ids[i + 1 : i + GAP + 2] if x), None) not in ("no-part", "unauthorised"):
+            ids[i] = None
     out: list[tuple[str, list[str], int]] = []
     at = 0
     while at < len(ids):
