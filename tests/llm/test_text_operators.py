@@ -169,6 +169,14 @@ def test_blocks():
     assert [k for _, _, k in html_extract.blocks("<p>a <a>bcd</a></p>")] == [3]
 
 
+def test_blocks_with_svg_and_math():
+    found = lambda page: [t for _, t, _ in html_extract.blocks(page)]
+    assert found("<p>a <svg class='i' /> b</p><svg/><p>c</p>") == ["a b", "c"]
+    assert found("<p>a <svg><text>no</text></svg> b</p><script src='x'/>no</script><p>c</p>") == ["a b", "c"]
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation encoding='t'>no</annotation></semantics></math>"
+    assert found(f"<p>so {math} holds</p><p>a <math/> b</p>") == ["so x=12 holds", "a b"]
+
+
 def test_extraction_finds_the_article(spark):
     rows = QUERIES["op3_html_extraction"](spark, SF).collect()
     pages = dict(duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall())

@@ -38,8 +38,11 @@ PART = 2_000_000
 
 #: Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-UNREAD = frozenset("script style template noscript textarea title svg iframe object canvas math select".split())
+MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mspace mtable mtr mtd maction semantics"
+INLINE = frozenset(f"{MATH} a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+UNREAD = frozenset("script style template noscript textarea title svg iframe object canvas select annotation annotation-xml".split())
+#: Only these are empty when they close themselves; "/" has no meaning in other start tags of UNREAD.
+FOREIGN = frozenset("svg annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?=[a-zA-Z/])[^>]*(?:>|\Z)", re.S)
@@ -112,6 +115,8 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
                     break  # a stray inline end tag does not close a block
             continue
         if tag in UNREAD:
+            if tag in FOREIGN and m[3].endswith("/"):
+                continue
             end = END[tag].search(page, at)
             at = end.end() if end else n
             continue
