@@ -116,3 +116,28 @@ def test_one_text_sorted_across_partitions(spark):
     text = "abracadabra" * 3
     got = [r.i for r in partitions.distributed_suffix_array(spark, text).orderBy("rank").collect()]
     assert got == sorted(range(1, len(text) + 2), key=lambda i: text[i - 1 :] + chr(0x10FFFF))
+
+
+def test_classical_constructions():
+    from textrine.plans import classical
+
+    r = random.Random(12)
+    texts = ["", "a", "aaaa", "mississippi", "abcabxabcd"] + ["".join(r.choices("abc"[:k], k=r.randint(1, 40))) for k in (1, 2, 3) for _ in range(20)]
+    for t in texts:
+        want = [e[4] for e in tree(t)[0]]
+        for name, build_one in classical.BUILD.items():
+            assert build_one(t).edges() == want, (name, t)
+
+
+def test_invariance_sees_a_wrong_construction(spark, monkeypatch):
+    """Each algorithm is really built: one that drops an edge of each text is counted."""
+    from textrine import queries
+    from textrine.operators import trees
+
+    df = spark.createDataFrame([(1, "banana"), (2, "abab")], "doc_id long, text string")
+    monkeypatch.setattr(queries, "names", lambda *_: df)
+    assert {r.differing for r in queries.QUERIES["algorithm_invariance"](spark, "").collect()} == {0}
+    right = trees.classical_edges
+    monkeypatch.setattr(trees, "classical_edges", lambda texts, a: right(texts, a).where("ord > 1") if a == "U" else right(texts, a))
+    got = {(r.layout, r.algorithm): r.differing for r in queries.QUERIES["algorithm_invariance"](spark, "").collect()}
+    assert all(n == (2 if a == "U" else 0) for (_, a), n in got.items()) and len(got) == 13

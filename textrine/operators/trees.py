@@ -98,6 +98,18 @@ def edges(texts: DataFrame, labels: bool = True) -> DataFrame:
     return out.withColumn("letter", F.substring("label", 1, 1)) if labels else out
 
 
+def classical_edges(texts: DataFrame, algorithm: str) -> DataFrame:
+    """doc_id, ord, label as the named algorithm itself makes them, letter by letter: for short texts."""
+    from textrine.plans.classical import BUILD
+
+    def make(rows):
+        found = [BUILD[algorithm](t).edges() for t in rows]
+        sizes = [len(f) for f in found]
+        return {"doc": np.repeat(np.arange(len(rows)), sizes), "ord": [k for n in sizes for k in range(1, n + 1)], "label": [x for f in found for x in f]}
+
+    return per_batch(texts, make, "doc_id long, ord int, label string")
+
+
 def tree_counts(texts: DataFrame) -> DataFrame:
     """doc_id, n, branching_nodes, edges, max_depth, label_chars: one row per text."""
 
