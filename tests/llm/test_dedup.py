@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from textrine.llm import line_dedup, near_dup, suffix_dedup
+from textrine.llm.common import Scratch
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -165,15 +166,42 @@ def test_substrings_equal_brute_force(spark):
     df = spark.createDataFrame([(*x, "y") for x in rows], "doc_id long, text string, raw string")
     want = brute_bytes(rows, suffix_dedup.LENGTH)
     assert rows_of(suffix_dedup.dedup(df)) == want
-    assert rows_of(suffix_dedup.dedup(df, batches=3, group=2)) == want  # hot keys by counted windows
+    assert rows_of(suffix_dedup.dedup(df, batches=3, share=2)) == want  # hot classes by broadcast, hot prefixes by counted windows
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_batches_come_one_by_one(spark, tmp_path):
+    """A stored family is opened again for each further batch; its candidates give the union's brute force."""
+    rows = byte_rows(6)
+    batches = [spark.createDataFrame(rows[i::5], "doc_id long, text string") for i in range(5)]
+    suffix_dedup.IndexFamily(spark, f"file://{tmp_path}/family").add(batches[0])
+    for batch in batches[1:]:
+        family = suffix_dedup.IndexFamily.open(spark, f"file://{tmp_path}/family")
+        family.add(batch)
+        ranks = [rank for rank, _ in family.levels]
+        assert ranks == sorted(set(ranks), reverse=True)  # geometric: no two levels of a rank stay
+        family.close(delete=False)
+    family = suffix_dedup.IndexFamily.open(spark, f"file://{tmp_path}/family")
+    assert [rank for rank, _ in family.levels] == [2, 0]
+    grams = [r.gram for r in family.read(family.levels[0][1]).where("spark_partition_id() = 0").collect()]
+    assert grams == sorted(grams)
+    scratch = Scratch(spark, "test")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.removed_ranges(suffix_dedup.extended(suffix_dedup.entries_of(docs, family.candidates(), scratch), scratch)).collect()
+    got = {r.did: sum(b - a for a, b in suffix_dedup.merged(((x.a, x.b) for x in r.ranges), 10**9)) for r in found}
+    assert got == {d: removed for d, _, removed, _, _ in brute_bytes(rows, suffix_dedup.LENGTH) if removed}
+
+
 def test_kept_bytes_and_null_id(spark):
     text = "".join(random.Random(9).choices("abcdef ", k=1000))
     df = spark.createDataFrame([(None, text + "1"), (1, "2" + text)], "doc_id long, text string")
-    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(df).collect()}
-    assert got == {None: b"1", 1: b"2"}
+    got = {r.doc_id: (bytes(r.kept), r.text, r.repeats) for r in suffix_dedup.dedup(df).collect()}
+    assert got == {None: (b"1", "1", True), 1: (b"2", "2", True)}
+    df = spark.createDataFrame([(1, "é" + text), (2, "è" + text), (3, "own é")], "doc_id long, text string")
+    got = {r.doc_id: (bytes(r.kept), r.text, r.repeats) for r in suffix_dedup.dedup(df).collect()}
+    assert got == {1: ("é".encode(), "é", True), 2: ("è".encode(), "è", True), 3: ("own é".encode(), "own é", False)}
+    df = spark.createDataFrame([(1, text + "é"), (2, text + "è")], "doc_id long, text string")  # the first byte of both is C3
+    assert {r.doc_id: (bytes(r.kept), r.text) for r in suffix_dedup.dedup(df).collect()} == {1: (b"\xa9", ""), 2: (b"\xa8", "")}
 
 
 def test_long_texts_are_cut_in_overlapping_segments(monkeypatch):

@@ -4,57 +4,65 @@ Each byte covered by a LENGTH-byte string that also starts anywhere else (same
 document included, overlaps count) is removed; strings never cross documents
 and are judged on the input.
 
-Index entries. All suffixes of 30 GB would need many times its size, so the
-arrays are sparse: of each LENGTH-byte window the GRAM-byte gram with the least
-hash (the last of equal ones) is its anchor, and only suffixes at anchors are
-indexed. Equal windows choose the same anchor at the same offset, so no match
-is lost. An entry is an anchor with the run of windows that chose it: the hash
-of its gram (``key``, by which arrays are sorted: equal prefixes are adjacent),
-document, position, the run, and a hash of the bytes that the run spans.
-
-Family. Documents come in batches. A batch's sorted array is scanned against
-itself and each existing level for equal prefixes; levels of equal rank are
-merged when a further batch comes, so that an entry is rewritten log(batches)
-times. Entries whose prefix never met another are done: they match nothing.
-
-Extension. Entries of one key with equal spans form a class. In a class of two
-or more, all bytes match. Where a key has several classes, one entry of each
-meets the others: their spans are cut out of the texts and their windows are
-compared one by one, which extends every match both ways exactly to its ends.
-Which keys need that is told to the text pass by a bitmap of fixed size.
-
-Equality is by 64 hash bits of the gram together with 64 of the window or span.
-
-Hot groups: classes are counted before anything is gathered; exact copies reach
-the comparison once. A key with more than GROUP classes is compared by a
-distributed count of window hashes instead of in one task's memory.
+Entries. All suffixes of 30 GB would need many times its size, so the arrays are
+sparse: of each LENGTH-byte window the GRAM-byte gram with the least hash (the
+last of equal ones) is its anchor, and only suffixes at anchors are indexed.
+Equal windows choose the same anchor at the same offset, so no match is lost.
+The windows that chose an anchor span a stretch of the text around it, which has
+a 128-bit digest; entries with equal spans and offsets form a class.
+
+Arrays and family (``IndexFamily``). An array has one row for each distinct
+prefix of GRAM bytes among its suffixes, with its number of entries and the
+least and greatest digest, in the order of the prefixes within each of a fixed
+number of buckets. Documents come in batches. A batch's array is scanned
+together with each level's by a merge join, which needs no shuffle, as all
+arrays share their buckets; a prefix in both, or twice in the batch, is a
+candidate for a long match. Then levels of equal rank are merged, so that a row
+is rewritten log(batches) times. A family lies in one folder and can be opened
+again to add batches to it. Every batch is scanned against all that came before,
+so a run over a corpus takes few of them: their number grows with the logarithm
+of the input.
+
+Extension. A second pass over the texts returns the entries whose prefix is a
+candidate. All bytes of a class of two or more match. Where a prefix has several
+classes and one of them a single entry, the spans of its classes are compared
+window by window, which extends each match to the left and right to its ends.
+
+Equality is by the digest (128 bits) or, window by window, by two 64-bit
+polynomials with the prefix and the window's offset.
+
+Hot groups: rows are counted by class before they are shuffled. Classes and
+prefixes with more than their share of rows are few (at most PER_TASK for each
+shuffle partition) and are broadcast instead of shuffled; such a prefix's windows
+are counted across the cluster.
 
 Defined results: null and empty texts have 0 bytes; texts under LENGTH bytes
 stay whole; rows with equal id and text are two documents that match each
 other; rows with one id and different texts are told apart by a hash of the
-text; extra columns are ignored; an empty table gives an empty table.
+text; ``text`` has the characters of which all bytes are kept; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrine.llm.common import Scratch, bitmap_of, in_bitmap, mix64, text_slices
+from textrine.llm.common import Scratch, bitmap_of, in_bitmap, mix64, partitions_of, text_slices
 
 LENGTH, GRAM = 400, 32
-#: Batches that documents are dealt to by a hash, whatever their number.
-BATCHES = 4
+#: Input of which one batch is made at most; beyond it, each doubling makes one batch more.
+BATCH_BYTES = 256 << 20
 #: Bytes that are hashed at once; longer texts are taken in overlapping segments.
 PART = 1 << 21
-#: Classes of one key that a task compares in memory.
-GROUP = 20_000
+#: A class or prefix is hot if it has more than 1 / PER_TASK of the rows that a shuffle partition gets on average.
+PER_TASK = 4
 
 _rng = np.random.default_rng(400)
-_TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_TABLES = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASE = int(_rng.integers(0, 2**62)) * 2 + 1
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -74,10 +82,11 @@ class Hasher:
         if size > len(self.up) - 1:
             self.__init__(2 * size)
 
-    def sums(self, buf: np.ndarray) -> np.ndarray:
+    def sums(self, buf: np.ndarray, which: int = 0) -> np.ndarray:
+        """Prefix sums; ``which`` chooses one of two tables of byte values."""
         self.grow(len(buf))
         out = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_TABLE[buf] * self.up[: len(buf)], out=out[1:])
+        np.cumsum(_TABLES[which][buf] * self.up[: len(buf)], out=out[1:])
         return out
 
     def substrings(self, sums: np.ndarray, start: np.ndarray, length) -> np.ndarray:
@@ -118,7 +127,7 @@ def groups_of(column):
 
 
 def anchors(group):
-    """Entries of a group as arrays: row, anchor, first and last window (in the text), key, span hash, and the buffer with each entry's place."""
+    """Entries of a group as arrays: row, anchor, first and last window (in the text), the gram's hash, the buffer, and each first window's and anchor's place in it."""
     hs = hasher()
     sizes = np.array([len(x[2]) for x in group])
     ends = np.cumsum(sizes)
@@ -143,103 +152,187 @@ def anchors(group):
     last = np.concatenate([first[1:], [len(window)]]) - 1
     p1, p2, at, of = window[first], window[last], anchor[first], piece[first]
     shift = np.array([x[1] for x in group])[of] - begins[of]
-    span = hs.substrings(sums, p1, p2 - p1 + LENGTH)
-    return np.array([x[0] for x in group])[of], at + shift, p1 + shift, p2 + shift, grams[at], span, buf, p1
+    return np.array([x[0] for x in group])[of], at + shift, p1 + shift, p2 + shift, grams[at], buf, p1, at
 
 
-ENTRY = "key long, did long, th int, at int, o int, n int, span long"
+def digests(raw: bytes, begin: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Two signed longs for each span: 128 bits of its bytes and its anchor's offset."""
+    import xxhash
 
+    of, view = xxhash.xxh3_128_digest, memoryview(raw)
+    joined = b"".join([of(view[b : b + s], o) for b, s, o in zip(begin.tolist(), size.tolist(), offset.tolist())])
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
 
-def entries(docs: DataFrame) -> DataFrame:
-    """The sparse suffix entries of all documents: ``o`` = anchor - first window, ``n`` windows."""
+
+def identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"), "text")
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """gram, key (its hash) and s (half of the span's digest) of every entry."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            did, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for group in groups_of(batch.column(2)):
-                row, at, p1, p2, key, span, _, _ = anchors(group)
-                columns = [key.view(np.int64), did[row], th[row], at.astype(np.int32), (at - p1).astype(np.int32), (p2 - p1 + 1).astype(np.int32), span.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "did", "th", "at", "o", "n", "span"])
-
-    return identified(docs).mapInArrow(run, ENTRY)
+            for group in groups_of(batch.column(0)):
+                _, at, p1, p2, key, buf, begin, place = anchors(group)
+                s = digests(buf.tobytes(), begin, p2 - p1 + LENGTH, at - p1)[:, 0]
+                gram = np.lib.stride_tricks.sliding_window_view(buf, GRAM)[place] if len(place) else np.zeros((0, GRAM), np.uint8)
+                grams = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GRAM), len(place), [None, pa.py_buffer(gram.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([grams, pa.array(key.view(np.int64)), pa.array(np.ascontiguousarray(s))], ["gram", "key", "s"])
 
-
-def identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.hash("text").alias("th"), "text")
+    return docs.select("text").mapInArrow(run, "gram binary, key long, s long")
 
 
 class IndexFamily:
-    """Sorted sparse suffix arrays, one per level; levels of equal rank are merged."""
-
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.levels, self.met = scratch, [], []
+    """Sorted arrays of suffix prefixes, one per level, in one folder; levels of equal rank are merged.
 
-    def sorted_array(self, rows: DataFrame, name: str) -> DataFrame:
-        return self.scratch.keep(rows.repartitionByRange("key").sortWithinPartitions("key"), name)
+    ``add`` makes a batch's array and scans it against all levels. The folder's
+    last manifest names what belongs to the family, so that it can be opened
+    later, by another session too.
+    """
 
-    def add(self, batch: DataFrame) -> None:
-        """Merge equal ranks, sort the batch, scan it against itself and each level."""
+    COLUMNS = "gram binary, key long, m long, lo long, hi long"
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 0):
+        self.spark, self.root = spark, root
+        self.buckets, self.made, self.levels, self.met = buckets or partitions_of(spark), 0, [], []
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> "IndexFamily":
+        rows = spark.read.schema("version int, buckets int, made int, kind string, rank int, name string, nth int").json(f"{root}/manifest").collect()
+        last = sorted((r for r in rows if r.version == max(x.version for x in rows)), key=lambda r: r.nth)
+        family = cls(spark, root, last[0].buckets)
+        family.made = last[0].made
+        family.levels = [(r.rank, r.name) for r in last if r.kind == "level"]
+        family.met = [r.name for r in last if r.kind == "met"]
+        for _, name in family.levels:
+            spark.sql(f"CREATE TABLE {family.table(name)} ({cls.COLUMNS}) USING parquet CLUSTERED BY (gram) SORTED BY (gram) INTO {family.buckets} BUCKETS LOCATION '{root}/{name}'")
+        return family
+
+    def table(self, name: str) -> str:
+        return f"textrine_{uuid.uuid5(uuid.NAMESPACE_URL, self.root + '#' + str(id(self))).hex}_{name}"
+
+    def keep(self, array: DataFrame, rank: int) -> str:
+        """An array as a bucketed table, each bucket one sorted file."""
+        self.made += 1
+        name = f"a{self.made}_{rank}"
+        array.write.bucketBy(self.buckets, "gram").sortBy("gram").option("path", f"{self.root}/{name}").option("compression", "zstd").saveAsTable(self.table(name))
+        return name
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(self.table(name))
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table(name)}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def add(self, docs: DataFrame) -> None:
+        """The batch's array, scanned against itself and each level; then equal ranks merge."""
+        array = prefixes(docs).groupBy("gram", "key").agg(F.count("*").alias("m"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+        name = self.keep(array.repartition(self.buckets, "gram"), 0)
+        array = self.read(name)
+        found = array.where("m > 1").select("key", "lo", "hi")
+        for _, level in self.levels:
+            other = self.read(level).select("gram", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+            found = found.union(array.join(other.hint("merge"), "gram").select("key", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi")))
+        found.write.option("compression", "zstd").parquet(f"{self.root}/met{self.made}")
+        self.met.append(f"met{self.made}")
+        self.levels.append((0, name))
+        old = []
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self.sorted_array(a.union(b), f"level{rank + 1}")))
-            self.scratch.drop(a, b)
-        array = self.sorted_array(batch, "level0")
-        keys = array.groupBy("key").agg((F.count("*") > 1).alias("twice"))
-        for _, level in self.levels:
-            seen = level.select(F.col("key").alias("k")).distinct()
-            keys = keys.join(seen, F.col("key") == F.col("k"), "left").select("key", (F.col("twice") | F.col("k").isNotNull()).alias("twice"))
-        self.met.append(self.scratch.keep(keys.where("twice").select("key"), "met"))
-        self.levels.append((0, array))
-
-    def matched(self) -> DataFrame:
-        """All entries whose prefix some other entry shares."""
-        every = self.levels[0][1]
-        for _, level in self.levels[1:]:
-            every = every.union(level)
-        met = self.met[0]
-        for more in self.met[1:]:
-            met = met.union(more)
-        return every.join(met.distinct(), "key", "left_semi")
-
-
-def spans_of(docs: DataFrame, wanted: DataFrame):
-    """(relation, bitmap) of entries (with the bytes that they span) whose key may be in ``wanted``.
-
-    The keys go to the text pass as a bitmap of fixed size; what passes by chance is dropped by the join that follows.
+            self.levels.append((rank + 1, self.keep(self.merged(a, b), rank + 1)))
+            old += [a, b]
+        self.save()
+        for name in old:
+            self.drop(name)
+
+    def merged(self, a: str, b: str) -> DataFrame:
+        """The merge of two sorted arrays, bucket by bucket."""
+        x, y = self.read(a), self.read(b).toDF("gram", "key2", "m2", "lo2", "hi2")
+        zero = F.lit(0)
+        return x.join(y.hint("merge"), "gram", "full_outer").select(
+            "gram", F.coalesce("key", "key2").alias("key"), (F.coalesce("m", zero) + F.coalesce("m2", zero)).alias("m"),
+            F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"),
+        )
+
+    def save(self) -> None:
+        entries = [("level", rank, name) for rank, name in self.levels] + [("met", 0, name) for name in self.met]
+        rows = [(self.made, self.buckets, self.made, *x, i) for i, x in enumerate(entries)]
+        self.spark.createDataFrame(rows, "version int, buckets int, made int, kind string, rank int, name string, nth int").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+
+    def candidates(self) -> DataFrame:
+        """key, several (whether it has more than one class) of every prefix that occurs twice."""
+        rows = self.spark.read.schema("key long, lo long, hi long").parquet(*(f"{self.root}/{x}" for x in self.met))
+        return rows.groupBy("key").agg((F.min("lo") < F.max("hi")).alias("several"))
+
+    def close(self, delete: bool = True) -> None:
+        """Forget the tables; with ``delete`` their files too."""
+        for _, name in self.levels:
+            self.drop(name) if delete else self.spark.sql(f"DROP TABLE IF EXISTS {self.table(name)}")
+        for name in self.met if delete else ():
+            self.drop(name)
+
+
+ENTRY = "key long, s1 long, s2 long, o int, n int, did long, th long, at int, raw binary"
+
+
+def entries_of(docs: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
+    """The entries whose prefix is a candidate, as a written table; with the bytes that they span where the prefix has several classes.
+
+    Candidates go to the text pass as bitmaps of fixed size. What passes by chance
+    is alone in its class and prefix, and therefore never marked.
     """
     import pyarrow as pa
 
-    shared = bitmap_of(wanted, "key")
+    candidates = scratch.keep(candidates, "candidates")
+    met, several = bitmap_of(candidates, "key"), bitmap_of(candidates.where("several"), "key")
+    scratch.drop(candidates)
 
     def run(batches):
-        bits = shared.value
+        some, more = met.value, several.value
         for batch in batches:
             did, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for group in groups_of(batch.column(2)):
-                row, at, p1, p2, key, span, buf, begin = anchors(group)
-                ok = np.flatnonzero(in_bitmap(bits, key))
-                raw = buf.tobytes()
-                for some in np.array_split(ok, len(ok) // 8192 + 1):
-                    size = (p2 - p1)[some] + LENGTH
-                    cut = [raw[b : b + s] for b, s in zip(begin[some].tolist(), size.tolist())]
-                    columns = [key.view(np.int64)[some], did[row[some]], th[row[some]], at[some].astype(np.int32), (at - p1)[some].astype(np.int32), (p2 - p1 + 1)[some].astype(np.int32), span.view(np.int64)[some]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(cut, pa.binary())], ["key", "did", "th", "at", "o", "n", "span", "raw"])
+                row, at, p1, p2, key, buf, begin, _ = anchors(group)
+                raw, hits = buf.tobytes(), np.flatnonzero(in_bitmap(some, key))
+                for ok in np.array_split(hits, len(hits) // 8192 + 1):
+                    size, offset = (p2 - p1)[ok] + LENGTH, (at - p1)[ok]
+                    s = digests(raw, begin[ok], size, offset)
+                    cut = [raw[b : b + n] if w else None for b, n, w in zip(begin[ok].tolist(), size.tolist(), in_bitmap(more, key[ok]).tolist())]
+                    columns = [key.view(np.int64)[ok], np.ascontiguousarray(s[:, 0]), np.ascontiguousarray(s[:, 1]), offset.astype(np.int32), (p2 - p1 + 1)[ok].astype(np.int32), did[row[ok]], th[row[ok]], at[ok].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(cut, pa.binary())], ["key", "s1", "s2", "o", "n", "did", "th", "at", "raw"])
 
-    return identified(docs).mapInArrow(run, ENTRY + ", raw binary"), shared
+    kept = scratch.keep(identified(docs).mapInArrow(run, ENTRY), "entries")
+    met.destroy(), several.destroy()
+    return kept
+
+
+def semi_by_count(rows: DataFrame, counted: DataFrame, on: list[str], n: str, share: int) -> DataFrame:
+    """The rows whose ``on`` stands in ``counted``.
+
+    Values with more than ``share`` rows (column ``n``) are broadcast, not shuffled;
+    with a share of a fixed part of a shuffle partition's rows they are few.
+    """
+    hot = F.broadcast(counted.where(F.col(n) > share).select(*on))
+    rest = rows.join(hot, on, "left_anti").join(counted.where(F.col(n) <= share).select(*on), on, "left_semi")
+    return rows.join(hot, on, "left_semi").union(rest)
 
 
 def window_hashes(raws: list[bytes], keys: np.ndarray, offsets: np.ndarray):
-    """Of every window of some spans: the span's number, the window's, and a hash of key, offset and content."""
+    """Of every window of some spans: the span's number, the window's, and two hashes of key, offset and content."""
     hs = hasher()
     sizes = np.array([len(r) for r in raws])
     ends = np.cumsum(sizes)
-    sums = hs.sums(np.frombuffer(b"".join(raws), np.uint8))
+    buf = np.frombuffer(b"".join(raws), np.uint8)
     n = sizes - LENGTH + 1
     of = np.repeat(np.arange(len(raws)), n)
     w = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    h = hs.substrings(sums, (ends - sizes)[of] + w, LENGTH)
-    return of, w, mix64(h + mix64(keys[of] + (offsets[of] - w).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    start = (ends - sizes)[of] + w
+    place = mix64(keys[of] + (offsets[of] - w).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return of, w, *(mix64(hs.substrings(hs.sums(buf, which), start, LENGTH) + place) for which in (0, 1))
 
 
 def runs_of(of: np.ndarray, w: np.ndarray):
@@ -253,7 +346,7 @@ def runs_of(of: np.ndarray, w: np.ndarray):
     return of[first], w[first], w[last]
 
 
-MARK = "did long, th int, a int, b int"
+MARK = "did long, th long, a int, b int"
 
 
 def compare(spans: DataFrame) -> DataFrame:
@@ -266,14 +359,14 @@ def compare(spans: DataFrame) -> DataFrame:
 
     def flush(rows):
         raws = [r[5] for r in rows]
-        of, w, h = window_hashes(raws, np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[4] for r in rows], np.int64))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
+        of, w, h, h2 = window_hashes(raws, np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[4] for r in rows], np.int64))
+        order = np.lexsort((h2, h))
+        same = (h[order][1:] == h[order][:-1]) & (h2[order][1:] == h2[order][:-1])
         hit = np.zeros(len(h), bool)
         hit[order[1:][same]] = hit[order[:-1][same]] = True
         s, first, last = runs_of(of[hit], w[hit])
         start = np.array([r[3] - r[4] for r in rows], np.int64)[s]
-        columns = [np.array([r[1] for r in rows], np.int64)[s], np.array([r[2] for r in rows], np.int32)[s], (start + first).astype(np.int32), (start + last + LENGTH).astype(np.int32)]
+        columns = [np.array([r[1] for r in rows], np.int64)[s], np.array([r[2] for r in rows], np.int64)[s], (start + first).astype(np.int32), (start + last + LENGTH).astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["did", "th", "a", "b"])
 
     def run(batches):
@@ -291,7 +384,7 @@ def compare(spans: DataFrame) -> DataFrame:
     return spans.select("key", "did", "th", "at", "o", "raw").mapInArrow(run, MARK)
 
 
-def compare_counted(spans: DataFrame) -> DataFrame:
+def compare_counted(spans: DataFrame, scratch: Scratch) -> DataFrame:
     """The same marks for hot keys: window hashes are counted across the cluster."""
     import pyarrow as pa
 
@@ -299,41 +392,52 @@ def compare_counted(spans: DataFrame) -> DataFrame:
         for batch in batches:
             key, did, th, at, o, raw = (c.to_pylist() for c in batch.columns)
             for i in range(0, len(key), 512):
-                of, w, h = window_hashes(raw[i : i + 512], np.array(key[i : i + 512], np.int64).view(np.uint64), np.array(o[i : i + 512], np.int64))
+                of, w, h, h2 = window_hashes(raw[i : i + 512], np.array(key[i : i + 512], np.int64).view(np.uint64), np.array(o[i : i + 512], np.int64))
                 start = np.array(at[i : i + 512]) - np.array(o[i : i + 512])
-                columns = [h.view(np.int64), np.array(did[i : i + 512], np.int64)[of], np.array(th[i : i + 512], np.int32)[of], (start[of] + w).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "did", "th", "a"])
+                columns = [h.view(np.int64), h2.view(np.int64), np.array(did[i : i + 512], np.int64)[of], np.array(th[i : i + 512], np.int64)[of], (start[of] + w).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "h2", "did", "th", "a"])
+
+    rows = scratch.keep(spans.select("key", "did", "th", "at", "o", "raw").mapInArrow(explode, "h long, h2 long, did long, th long, a int"), "windows")
+    twice = rows.groupBy("h", "h2").agg(F.count("*").alias("rows")).where("rows > 1")
+    share = rows.count() // (PER_TASK * partitions_of(rows.sparkSession)) + 1
+    return semi_by_count(rows, scratch.keep(twice, "twice"), ["h", "h2"], "rows", share).select("did", "th", "a", (F.col("a") + LENGTH).alias("b"))
+
 
-    rows = spans.select("key", "did", "th", "at", "o", "raw").mapInArrow(explode, "h long, did long, th int, a int")
-    twice = rows.groupBy("h").count().where("count > 1").select("h")
-    return rows.join(twice, "h", "left_semi").select("did", "th", "a", (F.col("a") + LENGTH).alias("b"))
+def batches_of(docs: DataFrame) -> int:
+    """Two, and one more with each doubling of the input beyond BATCH_BYTES; by the plan's estimate, if it has one."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 2 + (size // BATCH_BYTES).bit_length() if size < 1 << 60 else 2
 
 
-def marks(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
+def marks(docs: DataFrame, scratch: Scratch, batches: int = 0, share: int = 0) -> DataFrame:
     """Byte ranges [a, b) to remove, with overlaps; by did and th."""
-    all_entries = scratch.keep(entries(docs).withColumn("batch", F.pmod(F.xxhash64("did", "th"), F.lit(batches)).cast("int")), "entries", ("batch",))
-    family = IndexFamily(scratch)
+    batches = batches or batches_of(docs)
+    family = IndexFamily(docs.sparkSession, f"{scratch.root}/family")
+    dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))
     for i in range(batches):
-        family.add(all_entries.where(F.col("batch") == i).drop("batch"))
-    matched = scratch.keep(family.matched(), "matched")
-    scratch.drop(all_entries, *family.met, *(x for _, x in family.levels))
-
-    classes = matched.groupBy("key", "o", "n", "span").agg(F.count("*").alias("m"), F.min(F.struct("did", "th", "at")).alias("one"))
-    classes = scratch.keep(classes, "classes")
-    copies = matched.join(classes.where("m > 1").select("key", "o", "n", "span"), ["key", "o", "n", "span"], "left_semi")
-    whole = copies.select("did", "th", (F.col("at") - F.col("o")).alias("a"), (F.col("at") - F.col("o") + F.col("n") - 1 + LENGTH).alias("b"))
-
-    several = classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("m").alias("least")).where("classes > 1 AND least = 1").select("key", "classes")
-    several = scratch.keep(several, "several")
-    chosen = classes.join(several, "key").select("key", "classes", "o", "n", "span", F.col("one.did").alias("did"), F.col("one.th").alias("th"), F.col("one.at").alias("at"))
-    spans, bitmap = spans_of(docs, several)
-    spans = spans.join(chosen, ["key", "did", "th", "at", "o", "n", "span"]).dropDuplicates(["key", "did", "th", "at", "o"])
-    spans = scratch.keep(spans, "spans")
-    bitmap.destroy()
-    near = compare(spans.where(F.col("classes") <= group).repartition("key").sortWithinPartitions("key"))
-    found = whole.union(near)
-    if not several.where(F.col("classes") > group).isEmpty():
-        found = found.union(compare_counted(spans.where(F.col("classes") > group)))
+        family.add(docs.where(dealt == i))
+    entries = entries_of(docs, family.candidates(), scratch)
+    family.close()
+    return extended(entries, scratch, share)
+
+
+def extended(entries: DataFrame, scratch: Scratch, share: int = 0) -> DataFrame:
+    """The marks of all matches between some entries. ``share``: rows from which a class or prefix is hot, else by PER_TASK."""
+    per_task = lambda n: share or n // (PER_TASK * partitions_of(entries.sparkSession)) + 1
+    class_of = ["key", "s1", "s2"]
+    classes = scratch.keep(entries.groupBy(*class_of).agg(F.count("*").alias("m"), F.first(F.struct("did", "th", "at", "o", "raw")).alias("one")), "classes")
+    whole = semi_by_count(entries.drop("raw"), classes.where("m > 1").select(*class_of, "m"), class_of, "m", per_task(entries.count()))
+    first = F.col("at") - F.col("o")
+    found = whole.select("did", "th", first.alias("a"), (first + F.col("n") - 1 + LENGTH).alias("b"))
+
+    several = classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("m").alias("least")).where("classes > 1 AND least = 1")
+    several = scratch.keep(several.select("key", "classes"), "several")
+    hot = per_task(several.agg(F.sum("classes")).first()[0] or 0)
+    spans = classes.where("one.raw IS NOT NULL").select("key", "one.*")
+    cool = spans.join(several.where(F.col("classes") <= hot).select("key"), "key", "left_semi")
+    found = found.union(compare(cool.repartition("key").sortWithinPartitions("key")))
+    if not several.where(F.col("classes") > hot).isEmpty():
+        found = found.union(compare_counted(spans.join(F.broadcast(several.where(F.col("classes") > hot).select("key")), "key", "left_semi"), scratch))
     return found
 
 
@@ -352,36 +456,33 @@ def merged(ranges, size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, group: int = GROUP, with_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (``with_bytes``) the kept bytes."""
+def dedup(docs: DataFrame, batches: int = 0, share: int = 0, with_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether any byte goes), text (the characters kept) and (``with_bytes``) the kept bytes."""
     import pyarrow as pa
 
     scratch = Scratch(docs.sparkSession, "suffix")
-    ranges = scratch.keep(removed_ranges(marks(docs, scratch, batches, group)), "ranges")
+    ranges = scratch.keep(removed_ranges(marks(docs, scratch, batches, share)), "ranges")
     keyed = identified(docs).withColumn("doc_id", F.when(F.col("did") != -(1 << 63), F.col("did")))
     joined = keyed.join(ranges, ["did", "th"], "left").select("doc_id", "text", F.col("ranges.a").alias("a"), F.col("ranges.b").alias("b"))
 
     def run(parts_):
         for batch in parts_:
-            size, removed, spans, sha, kept = [], [], [], [], []
+            size, removed, spans, sha, left, kept = [], [], [], [], [], []
             for text, a, b in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 cuts = merged(zip(a, b), len(raw)) if a else []
-                at, keep = 0, []
-                for x, y in cuts:
-                    keep.append(raw[at:x])
-                    at = y
-                rest = b"".join([*keep, raw[at:]])
+                pieces = [raw[x:y] for x, y in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(raw)])]
+                rest = b"".join(pieces)
                 size.append(len(raw)), removed.append(len(raw) - len(rest)), spans.append(len(cuts))
-                sha.append(hashlib.sha256(rest).hexdigest())
+                sha.append(hashlib.sha256(rest).hexdigest()), left.append("".join(x.decode("utf-8", "ignore") for x in pieces))
                 if with_bytes:
                     kept.append(rest)
-            columns = {"doc_id": batch.column(0), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            columns = {"doc_id": batch.column(0), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "repeats": pa.array(np.array(removed, np.int64) > 0), "text": pa.array(left, pa.string())}
             if with_bytes:
                 columns["kept"] = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean, text string" + ", kept binary" * with_bytes)
 
 
 ORACLE = """
@@ -390,8 +491,13 @@ w AS (SELECT doc_id, p, md5(b[p : p + 399]) AS k FROM (SELECT doc_id, b, unnest(
 m AS (SELECT doc_id, p, p + 399 AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
 s AS (SELECT doc_id, p, q, CASE WHEN p > coalesce(max(q) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -9) + 1 THEN p END AS f FROM m),
 r AS (SELECT doc_id, a, max(q) AS z FROM (SELECT doc_id, q, last_value(f IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p) AS a FROM s) GROUP BY doc_id, a),
-g AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a + 1) AS BIGINT) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+g AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a + 1) AS BIGINT) AS removed, count(*) AS spans FROM r GROUP BY doc_id),
+c AS (SELECT doc_id, ch, i, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM (
+  SELECT doc_id, unnest(x) AS ch, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS x FROM documents WHERE doc_id IN (SELECT doc_id FROM g)))),
+k AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS t FROM c JOIN g USING (doc_id)
+  WHERE NOT list_bool_or(list_transform(range(1, spans + 1), lambda j: q >= a[j] AND q - strlen(ch) + 1 <= z[j])) GROUP BY doc_id)
 SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
-  sha256(CASE WHEN spans IS NULL THEN b ELSE list_reduce(list_transform(range(0, spans + 1), lambda i: b[CASE WHEN i = 0 THEN 1 ELSE z[i] + 1 END : CASE WHEN i = spans THEN octet_length(b) ELSE a[i + 1] - 1 END]), lambda x, y: x || y) END) AS kept_sha256
-FROM d LEFT JOIN g USING (doc_id)
+  sha256(CASE WHEN spans IS NULL THEN b ELSE list_reduce(list_transform(range(0, spans + 1), lambda i: b[CASE WHEN i = 0 THEN 1 ELSE z[i] + 1 END : CASE WHEN i = spans THEN octet_length(b) ELSE a[i + 1] - 1 END]), lambda x, y: x || y) END) AS kept_sha256,
+  coalesce(removed, 0) > 0 AS repeats, CASE WHEN spans IS NULL THEN decode(b) ELSE coalesce(t, '') END AS text
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
