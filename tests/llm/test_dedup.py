@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from textrine.llm import line_dedup, near_dup, suffix_dedup
 from textrine.llm.common import Scratch
@@ -10,30 +11,38 @@ WORDS = [f"w{i}" for i in range(400)]
 
 
 def brute_lines(rows):
-    """Texts after deleting lines covered by a run of three lines that occurred earlier."""
+    """Texts after deleting lines covered by a run of 20 characters or three lines that occurred earlier."""
     seen, out = set(), {}
     for doc_id, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
         lines = text.split("\n")
         at = [i for i, x in enumerate(lines) if x.strip(" \t\r")]
         cover = set()
-        for j in range(len(at) - 2):
-            key = tuple(lines[i].strip(" \t\r") for i in at[j : j + 3])
-            if key in seen:
-                cover.update(range(at[j], at[j + 2] + 1))
-            seen.add(key)
+        for j in range(len(at)):
+            key = ()
+            for i in at[j : j + 3]:
+                key += (lines[i].strip(" \t\r"),)
+                if len(key) == 3 or sum(map(len, key)) >= 20:
+                    if key in seen:
+                        cover.update(range(at[j], i + 1))
+                    seen.add(key)
+                    break
         out[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in cover), len(cover))
     return out
 
 
 def test_lines_equal_brute_force(spark):
     r = random.Random(1)
-    rows = [(i, "\n".join(r.choice(["a", "b ", "c", "", "\td"]) for _ in range(r.randint(0, 14)))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "x\ny\nz"), (103, "0\nx\ny\nz\n1"), (104, "x\ny"), (105, "x\ny\nz\n" * 40)]
-    df = spark.createDataFrame([(*x, "kept") for x in rows], "doc_id long, text string, runs string")
+    rows = [(i, "\n".join(r.choice(["a", "b ", "c", "", "\td", "twelve chars", "a line of twenty chs", "one of nineteen chs", f"a line of its own: {r.random()}"]) for _ in range(r.randint(0, 14)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "x\ny\nz"), (103, "0\nx\ny\nz\n1"), (104, "x\ny"), (105, "x\ny\nz\n" * 40), (106, "y" * 300_000), (107, "own\n" + "y" * 300_000), (108, "a\n" * 50_000)]
+    df = spark.createDataFrame([(*x, "kept", 1) for x in rows], "doc_id long, text string, runs string, _n_removed int")
     got = {x.doc_id: x for x in line_dedup.dedup_lines(df).collect()}
-    assert len(got) == len(rows) and got[100].text is None and all(x.runs == "kept" for x in got.values())
-    for doc_id, (text, removed) in brute_lines(rows).items():
-        assert (got[doc_id].text, got[doc_id]._n_removed) == (text, removed), doc_id
+    assert len(got) == len(rows) and got[100].text is None and all(x.runs == "kept" and x._n_removed == 1 for x in got.values())
+    removed = {x.doc_id: x.n_removed for x in line_dedup.digests(df).collect()}
+    for doc_id, (text, n) in brute_lines(rows).items():
+        assert (got[doc_id].text, removed[doc_id]) == (text, n), doc_id
+    kept = {x.doc_id: x for x in line_dedup.filter_documents(df.withColumn("n_chars", F.lit(-1))).collect()}
+    assert set(kept) == {d for d in got if got[d].text is None or got[d].text.strip() or not removed[d]}
+    assert all(x.n_chars == (len(x.text) if removed[d] else -1) for d, x in kept.items())
 
 
 def test_line_corners(spark):

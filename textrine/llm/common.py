@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the session names no checkpoint folder (unit tests).
+#: Only used where a local session names no checkpoint folder (unit tests).
 LOCAL_SCRATCH = "/tmp/checkpoints/textrine"
 
 #: Distinct words that a Python worker remembers before it starts afresh.
@@ -40,9 +40,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = LOCAL_SCRATCH
         self.root = f"{base.rstrip('/')}/textrine-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.kept: dict[str, DataFrame] = {}
 
     def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         self.count += 1
@@ -53,6 +58,7 @@ class Scratch:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.kept[path] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -60,6 +66,11 @@ class Scratch:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.kept.pop(df._scratch_path, None)
+
+    def drop_all(self, but: DataFrame | None = None) -> None:
+        """What is still there goes, but for the table that the result reads."""
+        self.drop(*(df for df in self.kept.values() if df is not but))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
