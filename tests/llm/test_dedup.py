@@ -125,6 +125,28 @@ def test_near_corners(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Every row is judged by its own text: (7, A) has no copy and stays, (7, B) repeats (3, B)."""
+    a, b, c = ("w" + " w".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b), (7, a), (7, b), (9, a + " end"), (9, c), (11, c + " end"), (2, c)]
+    df = spark.createDataFrame([(*x, "x", 5) for x in rows], "doc_id long, text string, th string, `a.b` int")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(2, 2, True), (3, 3, True), (7, 3, False), (7, 7, True), (9, 2, False), (9, 7, False), (11, 2, False)]
+    kept = {(r.doc_id, r.text, r.th, r[3]) for r in near_dup.filter_documents(df).collect()}
+    assert kept == {(3, b, "x", 5), (7, a, "x", 5), (2, c, "x", 5)}
+
+
+def test_large_keys_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rows = spark.createDataFrame([(1, i) for i in range(20)] + [(2, i) for i in range(3)], "key long, id long")
+    x, y = (r.select("key", "block", F.col("id").alias(i)) for i, r in zip("ab", near_dup.blocked(rows, "key")))
+    got = sorted((r.key, r.a, r.b) for r in x.join(y, ["key", "block"]).where("a < b").collect())
+    assert got == sorted((k, a, b) for k, n in ((1, 20), (2, 3)) for b in range(n) for a in range(b))
+    rows = near_rows(5, groups=3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()} == brute_components(rows)
+
+
 def test_signature_difference(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << near_dup.BITS, (50, near_dup.SYMBOLS))

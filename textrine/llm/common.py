@@ -63,14 +63,15 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
-        for df in tables:
+        for df in [x for x in tables if x._scratch_path in self.kept]:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
             self.kept.pop(df._scratch_path, None)
 
-    def drop_all(self, but: DataFrame | None = None) -> None:
-        """What is still there goes, but for the table that the result reads."""
-        self.drop(*(df for df in self.kept.values() if df is not but))
+    def drop_all(self, *but: DataFrame) -> None:
+        """What is still there goes, but for the tables that the result reads."""
+        keep = {df._scratch_path for df in but}
+        self.drop(*(df for path, df in self.kept.items() if path not in keep))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -102,7 +102,7 @@ def cut(docs: DataFrame) -> DataFrame:
     """row (all columns of ``docs``), text without later repeated runs, n_lines, n_removed and n_runs."""
     scratch = Scratch(docs.sparkSession, "lines")
     found = scratch.keep(runs(repeated_windows(line_arrays(docs), scratch)), "runs")
-    scratch.drop_all(but=found)
+    scratch.drop_all(found)
     # the row goes along as one struct, so that its columns may have any names
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id"), F.lit(FIRST_ID)).alias("did"), F.xxhash64("text").alias("th"))
     joined = keyed.join(found, ["did", "th"], "left").withColumn("ls", F.split("row.text", "\n"))

@@ -25,10 +25,15 @@ words: the whole sequence). Two documents are linked if 100 * intersection >=
    falls out here unpaired. Hot keys are counted before they are shuffled.
 4. Components by label propagation with pointer jumping; nothing is collected.
 
+Hot groups: a pair with a group's middle is joined to both sets by joins that
+Spark may split; a key of more than BLOCK members is compared block by block.
+
 Defined results: null and empty texts and texts without words have an empty
 set, no links and their own component; rows with a null id are left out of
-links and keep a null component; repeated rows are copies; extra columns pass
-through ``filter_documents`` untouched; an empty table gives an empty table.
+links and keep a null component; repeated rows are copies; rows with one id and
+different texts are judged each by its own text, and ``filter_documents`` drops
+just those that are not kept; its other columns, of any names, stay untouched;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -51,6 +56,8 @@ TURNS = 1
 #: Shingles that at most so many documents have, among those left, make pairs by themselves.
 RARE = 8
 LANES = SYMBOLS // PER
+#: Members of a key that one task compares with as many others.
+BLOCK = 2_000
 #: Bytes of text whose shingles are in memory at once (and one text, if longer).
 PART = 1_500_000
 
@@ -71,8 +78,29 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def digest(values: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """An order-free sum of each text's distinct shingles; 0 for an empty set."""
+    starts = np.minimum(offsets[:-1], max(len(values) - 1, 0))
+    sums = np.add.reduceat(mix64(values + np.uint64(k)), starts) if len(values) else np.zeros(len(offsets) - 1, np.uint64)
+    return np.where(np.diff(offsets) > 0, sums, 0).astype(np.uint64).view(np.int64)
+
+
+def distinct_sets(sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc (smallest id), n, d1, d2, sig and id of each distinct set.
+
+    ``id`` is the smallest doc_id. Where a doc_id is that of several sets (its rows
+    have different texts), all but one of them get a hash of id and text instead.
+    """
+    sets = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("sig").alias("sig"))
+    sets = scratch.keep(sets.select("n", "d1", "d2", "sig", F.col("one.doc_id").alias("doc"), F.col("one.th").alias("th")), "sets")
+    shared = sets.groupBy("doc").agg(F.count("*").alias("sets"), F.min(F.struct("n", "d1", "d2")).alias("first")).where("sets > 1").drop("sets")
+    own = F.col("first").isNull() | (F.col("first") == F.struct("n", "d1", "d2"))
+    named = sets.join(shared, "doc", "left").withColumn("id", F.when(own, F.col("doc")).otherwise(F.xxhash64("doc", "th")))
+    return scratch.keep(named.select("doc", "n", "d1", "d2", "sig", "id"), "classes")
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n, d1, d2 (digest) and sig, LANES longs of packed symbols; no shuffle."""
+    """doc_id, th (hash of the text), n, d1, d2 (digest) and sig, LANES longs of packed symbols; no shuffle."""
     import pyarrow as pa
 
     def run(batches):
@@ -83,13 +111,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n = np.diff(offsets)
                 symbols = signatures(values, offsets)
                 lanes = [sum(symbols[PER * i + j] << np.uint64(STEP * j) for j in range(PER)).view(np.int64) for i in range(LANES)]
-                starts = np.minimum(offsets[:-1], max(len(values) - 1, 0))
-                sums = [(np.add.reduceat(mix64(values + np.uint64(k)), starts) if len(values) else np.zeros(b - a, np.uint64)) for k in (1, 2)]
-                d1, d2 = ((np.where(n > 0, s, 0)).astype(np.uint64).view(np.int64) for s in sums)
+                d1, d2 = (digest(values, offsets, k) for k in (1, 2))
                 sig = pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack(lanes).ravel()), LANES).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(d1), pa.array(d2), sig], ["doc_id", "n", "d1", "d2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n), pa.array(d1), pa.array(d2), sig], ["doc_id", "th", "n", "d1", "d2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, d1 long, d2 long, sig array<long>")
 
 
 def keys(classes: DataFrame) -> DataFrame:
@@ -125,11 +151,12 @@ def first_shared(a: str, b: str, slot: str) -> str:
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """id, set: the distinct shingles of the documents with these ids, as a written table.
+    """id, d1, set: the distinct shingles of the documents with these ids, as a written table.
 
     Only texts that a bitmap of the ids lets through are cut into sets, so that
-    texts are never shuffled; some other documents may pass. Once the table is
-    written, nothing needs the bitmap any more.
+    texts are never shuffled; some other documents may pass, and rows that share
+    an id, so that a set belongs to an id only together with its digest d1. Once
+    the table is written, nothing needs the bitmap any more.
     """
     import pyarrow as pa
 
@@ -138,29 +165,33 @@ def sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> Dat
     def run(batches):
         cache, bits = WordHashes(), shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(bits, batch.column(1).to_numpy())))
-            for a, b, texts in text_slices(batch.column(2), PART):
+            ways = [in_bitmap(bits, batch.column(i).to_numpy()) for i in (1, 3)]
+            keep = pa.array(ways[0] | ways[1])
+            ways, batch = [w[ways[0] | ways[1]] for w in ways], batch.filter(keep)
+            for a, b, texts in text_slices(batch.column(4), PART):
                 values, offsets = distinct_per_text(*batch_shingles(texts, cache, WORDS))
+                d1 = pa.array(digest(values, offsets, 1))
                 sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], sets], ["id", "set"])
+                for way, column in zip(ways, (0, 2)):
+                    chosen = pa.array(way[a:b])
+                    yield pa.RecordBatch.from_arrays([batch.column(column)[a:b], d1, sets], ["id", "d1", "set"]).filter(chosen)
 
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), "text")
-    sets = scratch.keep(texts.mapInArrow(run, "id long, set array<long>"), name)
+    doc, other = F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    texts = docs.where("doc_id IS NOT NULL").select(doc.alias("id"), F.xxhash64(doc).alias("hash"), other.alias("other"), F.xxhash64(other).alias("other_hash"), "text")
+    sets = scratch.keep(texts.mapInArrow(run, "id long, d1 long, set array<long>"), name)
     shared.destroy()
     return sets
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of distinct ids whose full sets are similar enough; of each pair one set is shuffled."""
-    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, scratch, f"{name}-sets")
+    """The pairs (a, da, b, db: distinct ids with digests) whose full sets are similar enough; of each pair one set is shuffled."""
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, scratch, f"{name}-sets").dropDuplicates(["id", "d1"])
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("d1").alias(f"d{x}"), F.col("set").alias(f"s{x}"))
     both = (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+        pairs.join(side("b"), ["b", "db"]).join(side("a"), ["a", "da"])
         .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
-    )
-    links = scratch.keep(both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct(), f"{name}-links")
-    scratch.drop(sets)
-    return links
+    )
+    return scratch.keep(both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b"), f"{name}-links")
 
 
 def linkable(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -173,8 +204,8 @@ def linkable(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFra
     Second: id, s of shingles that 2 to RARE ids have. A link either shares one of
     these, or its intersection is among the frequent ones.
     """
-    near = sets_of(ids, docs, scratch, "rest-sets")
-    alive = scratch.keep(near.join(ids, "id", "left_semi").dropDuplicates(["id"]), "alive")
+    near = sets_of(ids, docs, scratch, "rest-sets")  # ids: id, d1
+    alive = scratch.keep(near.join(ids, ["id", "d1"], "left_semi").dropDuplicates(["id"]).select("id", "set"), "alive")
     scratch.drop(near)
     for _ in range(2):
         own = alive.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
@@ -243,24 +274,31 @@ def leads(labelled: DataFrame, turn: int) -> DataFrame:
     return top.select("key", "top.lead", F.col("top.label").alias("lead_label"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def blocked(rows: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` for the two sides of a self-join by ``on``, with a column ``block``: the members of a
+    value with more than BLOCK of them are dealt to blocks, and each two blocks meet in a task of their own."""
+    large = rows.groupBy(on).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = rows.join(F.broadcast(large), on, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = dealt.select("*", mine.alias("mine"), every.alias("other")).drop("blocks")
+    side = lambda x, y: cells.withColumn("block", F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).drop("mine", "other")
+    return side("mine", "other"), side("other", "mine")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id, kept for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near")
     sketches = scratch.keep(sketch(docs), "sketch")
-    classes = (
-        sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2")
-        .agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"))
-    )
-    classes = scratch.keep(classes, "classes")
+    classes = distinct_sets(sketches, scratch)
     keyed = keys(classes)
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.keep(keyed.join(shared, "key"), "members")
 
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"))
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("d1").alias(f"d{x}"), F.col("sig").alias(f"s{x}"))
     near = f"{differing('sa', 'sb')} <= {LOOSE}"
 
     def close(pairs: DataFrame, name: str) -> DataFrame:
-        return scratch.keep(pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"), name)
+        return scratch.keep(pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(near).select("a", "da", "b", "db"), name)
 
     # first the member of most keys' weight, which is the middle of a group of copies
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
@@ -286,38 +324,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     now = scratch.keep(labelled(), "labelled")
     split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rest = scratch.keep(now.join(split, "key", "left_semi"), "rest")
-    able, rare = linkable(rest.select("id").distinct(), docs, scratch)
-    able = able.join(classes.select("id", "sig"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    able, rare = linkable(rest.select("id").distinct().join(classes.select("id", "d1"), "id"), docs, scratch)
+    able = able.join(classes.select("id", "d1", "sig"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     able = scratch.keep(able, "able")
 
     def meet(rows: DataFrame, on: str, bound: str, more: str) -> DataFrame:
         """Pairs of different components that meet in ``on`` and whose counts allow a link."""
         rows = scratch.keep(rows.join(able, "id"), "meet")
-        x, y = (rows.select(F.col(on).alias("on"), *(F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "label", "sig", bound, *(["slot"] if "slot" in rows.columns else [])))) for i in "ab")
+        x, y = (r.select(F.col(on).alias("on"), "block", *(F.col(c).alias(f"{c}_{i}") for c in ("id", "d1", "n", "label", "sig", bound, *(["slot"] if "slot" in rows.columns else [])))) for i, r in zip("ab", blocked(rows, on)))
         least = f"least({bound}_a, {bound}_b)"
         can = f"id_a < id_b AND label_a != label_b AND 100 * {least} >= {PERCENT} * (n_a + n_b - {least}) AND {differing('sig_a', 'sig_b')} <= {LOOSE}{more}"
-        return x.join(y, (x["on"] == y["on"]) & F.expr(can)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+        met = x.join(y, (x["on"] == y["on"]) & (x["block"] == y["block"]) & F.expr(can))
+        return met.select(F.col("id_a").alias("a"), F.col("d1_a").alias("da"), F.col("id_b").alias("b"), F.col("d1_b").alias("db"))
 
     by_key = meet(rest.select("key", "slot", "id"), "key", "frequent", f" AND {first_shared('sig_a', 'sig_b', 'slot_a')}")
-    cross = by_key.union(meet(rare, "s", "common", "")).distinct()
+    cross = scratch.keep(by_key.union(meet(rare, "s", "common", "")), "met").distinct()
     cross = scratch.keep(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         labels = joined_components(labels, confirmed(cross, docs, scratch, "cross"), scratch, "cross")
-    scratch.drop(members, now, rest, cross)
 
-    named = classes.join(labels, "id", "left").select("n", "d1", "d2", F.coalesce("label", "id").alias("component"))
+    label = F.coalesce("label", "id")
+    smallest = classes.join(labels, "id", "left").groupBy(label.alias("label")).agg(F.min("doc").alias("component"))
+    named = classes.join(labels, "id", "left").select("n", "d1", "d2", label.alias("label")).join(smallest, "label").drop("label")
+    named = scratch.keep(named, "components")
+    scratch.drop_all(named, sketches)
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
     return (
         sketches.join(named, ["n", "d1", "d2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+        .select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    return judged(docs).drop("th")
+
+
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are their component's smallest id, all columns."""
-    dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = judged(docs).where("NOT kept").select("doc_id", "th").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"))
+    return rows.join(dropped, ["doc_id", "th"], "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 ORACLE = """
