@@ -197,7 +197,7 @@ def test_substrings_equal_brute_force(spark):
     df = spark.createDataFrame([(*x, "y") for x in rows], "doc_id long, text string, raw string")
     want = brute_bytes(rows, suffix_dedup.LENGTH)
     assert rows_of(suffix_dedup.dedup(df)) == want
-    assert rows_of(suffix_dedup.dedup(df, batches=3, share=2)) == want  # hot classes by broadcast, hot prefixes by counted windows
+    assert rows_of(suffix_dedup.dedup(df, batches=3, share=2, group=2)) == want  # hot classes by broadcast, hot prefixes by counted windows
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
 
 
@@ -218,7 +218,7 @@ def test_batches_come_one_by_one(spark, tmp_path):
     assert grams == sorted(grams)
     scratch = Scratch(spark, "test")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = suffix_dedup.removed_ranges(suffix_dedup.extended(suffix_dedup.entries_of(docs, family.candidates(), scratch), scratch)).collect()
+    found = suffix_dedup.removed_ranges(suffix_dedup.matches(docs, family.candidates(), scratch)).collect()
     got = {r.did: sum(b - a for a, b in suffix_dedup.merged(((x.a, x.b) for x in r.ranges), 10**9)) for r in found}
     assert got == {d: removed for d, _, removed, _, _ in brute_bytes(rows, suffix_dedup.LENGTH) if removed}
 

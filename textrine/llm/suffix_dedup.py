@@ -12,9 +12,8 @@ The windows that chose an anchor span a stretch of the text around it, which has
 a 128-bit digest; entries with equal spans and offsets form a class.
 
 Arrays and family (``IndexFamily``). An array has one row for each distinct
-prefix of GRAM bytes among its suffixes, with its number of entries and the
-least and greatest digest, in the order of the prefixes within each of a fixed
-number of buckets. Documents come in batches. A batch's array is scanned
+prefix of GRAM bytes among its suffixes, with its number of entries, in the order
+of the prefixes within each of a fixed number of buckets. Documents come in batches. A batch's array is scanned
 together with each level's by a merge join, which needs no shuffle, as all
 arrays share their buckets; a prefix in both, or twice in the batch, is a
 candidate for a long match. Then levels of equal rank are merged, so that a row
@@ -25,16 +24,18 @@ of the input.
 
 Extension. A second pass over the texts returns the entries whose prefix is a
 candidate. All bytes of a class of two or more match. Where a prefix has several
-classes and one of them a single entry, the spans of its classes are compared
-window by window, which extends each match to the left and right to its ends.
+classes and one of them a single entry, a third pass cuts out the span of one
+entry of each class, and these are compared window by window, which extends each
+match to the left and right to its ends.
 
 Equality is by the digest (128 bits) or, window by window, by two 64-bit
 polynomials with the prefix and the window's offset.
 
 Hot groups: rows are counted by class before they are shuffled. Classes and
 prefixes with more than their share of rows are few (at most PER_TASK for each
-shuffle partition) and are broadcast instead of shuffled; such a prefix's windows
-are counted across the cluster.
+shuffle partition) and are broadcast instead of shuffled. A prefix with more than
+GROUP classes is compared by a distributed count of window hashes instead of in
+one task's memory.
 
 Defined results: null and empty texts have 0 bytes; texts under LENGTH bytes
 stay whole; rows with equal id and text are two documents that match each
@@ -55,11 +56,13 @@ from textrine.llm.common import Scratch, bitmap_of, in_bitmap, mix64, partitions
 
 LENGTH, GRAM = 400, 32
 #: Input of which one batch is made at most; beyond it, each doubling makes one batch more.
-BATCH_BYTES = 256 << 20
+BATCH_BYTES = 1 << 30
 #: Bytes that are hashed at once; longer texts are taken in overlapping segments.
 PART = 1 << 21
 #: A class or prefix is hot if it has more than 1 / PER_TASK of the rows that a shuffle partition gets on average.
 PER_TASK = 4
+#: Classes of one prefix that a task compares in memory.
+GROUP = 20_000
 
 _rng = np.random.default_rng(400)
 _TABLES = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -169,19 +172,18 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """gram, key (its hash) and s (half of the span's digest) of every entry."""
+    """gram and key (its hash) of every entry."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             for group in groups_of(batch.column(0)):
-                _, at, p1, p2, key, buf, begin, place = anchors(group)
-                s = digests(buf.tobytes(), begin, p2 - p1 + LENGTH, at - p1)[:, 0]
+                *_, key, buf, _, place = anchors(group)
                 gram = np.lib.stride_tricks.sliding_window_view(buf, GRAM)[place] if len(place) else np.zeros((0, GRAM), np.uint8)
                 grams = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GRAM), len(place), [None, pa.py_buffer(gram.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([grams, pa.array(key.view(np.int64)), pa.array(np.ascontiguousarray(s))], ["gram", "key", "s"])
+                yield pa.RecordBatch.from_arrays([grams, pa.array(key.view(np.int64))], ["gram", "key"])
 
-    return docs.select("text").mapInArrow(run, "gram binary, key long, s long")
+    return docs.select("text").mapInArrow(run, "gram binary, key long")
 
 
 class IndexFamily:
@@ -192,7 +194,7 @@ class IndexFamily:
     later, by another session too.
     """
 
-    COLUMNS = "gram binary, key long, m long, lo long, hi long"
+    COLUMNS = "gram binary, key long, m long"
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 0):
         self.spark, self.root = spark, root
@@ -230,13 +232,12 @@ class IndexFamily:
 
     def add(self, docs: DataFrame) -> None:
         """The batch's array, scanned against itself and each level; then equal ranks merge."""
-        array = prefixes(docs).groupBy("gram", "key").agg(F.count("*").alias("m"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+        array = prefixes(docs).groupBy("gram", "key").agg(F.count("*").alias("m"))
         name = self.keep(array.repartition(self.buckets, "gram"), 0)
         array = self.read(name)
-        found = array.where("m > 1").select("key", "lo", "hi")
+        found = array.where("m > 1").select("key")
         for _, level in self.levels:
-            other = self.read(level).select("gram", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-            found = found.union(array.join(other.hint("merge"), "gram").select("key", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi")))
+            found = found.union(array.join(self.read(level).select("gram").hint("merge"), "gram").select("key"))
         found.write.option("compression", "zstd").parquet(f"{self.root}/met{self.made}")
         self.met.append(f"met{self.made}")
         self.levels.append((0, name))
@@ -251,12 +252,11 @@ class IndexFamily:
 
     def merged(self, a: str, b: str) -> DataFrame:
         """The merge of two sorted arrays, bucket by bucket."""
-        x, y = self.read(a), self.read(b).toDF("gram", "key2", "m2", "lo2", "hi2")
+        x, y = self.read(a), self.read(b).toDF("gram", "key2", "m2")
         zero = F.lit(0)
         return x.join(y.hint("merge"), "gram", "full_outer").select(
-            "gram", F.coalesce("key", "key2").alias("key"), (F.coalesce("m", zero) + F.coalesce("m2", zero)).alias("m"),
-            F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"),
-        )
+            "gram", F.coalesce("key", "key2").alias("key"), (F.coalesce("m", zero) + F.coalesce("m2", zero)).alias("m")
+        )
 
     def save(self) -> None:
         entries = [("level", rank, name) for rank, name in self.levels] + [("met", 0, name) for name in self.met]
@@ -264,9 +264,8 @@ class IndexFamily:
         self.spark.createDataFrame(rows, "version int, buckets int, made int, kind string, rank int, name string, nth int").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
 
     def candidates(self) -> DataFrame:
-        """key, several (whether it has more than one class) of every prefix that occurs twice."""
-        rows = self.spark.read.schema("key long, lo long, hi long").parquet(*(f"{self.root}/{x}" for x in self.met))
-        return rows.groupBy("key").agg((F.min("lo") < F.max("hi")).alias("several"))
+        """The key of every prefix that occurs twice."""
+        return self.spark.read.schema("key long").parquet(*(f"{self.root}/{x}" for x in self.met)).distinct()
 
     def close(self, delete: bool = True) -> None:
         """Forget the tables; with ``delete`` their files too."""
@@ -276,38 +275,64 @@ class IndexFamily:
             self.drop(name)
 
 
-ENTRY = "key long, s1 long, s2 long, o int, n int, did long, th long, at int, raw binary"
+ENTRY = "key long, s1 long, s2 long, tag long, did long, th long, a int, b int"
 
 
-def entries_of(docs: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
-    """The entries whose prefix is a candidate, as a written table; with the bytes that they span where the prefix has several classes.
+def tags(key: np.ndarray, did: np.ndarray, th: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of an entry's place."""
+    return mix64(key + mix64(did.view(np.uint64) ^ mix64(th.view(np.uint64))) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    Candidates go to the text pass as bitmaps of fixed size. What passes by chance
-    is alone in its class and prefix, and therefore never marked.
+
+def entries_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The entries whose prefix is a candidate, with the bytes [a, b) that they span.
+
+    Candidates go to the text pass as a bitmap of fixed size. What passes by
+    chance is alone in its class and prefix, and therefore never marked.
+    """
+    import pyarrow as pa
+
+    shared = bitmap_of(candidates, "key")
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            did, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for group in groups_of(batch.column(2)):
+                row, at, p1, p2, key, buf, begin, _ = anchors(group)
+                ok = np.flatnonzero(in_bitmap(bits, key))
+                row, at, p1, p2, key = row[ok], at[ok], p1[ok], p2[ok], key[ok]
+                s = digests(buf.tobytes(), begin[ok], p2 - p1 + LENGTH, at - p1)
+                columns = [key.view(np.int64), np.ascontiguousarray(s[:, 0]), np.ascontiguousarray(s[:, 1]), tags(key, did[row], th[row], at).view(np.int64), did[row], th[row], p1.astype(np.int32), (p2 + LENGTH).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "s1", "s2", "tag", "did", "th", "a", "b"])
+
+    return identified(docs).mapInArrow(run, ENTRY)
+
+
+def spans_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """key, did, th, at, o (the anchor's place in the text and the span) and bytes of the entries with the ``chosen`` keys and tags.
+
+    Both go as bitmaps. An entry that passes by chance does no harm: it is there,
+    so any window that it shares with another does occur twice.
     """
     import pyarrow as pa
 
-    candidates = scratch.keep(candidates, "candidates")
-    met, several = bitmap_of(candidates, "key"), bitmap_of(candidates.where("several"), "key")
-    scratch.drop(candidates)
+    keys, places = bitmap_of(chosen, "key"), bitmap_of(chosen, "tag")
 
     def run(batches):
-        some, more = met.value, several.value
+        some, at_some = keys.value, places.value
         for batch in batches:
             did, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for group in groups_of(batch.column(2)):
                 row, at, p1, p2, key, buf, begin, _ = anchors(group)
-                raw, hits = buf.tobytes(), np.flatnonzero(in_bitmap(some, key))
+                hits = np.flatnonzero(in_bitmap(some, key))
+                hits = hits[in_bitmap(at_some, tags(key[hits], did[row[hits]], th[row[hits]], at[hits]))]
+                raw = buf.tobytes()
                 for ok in np.array_split(hits, len(hits) // 8192 + 1):
-                    size, offset = (p2 - p1)[ok] + LENGTH, (at - p1)[ok]
-                    s = digests(raw, begin[ok], size, offset)
-                    cut = [raw[b : b + n] if w else None for b, n, w in zip(begin[ok].tolist(), size.tolist(), in_bitmap(more, key[ok]).tolist())]
-                    columns = [key.view(np.int64)[ok], np.ascontiguousarray(s[:, 0]), np.ascontiguousarray(s[:, 1]), offset.astype(np.int32), (p2 - p1 + 1)[ok].astype(np.int32), did[row[ok]], th[row[ok]], at[ok].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(cut, pa.binary())], ["key", "s1", "s2", "o", "n", "did", "th", "at", "raw"])
+                    cut = [raw[b : b + n] for b, n in zip(begin[ok].tolist(), ((p2 - p1)[ok] + LENGTH).tolist())]
+                    columns = [key.view(np.int64)[ok], did[row[ok]], th[row[ok]], at[ok].astype(np.int32), (at - p1)[ok].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(cut, pa.binary())], ["key", "did", "th", "at", "o", "raw"])
 
-    kept = scratch.keep(identified(docs).mapInArrow(run, ENTRY), "entries")
-    met.destroy(), several.destroy()
-    return kept
+    return identified(docs).mapInArrow(run, "key long, did long, th long, at int, o int, raw binary")
 
 
 def semi_by_count(rows: DataFrame, counted: DataFrame, on: list[str], n: str, share: int) -> DataFrame:
@@ -409,36 +434,35 @@ def batches_of(docs: DataFrame) -> int:
     return 2 + (size // BATCH_BYTES).bit_length() if size < 1 << 60 else 2
 
 
-def marks(docs: DataFrame, scratch: Scratch, batches: int = 0, share: int = 0) -> DataFrame:
+def marks(docs: DataFrame, scratch: Scratch, batches: int = 0, share: int = 0, group: int = GROUP) -> DataFrame:
     """Byte ranges [a, b) to remove, with overlaps; by did and th."""
     batches = batches or batches_of(docs)
     family = IndexFamily(docs.sparkSession, f"{scratch.root}/family")
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))
     for i in range(batches):
         family.add(docs.where(dealt == i))
-    entries = entries_of(docs, family.candidates(), scratch)
+    candidates = scratch.keep(family.candidates(), "candidates")
     family.close()
-    return extended(entries, scratch, share)
+    return matches(docs, candidates, scratch, share, group)
 
 
-def extended(entries: DataFrame, scratch: Scratch, share: int = 0) -> DataFrame:
-    """The marks of all matches between some entries. ``share``: rows from which a class or prefix is hot, else by PER_TASK."""
-    per_task = lambda n: share or n // (PER_TASK * partitions_of(entries.sparkSession)) + 1
+def matches(docs: DataFrame, candidates: DataFrame, scratch: Scratch, share: int = 0, group: int = GROUP) -> DataFrame:
+    """The marks of all matches at the candidate prefixes. ``share``: rows from which a class is hot, else by PER_TASK."""
     class_of = ["key", "s1", "s2"]
-    classes = scratch.keep(entries.groupBy(*class_of).agg(F.count("*").alias("m"), F.first(F.struct("did", "th", "at", "o", "raw")).alias("one")), "classes")
-    whole = semi_by_count(entries.drop("raw"), classes.where("m > 1").select(*class_of, "m"), class_of, "m", per_task(entries.count()))
-    first = F.col("at") - F.col("o")
-    found = whole.select("did", "th", first.alias("a"), (first + F.col("n") - 1 + LENGTH).alias("b"))
+    entries = scratch.keep(entries_of(docs, candidates), "entries")
+    classes = scratch.keep(entries.groupBy(*class_of).agg(F.count("*").alias("m"), F.min("tag").alias("tag")), "classes")
+    share = share or entries.count() // (PER_TASK * partitions_of(docs.sparkSession)) + 1
+    found = semi_by_count(entries, classes.where("m > 1").select(*class_of, "m"), class_of, "m", share).select("did", "th", "a", "b")
 
     several = classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("m").alias("least")).where("classes > 1 AND least = 1")
     several = scratch.keep(several.select("key", "classes"), "several")
-    hot = per_task(several.agg(F.sum("classes")).first()[0] or 0)
-    spans = classes.where("one.raw IS NOT NULL").select("key", "one.*")
-    cool = spans.join(several.where(F.col("classes") <= hot).select("key"), "key", "left_semi")
-    found = found.union(compare(cool.repartition("key").sortWithinPartitions("key")))
-    if not several.where(F.col("classes") > hot).isEmpty():
-        found = found.union(compare_counted(spans.join(F.broadcast(several.where(F.col("classes") > hot).select("key")), "key", "left_semi"), scratch))
-    return found
+    spans = spans_of(docs, scratch.keep(semi_by_count(classes, several, ["key"], "classes", share).select("key", "tag"), "chosen"))
+    hot = several.where(F.col("classes") > group).select("key")
+    if hot.isEmpty():
+        return found.union(compare(spans.repartition("key").sortWithinPartitions("key")))
+    spans, hot = scratch.keep(spans, "spans"), F.broadcast(hot)  # at most entries / GROUP of them
+    cool = spans.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    return found.union(compare(cool)).union(compare_counted(spans.join(hot, "key", "left_semi"), scratch))
 
 
 def removed_ranges(found: DataFrame) -> DataFrame:
@@ -456,12 +480,13 @@ def merged(ranges, size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def dedup(docs: DataFrame, batches: int = 0, share: int = 0, with_bytes: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 0, share: int = 0, group: int = GROUP, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether any byte goes), text (the characters kept) and (``with_bytes``) the kept bytes."""
     import pyarrow as pa
 
     scratch = Scratch(docs.sparkSession, "suffix")
-    ranges = scratch.keep(removed_ranges(marks(docs, scratch, batches, share)), "ranges")
+    ranges = scratch.keep(removed_ranges(marks(docs, scratch, batches, share, group)), "ranges")
+    scratch.drop_all(ranges)
     keyed = identified(docs).withColumn("doc_id", F.when(F.col("did") != -(1 << 63), F.col("did")))
     joined = keyed.join(ranges, ["did", "th"], "left").select("doc_id", "text", F.col("ranges.a").alias("a"), F.col("ranges.b").alias("b"))
 
