@@ -1,16 +1,24 @@
-"""Quality rules with an isolation forest over rule statistics.
+"""Quality rules with isolation forests over rule statistics.
 
 Every document gets rule statistics of its whole text. Two base rules reject
-outright; an isolation forest (random axis-parallel splits on small subsamples,
-short expected path = anomalous) judges the rest. The forest is fitted on at
-most ``FIT_ROWS`` labelled rows; the threshold is calibrated on the scores of
-*all* labelled rows so that at most ``CLEAN_LOSS`` of those labelled good that
-pass the base rules are rejected.
+outright; the rest is judged by isolation forests, one for each of the rates in
+``RATES``: a tree cuts at random places until a value is alone, so a short
+expected path marks a rare value. Cuts are drawn from a range that reaches
+beyond the sample, so that values outside it are rarer than its ends. One forest
+over all rates together would drown a fault in one rate among the others.
+
+The forests are fitted on at most ``FIT_ROWS`` labelled rows; each has a
+threshold of its own, calibrated on the scores of *all* labelled rows: of those
+labelled good that pass the base rules, a forest may reject a share of
+CLEAN_LOSS / len(RATES), so that all together reject CLEAN_LOSS at most. A
+forest that finds a smaller share of the rows labelled bad than of the good
+ones is not asked.
 
 Defined results: null and empty texts have zero counts and fail the base rules;
-repeated rows get equal verdicts; ties at the threshold are kept; without
-labelled rows of good quality the forest rejects nothing; extra columns pass
-through ``filter_documents`` untouched; an empty table gives an empty table.
+repeated rows get equal verdicts; ties at a threshold are kept; without labelled
+rows of good quality the forests reject nothing; where labelled rows share an id
+one of them is fitted on; extra columns pass through ``filter_documents``
+untouched; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,14 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import Scratch, WordHashes, shingle_hashes
+from textrine.llm.common import Scratch, WordHashes, bitmap_of, in_bitmap, shingle_hashes
 
-#: Labelled rows that the forest is fitted on, at most (chosen by a hash of the id).
+#: Labelled rows that the forests are fitted on, at most (chosen by a hash of the id).
 FIT_ROWS = 20_000
-TREES, SUBSAMPLE, SEED = 120, 256, 11
-#: Share of rows labelled good that the calibrated threshold may reject.
+TREES, SUBSAMPLE, SEED = 80, 256, 11
+#: Share of rows labelled good that the calibrated thresholds may reject.
 CLEAN_LOSS = 0.001
-BINS = 4096
+BINS = 1024
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_chars_seen", "n_lines", "n_upper", "n_digits", "n_bangs", "n_distinct", "n_echoes"]
@@ -85,20 +93,22 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)).mapInArrow(count, SCHEMA)
 
 
-def features(x: pd.DataFrame) -> np.ndarray:
-    """Rates for the forest, from the counts.
+#: The statistics that forests judge.
+RATES = ["symbols", "upper", "digits", "bangs", "echoes", "dup_lines", "repeats", "word_length", "line_length", "variety"]
 
-    Each rate is damped by a few ordinary words or characters, so that short
-    texts are not outliers for their length, and is flat where low values are
-    no fault, so that splits fall on the faulty side.
+
+def rates(x: pd.DataFrame) -> np.ndarray:
+    """The RATES of some rows of counts.
+
+    Each is damped by a few ordinary words, characters or lines, so that short
+    texts are not outliers for their length.
     """
-    words, chars = x["n_words"].to_numpy(float) + 20, x["n_chars_seen"].to_numpy(float) + 80
-    return np.log(np.column_stack([
-        0.05 + x["n_symbols"] / words,
-        np.maximum(0.10, x["n_upper"] / chars),
-        0.05 + x["n_bangs"] / words,
-        np.maximum(0.10, x["n_echoes"] / words),
-    ]).astype(float))
+    words, chars, lines = x["n_words"].to_numpy(float) + 20, x["n_chars_seen"].to_numpy(float) + 80, x["n_lines"].to_numpy(float) + 2
+    return np.column_stack([
+        x["n_symbols"] / words, x["n_upper"] / chars, x["n_digits"] / chars, x["n_bangs"] / words, x["n_echoes"] / words,
+        x["n_dup_lines"] / lines, x["n_repeat_words"] / words, (x["word_chars"] + 100) / words,
+        np.log((x["n_words"] + 20) / lines), np.log((x["n_distinct"] + 20) / np.sqrt(words)),
+    ]).astype(float)
 
 
 def mean_path(n: np.ndarray) -> np.ndarray:
@@ -108,113 +118,150 @@ def mean_path(n: np.ndarray) -> np.ndarray:
 
 
 class IsolationForest:
-    """Trees as flat arrays: feature, cut, left child (right = left + 1), leaf path."""
+    """Trees of random cuts of one statistic, each as its cuts in order and the path to the leaf between any two.
+
+    Their mean is a step function of the value, which is kept as a table.
+    """
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, values: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.trees = [self.grow(rows[rng.choice(len(rows), min(subsample, len(rows)), replace=False)], rng) for _ in range(trees)]
-        self.norm = float(mean_path(np.array([max(2, min(subsample, len(rows)))]))[0])
+        n = min(subsample, len(values))
+        self.trees = [self.grow(np.sort(rng.choice(values, n, replace=False)), rng) for _ in range(trees)]
+        self.norm = float(mean_path(np.array([max(2, n)]))[0])
+        self.cuts = np.unique(np.concatenate([cuts for cuts, _ in self.trees]))
+        below = np.concatenate([[-np.inf], self.cuts])
+        self.paths = np.mean([paths[np.searchsorted(cuts, below, "right")] for cuts, paths in self.trees], 0)
 
     @staticmethod
-    def grow(rows: np.ndarray, rng) -> tuple[np.ndarray, ...]:
-        limit = int(np.ceil(np.log2(max(2, len(rows)))))
-        feature, cut, left, path = [0], [0.0], [0], [0.0]
-        todo = [(0, rows, 0)]
-        while todo:
-            node, part, depth = todo.pop()
-            low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(1), np.zeros(1))
-            usable = np.flatnonzero(high > low)
-            if depth >= limit or len(part) <= 1 or not len(usable):
-                path[node] = depth + float(mean_path(np.array([len(part)]))[0])
-                continue
-            f = int(rng.choice(usable))
-            c = float(rng.uniform(low[f], high[f]))
-            feature[node], cut[node], left[node] = f, c, len(left)
-            for _ in range(2):
-                feature.append(0), cut.append(0.0), left.append(0), path.append(0.0)
-            goes = part[:, f] >= c
-            todo += [(left[node], part[~goes], depth + 1), (left[node] + 1, part[goes], depth + 1)]
-        return np.array(feature), np.array(cut), np.array(left), np.array(path)
-
-    def score(self, rows: np.ndarray) -> np.ndarray:
+    def grow(values: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+        limit = 2 * int(np.ceil(np.log2(max(2, len(values)))))
+        room = float(values[-1] - values[0]) or 1.0
+        cuts, paths = [], []
+
+        def node(part, low, high, depth):
+            if depth >= limit or len(part) <= 1:
+                paths.append(depth + float(mean_path(np.array([len(part)]))[0]))
+                return
+            cut = float(rng.uniform(low, high))
+            k = int(np.searchsorted(part, cut))
+            node(part[:k], low, cut, depth + 1)
+            cuts.append(cut)
+            node(part[k:], cut, high, depth + 1)
+
+        node(values, values[0] - room, values[-1] + room, 0)
+        return np.array(cuts), np.array(paths)
+
+    def score(self, values: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / normaliser): near 1 is anomalous, under 0.5 ordinary."""
-        total, every = np.zeros(len(rows)), np.arange(len(rows))
-        for feature, cut, left, path in self.trees:
-            at = np.zeros(len(rows), np.int64)
-            while (left[at] > 0).any():
-                inner = left[at] > 0
-                at = np.where(inner, left[at] + (rows[every, feature[at]] >= cut[at]), at)
-            total += path[at]
-        return np.exp2(-total / len(self.trees) / self.norm)
+        return np.exp2(-self.paths[np.searchsorted(self.cuts, values, "right")] / self.norm)
+
+
+class Forests:
+    """One forest for each statistic, and its threshold: higher scores are rejected."""
+
+    def __init__(self, rows: np.ndarray):
+        self.forests = [IsolationForest(column, seed=SEED + i) for i, column in enumerate(rows.T)]
+        self.bounds = np.full(len(self.forests), 2.0)
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        return np.column_stack([f.score(column) for f, column in zip(self.forests, rows.T)])
+
+    def rejects(self, scores: np.ndarray) -> np.ndarray:
+        return (scores > self.bounds).any(1)
 
 
 def base_failed() -> F.Column:
     return (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
 
 
-def with_scores(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
-    """``stats`` with the forest's score (0 without a forest)."""
-    if forest is None:
-        return stats.withColumn("anomaly", F.lit(0.0))
+def with_scores(stats: DataFrame, forests: Forests | None) -> DataFrame:
+    """``stats`` with the forests' scores (none without forests)."""
+    if forests is None:
+        return stats.withColumn("scores", F.array().cast("array<double>"))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def score(*columns: pd.Series) -> pd.Series:
-        x = pd.concat(columns, axis=1, keys=COUNTS + MORE)
-        return pd.Series(forest.score(features(x)))
-
-    return stats.withColumn("anomaly", score(*(F.col(c) for c in COUNTS + MORE)))
-
+        return pd.Series(list(forests.scores(rates(pd.concat(columns, axis=1, keys=COUNTS + MORE)))))
 
-def fit_forest(labelled: DataFrame) -> IsolationForest | None:
-    """The forest from at most FIT_ROWS labelled rows, chosen by a hash of the id."""
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(*COUNTS, *MORE).toPandas()
-    return IsolationForest(features(rows)) if len(rows) >= 8 else None
+    return stats.withColumn("scores", score(*(F.col(c) for c in COUNTS + MORE)))
 
 
-def calibrate(scored: DataFrame) -> float:
-    """The smallest score bound that rejects at most CLEAN_LOSS of the good rows.
+def fit_forests(labelled: DataFrame) -> Forests | None:
+    """Forests from at most FIT_ROWS labelled rows, one for each id, chosen by a hash of the id.
 
-    From a histogram of all labelled rows: BINS counts, whatever their number.
+    A bound on the hash, from a count, leaves little more than FIT_ROWS rows before any are sent.
     """
-    bins = {r.bin: r.n for r in scored.where("quality = 1 AND NOT base_failed").groupBy(F.floor(F.col("anomaly") * BINS).alias("bin")).agg(F.count("*").alias("n")).collect()}
-    allowed, above = CLEAN_LOSS * sum(bins.values()), 0
-    if not bins:
-        return 2.0
-    for b in sorted(bins, reverse=True):
-        above += bins[b]
-        if above > allowed:
-            return (b + 1) / BINS
-    return 0.0
-
-
-def rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, IsolationForest | None, float]:
-    """Statistics of all documents, the fitted forest and the calibrated bound."""
-    stats = Scratch(docs.sparkSession, "rules").keep(rule_statistics(docs), "stats").withColumn("base_failed", base_failed())
-    quality = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    one = labelled.groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *MORE)).alias("x")).select("doc_id", "x.*")
+    n = one.count()
+    some = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, (1.1 * FIT_ROWS + 1000) / max(n, 1))) + 1)
+    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(*COUNTS, *MORE).toPandas()
+    return Forests(rates(rows)) if len(rows) >= 8 else None
+
+
+def calibrate(scored: DataFrame, forests: Forests) -> None:
+    """Each forest's threshold, from histograms of all labelled rows: BINS counts of each label, whatever their number."""
+    rows = scored.where("NOT base_failed AND quality IN (0, 1)").select("quality", F.posexplode("scores").alias("forest", "score"))
+    counted = rows.groupBy("quality", "forest", F.floor(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("n")).collect()
+    bins = np.zeros((2, len(forests.forests), BINS + 1))
+    for r in counted:
+        bins[r.quality, r.forest, min(max(int(r.bin), 0), BINS)] = r.n
+    bad, good = np.cumsum(bins[:, :, ::-1], 2)[:, :, ::-1]  # rows in this bin or a higher one
+    for f in range(len(forests.forests)):
+        if good[f, 0]:
+            first = int(np.argmax(good[f] <= CLEAN_LOSS / len(RATES) * good[f, 0]))
+            if bad[f, 0] * good[f, first] <= bad[f, first] * good[f, 0] or not bad[f, 0]:
+                forests.bounds[f] = np.nextafter(first / BINS, 0)
+
+
+def qualities(labels: DataFrame) -> DataFrame:
+    """One quality for each labelled id."""
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+
+
+def fitted(stats: DataFrame, quality: DataFrame) -> Forests | None:
     labelled = stats.join(quality, "doc_id")
-    forest = fit_forest(labelled.where("NOT base_failed"))
-    return stats, forest, calibrate(with_scores(labelled, forest))
+    forests = fit_forests(labelled.where("NOT base_failed"))
+    if forests:
+        calibrate(with_scores(labelled, forests), forests)
+    return forests
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts, base_failed, kept and the anomaly score, for every document."""
-    stats, forest, bound = rules(docs, labels)
-    return with_scores(stats, forest).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= bound)).select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
+    """Counts, base_failed, kept and the highest anomaly score, for every document."""
+    scratch = Scratch(docs.sparkSession, "rules")
+    stats = scratch.keep(rule_statistics(docs), "stats").withColumn("base_failed", base_failed())
+    forests = fitted(stats, qualities(labels))
+    bounds = forests.bounds.tolist() if forests else []
+    high = F.exists(F.arrays_zip("scores", F.array(*map(F.lit, bounds)).cast("array<double>").alias("bounds")), lambda x: x["scores"] > x["bounds"])
+    return with_scores(stats, forests).select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~high).alias("kept"), F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("anomaly"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text the rules keep, with all their columns.
 
-    The verdict is a function of the text, so that rows which share an id have
-    each their own and no text is shuffled.
+    Labelled documents alone are counted for the fit; a bitmap of their ids tells
+    which. The verdict is a function of the text, so that rows which share an id
+    have each their own and no text is shuffled.
     """
-    _, forest, bound = rules(docs, labels)
+    scratch = Scratch(docs.sparkSession, "rules")
+    quality = qualities(labels)
+    shared = bitmap_of(quality.withColumn("hash", F.xxhash64("doc_id")), "hash")
+
+    @F.pandas_udf("boolean")
+    def wanted(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, hashes.to_numpy(np.int64)))
+
+    some = docs.where("doc_id IS NOT NULL").where(wanted(F.xxhash64(F.col("doc_id").cast("long"))))
+    stats = scratch.keep(rule_statistics(some), "stats").withColumn("base_failed", base_failed())
+    forests = fitted(stats, quality)
+    shared.destroy()
+    scratch.drop_all()
 
     @F.pandas_udf("boolean")
     def keeps(texts: pd.Series) -> pd.Series:
         cache = WordHashes()
         x = pd.DataFrame([rule_counts(t, cache) for t in texts], columns=COUNTS + MORE)
         failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
-        return ~failed & ((forest.score(features(x)) if forest else np.zeros(len(x))) <= bound)
+        return ~failed & (~forests.rejects(forests.scores(rates(x))) if forests else True)
 
     return docs.where(keeps(F.coalesce(F.col("text"), F.lit(""))))
