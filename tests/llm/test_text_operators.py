@@ -171,6 +171,18 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in held]) >= 0.95
 
 
+def test_one_training_row_for_each_id(spark):
+    """A labelled id that stands in many rows comes to the driver once, with the text of least hash."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).select(F.lit(4).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id") % 3).alias("text")).union(spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    one = quality_fm.training_rows(docs, labels)
+    assert len(one[2]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(30))
+    again = quality_fm.training_rows(docs.repartition(7), labels)
+    assert all(np.array_equal(a, b) for a, b in zip(one, again))
+
+
 def test_classifier_corners(spark):
     docs = spark.createDataFrame([(1, None, 5), (None, "", 5), (3, "a b", 5), (3, "a b", 5)], "doc_id long, text string, score long")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -13,9 +13,10 @@ for a whole copy); each is verified by exact containment of the shingle sets.
 Items under SMALL shingles are sought shingle by shingle, and items of fewer
 than five words as a sequence of that many words, without sketches.
 
-The benchmark is the stated query set: it is broadcast in blocks of at most
-BLOCK_SHINGLES shingles, one pass over the documents for each block; documents
-are not shuffled at all.
+The benchmark is the stated query set: its sets are written once and broadcast in
+blocks of about BLOCK_SHINGLES shingles, one pass over the documents for each
+block; documents are not shuffled. One block alone is searched lazily; of several,
+each block's finds are written and its broadcast released before the next one.
 
 Defined results: null and empty documents match nothing; null items and items
 without words are left out; repeated items (same id) match each for themselves;
@@ -26,13 +27,15 @@ rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import WordHashes, distinct_per_text, shingle_hashes, text_slices, text_words
+from textrine.llm.common import Scratch, WordHashes, distinct_per_text, shingle_hashes, text_slices, text_words
 
 WORDS, PERCENT = 5, 75
 SYMBOLS, SMALL = 48, 8
@@ -137,32 +140,58 @@ def item_sets(benchmark: DataFrame) -> DataFrame:
 _index: dict[str, Index] = {}
 
 
-def item_blocks(benchmark: DataFrame):
-    """The benchmark's items in blocks of about BLOCK_SHINGLES shingles."""
-    sets = item_sets(benchmark)
+def item_blocks(benchmark: DataFrame, scratch: Scratch) -> tuple[int, Callable[[int], list]]:
+    """The number of blocks of about BLOCK_SHINGLES shingles, and a function that reads one of them."""
+    sets = scratch.keep(item_sets(benchmark), "items")
     total = sets.agg(F.sum(F.size("set")).alias("n")).first()["n"] or 0
     blocks = -(-total // BLOCK_SHINGLES)
-    for block in range(blocks):
-        rows = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        yield [(r.item_id, r.words, np.array(r.set, np.int64).view(np.uint64)) for r in rows]
+
+    def block(i: int) -> list[tuple[int, int, np.ndarray]]:
+        rows = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()
+        return [(r.item_id, r.words, np.array(r.set, np.int64).view(np.uint64)) for r in rows]
+
+    return blocks, block
+
+
+FOUND = "doc_id long, th long, item_id long, n_shared long, n_item long"
+
+
+def finds(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), item_id, n_shared, n_item of every contaminated pair."""
+    scratch = Scratch(docs.sparkSession, "decontam")
+    blocks, block = item_blocks(benchmark, scratch)
+    if blocks == 0:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    if blocks == 1:
+        found = search(docs, shared_items(docs, block(0)))
+        scratch.drop_all()
+        return found
+    parts = []
+    for i in range(blocks):
+        shared = shared_items(docs, block(i))
+        parts.append(scratch.keep(search(docs, shared), "found"))
+        shared.destroy()
+    scratch.drop_all(*parts)
+    return reduce(DataFrame.union, parts)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every contaminated pair."""
-    schema = "doc_id long, item_id long, n_shared long, n_item long"
-    parts = [search(docs, items) for items in item_blocks(benchmark)]
-    found = reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    return finds(docs, benchmark).drop("th").withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def shared_items(docs: DataFrame, items: list) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
 
 
-def searcher(spark, items: list[tuple[int, int, np.ndarray]]):
+def searcher(shared: Broadcast):
     """A function from an Arrow column of texts to (text number, item, n_shared, n_item), for use on executors."""
-    token, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
 
     def find(column, cache: WordHashes):
+        token, items = shared.value
         if token not in _index:
             _index.clear()
-            _index[token] = Index(shared.value)
+            _index[token] = Index(items)
         index = _index[token]
         look = cache.__getitem__
         for a, _, texts in text_slices(column, PART):
@@ -183,28 +212,28 @@ def searcher(spark, items: list[tuple[int, int, np.ndarray]]):
     return find
 
 
-def search(docs: DataFrame, items: list[tuple[int, int, np.ndarray]]) -> DataFrame:
+def search(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """One pass over the documents for one block of items; no shuffle."""
     import pyarrow as pa
 
-    find = searcher(docs.sparkSession, items)
+    find = searcher(shared)
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = [(ids[t], *rest) for t, *rest in find(batch.column(1), cache)]
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_item"])
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            out = [(ids[t], hashes[t], *rest) for t, *rest in find(batch.column(1), cache)]
+            columns = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "th", "item_id", "n_shared", "n_item"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, FOUND)
 
 
-def without(docs: DataFrame, items: list[tuple[int, int, np.ndarray]]) -> DataFrame:
+def without(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """The rows in whose text no item of the block is found."""
     import pyarrow as pa
 
-    find, at = searcher(docs.sparkSession, items), docs.columns.index("text")
+    find, at = searcher(shared), docs.columns.index("text")
 
     def run(batches):
         cache = WordHashes()
@@ -219,12 +248,20 @@ def without(docs: DataFrame, items: list[tuple[int, int, np.ndarray]]) -> DataFr
 def filter_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no test item contaminates, with their columns.
 
-    Rows pass through the search itself, so that no text is shuffled and rows
-    that share an id are judged by their own text.
+    With one block, rows pass through the search itself, so that no text is
+    shuffled. With several, the finds of all blocks are joined back by id and
+    hash of the text, so that rows which share an id are judged by their own text.
     """
-    for items in item_blocks(benchmark):
-        docs = without(docs, items)
-    return docs
+    scratch = Scratch(docs.sparkSession, "decontam")
+    blocks, block = item_blocks(benchmark, scratch)
+    items = block(0) if blocks == 1 else []
+    scratch.drop_all()
+    if blocks <= 1:
+        return without(docs, shared_items(docs, items)) if items else docs
+    found = finds(docs, benchmark).select(F.col("doc_id").alias("did"), F.col("th").alias("hash")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = rows.join(found, F.col("row.doc_id").cast("long").eqNullSafe(F.col("did")) & (F.xxhash64("row.text") == F.col("hash")), "left_anti")
+    return left.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 ORACLE = """

@@ -142,14 +142,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS):
 
     The ids are chosen from the labels alone, by hash; their list is bounded
     and is what the documents are filtered with, so that no text is shuffled.
+    A bound on the hash, from a count, leaves little more than ``limit`` ids
+    before any are sent. Of an id with several rows, the one whose text has the
+    least hash is taken, in the tasks that read them.
     """
     import pyarrow as pa
 
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    )
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    share = min(1.0, (1.1 * limit + 1000) / max(known.count(), 1))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * share) + 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     wanted = {r.doc_id: r.quality for r in chosen.collect()}
     spark = docs.sparkSession
     ids = spark.createDataFrame(list(wanted.items()) or [(-1, 0)], "doc_id long, quality int")
@@ -163,13 +164,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS):
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),
+                batch.column(2),
                 pa.array([bucket[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int32())),
                 pa.array([value[a:b].astype(np.float32) for a, b in zip(cuts, cuts[1:])], pa.list_(pa.float32())),
                 pa.array(list(dense), pa.list_(pa.float64())),
-            ], ["doc_id", "bucket", "value", "dense"])
+            ], ["doc_id", "th", "bucket", "value", "dense"])
 
-    picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    rows = picked.mapInArrow(take, "doc_id long, bucket array<int>, value array<float>, dense array<double>").toArrow()
+    picked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+    made = picked.mapInArrow(take, "doc_id long, th long, bucket array<int>, value array<float>, dense array<double>")
+    rows = made.groupBy("doc_id").agg(F.min_by(F.struct("bucket", "value", "dense"), "th").alias("x")).select("doc_id", "x.*").toArrow()
     got = sorted(zip(rows["doc_id"].to_pylist(), range(rows.num_rows)))[:limit]
     x = np.zeros((len(got), BUCKETS), np.float32)
     dense = np.zeros((len(got), len(structure("", WordHashes()))))
