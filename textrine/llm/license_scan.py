@@ -1,19 +1,23 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences (line wraps inside a sentence are undone, comment
-marks go) and each sentence is normalised to lower-case words. A normalised
-sentence that holds a known licence sentence is mapped to that sentence's
-identifier, with its version if it names one. The document's sequence of
-identifiers is then matched, from left to right, against an ordered list of
-licence rules; the first rule that matches at a place wins and its sentences are
-used up. Up to GAP unknown sentences may lie between two sentences of a rule.
-Known sentences that no rule uses are reported as ``UNMATCHED``, but for a bare
-"all rights reserved", which stands in free licences' notices as well: unless
-the next known sentence within GAP is a prohibition, it counts as unknown.
-
-One pass over whole texts without a shuffle. Each pattern's longest literal and
-longest word are derived from the pattern. A word is never wrapped, so texts
-without any of the words hold no known sentence and are not cut.
+marks go) and each sentence is normalised to lower-case words. Known licence
+sentences are kept as a trie of words; from each word of a normalised sentence
+on, the longest known one is looked up and mapped to its identifier, with the
+version or licence that it names. The document's sequence of identifiers is then
+matched, from left to right, against an ordered list of licence rules; the first
+rule that matches at a place wins and its sentences are used up. Up to GAP
+unknown sentences may lie between two sentences of a rule; a list mark alone is
+no sentence. Known sentences that no rule uses are reported as ``UNMATCHED``, but
+for a bare "all rights reserved", which stands in free licences' notices as well:
+unless the next known sentence within GAP is a prohibition, it counts as unknown.
+
+A licence has one name, the SPDX identifier, however it is named in the text;
+what SPDX has no identifier for is named in words (Proprietary, Public-Domain).
+
+One pass over whole texts without a shuffle. Each known sentence's longest word
+is derived from the table. A word is never wrapped, so texts without any of
+these words hold no known sentence and are not cut.
 
 Defined results: null and empty texts and texts without known sentences give
 no rows; repeated rows give repeated findings; texts of any length are scanned
@@ -28,76 +32,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = 2
+#: Words that "..." in a known sentence may stand for.
+BETWEEN = 45
 
-#: Sentences of public licences in normal form. {v} is a version.
+#: Sentences of public licences in normal form. (a|b) is a choice, [x] may be missing, ... is any words;
+#: {v} is a version, {n} a number of clauses, {cc} Creative Commons elements in letters or words, {id} a short Creative Commons name, {spdx} an SPDX expression.
 SENTENCES = [
-    ("spdx:{v}", r"spdx-license-identifier (?P<v>[a-z0-9.+-]+)"),
-    ("gpl-version:{v}", r"licensed under (?:the terms of )?the gnu general public license,? ?(?:version|v) ?(?P<v>\d(?:\.\d)?)"),
-    ("lgpl-version:{v}", r"licensed under (?:the terms of )?the gnu (?:lesser|library) general public license,? ?(?:version|v) ?(?P<v>\d(?:\.\d)?)"),
-    ("agpl-version:{v}", r"licensed under (?:the terms of )?the gnu affero general public license,? ?(?:version|v) ?(?P<v>\d(?:\.\d)?)"),
-    ("gpl-modify:{v}", r"redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version (?P<v>\d(?:\.\d)?)"),
-    ("lgpl-modify:{v}", r"redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation (?:either )?version (?P<v>\d(?:\.\d)?)"),
-    ("agpl-modify:{v}", r"redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation (?:either )?version (?P<v>\d(?:\.\d)?)"),
-    ("fsf-useful", r"distributed in the hope that it will be useful but without any warranty"),
-    ("fsf-details", r"see the gnu (?:\w+ )?general public license for more details"),
-    ("fsf-copy", r"you should have received a copy of the gnu (?:\w+ )?general public license"),
-    ("apache-license:{v}", r"licensed under the apache license,? ?(?:version )?(?P<v>\d\.\d)"),
-    ("apache-compliance", r"you may not use this file except in compliance with the license"),
-    ("apache-copy", r"you may obtain a copy of the license at"),
-    ("apache-as-is", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("apache-limits", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("mit-name", r"(?:released|licensed|distributed|available) under the (?:terms of the )?mit license"),
-    ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("mit-warranty", r"the software is provided as is without warranty of any kind express or implied including"),
-    ("mit-liable", r"in no event shall the authors or copyright holders be liable for any claim"),
-    ("bsd-name:{v}", r"(?:released|licensed|distributed|available) under the (?:terms of the )?(?:bsd (?P<v>[234])-clause|(?P<w>[234])-clause bsd) license"),
-    ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
-    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-advertising", r"all advertising materials mentioning features or use of this software must display"),
-    ("bsd-endorse", r"may be used to endorse or promote products derived from this software"),
-    ("bsd-warranty", r"this software is provided by the .{0,80}as is and any express or implied warranties"),
-    ("bsd-liable", r"in no event shall .{0,80}be liable for any direct indirect incidental special"),
-    ("isc-grant", r"permission to use copy modify and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("isc-warranty", r"the software is provided as is and the author disclaims all warranties with regard to this software"),
-    ("isc-liable", r"in no event shall the author be liable for any special direct indirect or consequential damages"),
-    ("mpl-subject:{v}", r"subject to the terms of the mozilla public license,? ?v(?:ersion)?\.? ?(?P<v>\d\.\d)"),
-    ("mpl-copy", r"if a copy of the mpl was not distributed with this file"),
-    ("epl-terms:{v}", r"made available under the terms of the eclipse public license v(?:ersion)?\.? ?(?P<v>\d\.\d)"),
-    ("cc-name:{v}", r"licen[sc]ed under (?:a |the )?(?:creative commons |cc )(?P<v>(?:by|zero|0)[a-z0-9. -]*)"),
-    ("cc-long:{v}", r"licen[sc]ed under (?:a |the )?creative commons (?P<v>attribution[a-z0-9. -]*?)(?: international| unported)? license"),
-    ("unlicense-free", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", r"(?:released|placed|dedicated|is) (?:into|in|to) the public domain"),
-    ("unlicense-anyone", r"anyone is free to copy modify publish use compile sell or distribute this software"),
-    ("zlib-as-is", r"this software is provided as[ -]is without any express or implied warranty"),
-    ("zlib-liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
-    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
-    ("zlib-origin", r"the origin of this software must not be misrepresented"),
-    ("zlib-altered", r"altered source versions must be plainly marked as such"),
-    ("proprietary", r"all rights reserved (?:no part|unauthorized|unauthorised) .{0,120}(?:without .{0,40}permission|prohibited)"),
-    ("rights-reserved", r"all rights reserved"),
-    ("no-part", r"no part .{0,300}(?:without .{0,40}permission|prohibited)"),
-    ("unauthorised", r"unauthori[sz]ed .{0,300}(?:without .{0,40}permission|prohibited)"),
+    ("spdx:{v}", "spdx-license-identifier {spdx}"),
+    ("gpl-version:{v}", "licensed under [the terms of] the gnu general public license [version|v] {v}"),
+    ("lgpl-version:{v}", "licensed under [the terms of] the gnu (lesser|library) general public license [version|v] {v}"),
+    ("agpl-version:{v}", "licensed under [the terms of] the gnu affero general public license [version|v] {v}"),
+    ("gpl-modify:{v}", "redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation [either] version {v}"),
+    ("lgpl-modify:{v}", "redistribute it and/or modify it under the terms of the gnu (lesser|library) general public license as published by the free software foundation [either] version {v}"),
+    ("agpl-modify:{v}", "redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation [either] version {v}"),
+    ("fsf-useful", "distributed in the hope that it will be useful but without any warranty"),
+    ("fsf-details", "see the gnu [lesser|library|affero] general public license for more details"),
+    ("fsf-copy", "you should have received a copy of the gnu [lesser|library|affero] general public license"),
+    ("apache-or-mit:{v}", "either of [the] apache license [version] {v} or [the] mit license"),
+    ("apache-or-mit:{v}", "under [either] [the] apache license [version] {v} or [the] mit license"),
+    ("apache-license:{v}", "licensed under the apache license [version] {v}"),
+    ("apache-compliance", "you may not use this file except in compliance with the license"),
+    ("apache-copy", "you may obtain a copy of the license at"),
+    ("apache-as-is", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-limits", "see the license for the specific language governing permissions and limitations under the license"),
+    ("mit-name", "(released|licensed|distributed|available) under the [terms of the] mit license"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies"),
+    ("mit-warranty", "the software is provided as is without warranty of any kind express or implied including"),
+    ("mit-liable", "in no event shall the authors or copyright holders be liable for any claim"),
+    ("bsd-name:{v}", "(released|licensed|distributed|available) under the [terms of the] (bsd {n}|{n} bsd) license"),
+    ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-source", "redistributions of source code must retain the above copyright notice"),
+    ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-advertising", "all advertising materials mentioning features or use of this software must display"),
+    ("bsd-endorse", "may be used to endorse or promote products derived from this software"),
+    ("bsd-warranty", "this software is provided by ... as is and any express or implied warranties"),
+    ("bsd-liable", "in no event shall ... be liable for any direct indirect incidental special"),
+    ("isc-grant", "permission to use copy modify (and|and/or) distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-warranty", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("isc-liable", "in no event shall the author be liable for any special direct indirect or consequential damages"),
+    ("mpl-subject:{v}", "subject to the terms of the mozilla public license [version|v] {v}"),
+    ("mpl-copy", "if a copy of the mpl was not distributed with this file"),
+    ("epl-terms:{v}", "made available under the terms of the eclipse public license [version|v] {v}"),
+    ("cc-name:{v}", "(licensed|licenced) under [a|the] {id}"),
+    ("cc-name:{v}", "(licensed|licenced) under [a|the] (creative commons|cc) {cc} {v}"),
+    ("unlicense-free", "this is free and unencumbered software released into the public domain"),
+    ("public-domain", "(released|placed|dedicated|is) (into|in|to) the public domain"),
+    ("unlicense-anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib-as-is", "this software is provided (as-is|as is) without any express or implied warranty"),
+    ("zlib-liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("zlib-origin", "the origin of this software must not be misrepresented"),
+    ("zlib-altered", "altered source versions must be plainly marked as such"),
+    ("proprietary", "all rights reserved (no part|unauthorized|unauthorised) ... (permission|prohibited)"),
+    ("rights-reserved", "all rights reserved"),
+    ("no-part", "no part ... (permission|prohibited)"),
+    ("unauthorised", "(unauthorized|unauthorised) ... (permission|prohibited)"),
 ]
 
+#: SPDX names whose spelling is not that of upper-case letters alone, and older spellings.
+NAMES = ["Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Unlicense", "Zlib", "PostgreSQL", "Python-2.0", "OpenSSL", "curl", "blessing"]
+FAMILIES = ("gpl", "lgpl", "agpl")
+CC_WORDS = {"attribution": "BY", "noncommercial": "NC", "non-commercial": "NC", "sharealike": "SA", "share-alike": "SA", "noderivs": "ND", "noderivatives": "ND", "by": "BY", "nc": "NC", "sa": "SA", "nd": "ND"}
+
 #: Ordered rules: longer and more special ones first. Sequences of sentence
 #: identifiers; "x?" may be missing, {v} binds the version of a sentence.
 RULES = [
     ("unlicense-free unlicense-anyone?", "Unlicense"),
     ("spdx:{v}", "{v}"),
     ("agpl-modify:{v}-later fsf-useful? fsf-details? fsf-copy?", "AGPL-{v}-or-later"),
-    ("agpl-modify:{v} fsf-useful? fsf-details? fsf-copy?", "AGPL-{v}"),
+    ("agpl-modify:{v} fsf-useful? fsf-details? fsf-copy?", "AGPL-{v}-only"),
     ("lgpl-modify:{v}-later fsf-useful? fsf-details? fsf-copy?", "LGPL-{v}-or-later"),
-    ("lgpl-modify:{v} fsf-useful? fsf-details? fsf-copy?", "LGPL-{v}"),
+    ("lgpl-modify:{v} fsf-useful? fsf-details? fsf-copy?", "LGPL-{v}-only"),
     ("gpl-modify:{v}-later fsf-useful? fsf-details? fsf-copy?", "GPL-{v}-or-later"),
-    ("gpl-modify:{v} fsf-useful? fsf-details? fsf-copy?", "GPL-{v}"),
+    ("gpl-modify:{v} fsf-useful? fsf-details? fsf-copy?", "GPL-{v}-only"),
     ("agpl-version:{v}-later", "AGPL-{v}-or-later"),
-    ("agpl-version:{v}", "AGPL-{v}"),
+    ("agpl-version:{v}", "AGPL-{v}-only"),
     ("lgpl-version:{v}-later", "LGPL-{v}-or-later"),
-    ("lgpl-version:{v}", "LGPL-{v}"),
+    ("lgpl-version:{v}", "LGPL-{v}-only"),
     ("gpl-version:{v}-later", "GPL-{v}-or-later"),
-    ("gpl-version:{v}", "GPL-{v}"),
+    ("gpl-version:{v}", "GPL-{v}-only"),
     ("apache-license:{v} apache-compliance? apache-copy? apache-as-is? apache-limits?", "Apache-{v}"),
     ("mit-name? mit-grant mit-notice? mit-warranty? mit-liable?", "MIT"),
     ("mit-name", "MIT"),
@@ -108,41 +122,121 @@ RULES = [
     ("isc-grant isc-warranty? isc-liable?", "ISC"),
     ("mpl-subject:{v} mpl-copy?", "MPL-{v}"),
     ("epl-terms:{v}", "EPL-{v}"),
-    ("cc-long:{v}", "CC-{v}"),
-    ("cc-name:{v}", "CC-{v}"),
+    ("cc-name:{v}", "{v}"),
     ("zlib-as-is? zlib-liable? zlib-grant zlib-origin? zlib-altered?", "Zlib"),
     ("public-domain", "Public-Domain"),
+    ("apache-or-mit:{v}", "Apache-{v} OR MIT"),
     ("proprietary", "Proprietary"),
     ("rights-reserved no-part unauthorised?", "Proprietary"),
     ("rights-reserved unauthorised no-part?", "Proprietary"),
 ]
 
 
-def literals(pattern: str) -> list[str]:
-    """The literal stretches that every match of a sentence pattern holds."""
-    before = None
-    while before != pattern:
-        before, pattern = pattern, re.sub(r"\([^()]*\)[?*]?", "\0", pattern)
-    return re.sub(r"(?:\[[^]]*\]|\\.|\.)(?:[?*+]|\{[^}]*\})*|[^\0][?*]", "\0", pattern).split("\0")
 
+_VERSION = re.compile(r"v?(\d+(?:\.\d+)*)")
+_CLAUSES = re.compile(r"([234])-clause")
+_SHORT = re.compile(r"cc0(?:-1\.0)?|cc-(?:by|by-nc|by-sa|by-nd|by-nc-sa|by-nc-nd)-\d\.\d")
+_KEEPS = {licence.lower(): licence for licence in [*NAMES, "CC0-1.0"]}
+
+
+def expanded(phrase: str) -> list[list[str]]:
+    """All word sequences that a known sentence stands for."""
+    m = re.search(r"[(\[]([^()\[\]]*)[)\]]", phrase)
+    if not m:
+        return [phrase.split()]
+    choices = m[1].split("|") + [""] * (phrase[m.start()] == "[")
+    return [x for c in choices for x in expanded(phrase[: m.start()] + c + phrase[m.end() :])]
 
-_patterns = [(name, max(literals(pattern), key=len), re.compile(rf"\b{pattern}")) for name, pattern in SENTENCES]
-_WORDS = sorted({max(" ".join(literals(pattern)).split(), key=len) for _, pattern in SENTENCES})
+
+def _trie() -> dict:
+    root: dict = {}
+    for name, phrase in SENTENCES:
+        for words in expanded(phrase):
+            node = root
+            for w in words:
+                node = node.setdefault(w, {})
+            node.setdefault(None, name)
+    return root
+
+
+_known = _trie()
+_WORDS = sorted({max((w for w in words if w[0] != "{"), key=len) for _, phrase in SENTENCES for words in expanded(phrase)})
 _COMMENT = re.compile(r"(?m)^[ \t]*(?://+|/\*+|\*+/|\*+|#+|--+|;+|<!--+|%+)[ \t]?")
 _END = re.compile(r"(?!(?<=\b[vV])\.\s+\d)[.!?][\"')*]*(?=\s|$)|\n[ \t]*\n")
 _NOT_WORD = re.compile(r"[^a-z0-9./+,-]+")
+_MARK = re.compile(r"\d{1,2}|[a-z]|[ivx]{1,4}")
+
+
+def version(number: str) -> str:
+    return number if "." in number else f"{number}.0"
+
+
+def spdx(name: str) -> str:
+    """The usual spelling of an SPDX name; older names of the GNU licences become today's."""
+    low = name.lower()
+    m = re.fullmatch(rf"({'|'.join(FAMILIES)})-?v?(\d(?:\.\d)?)(\+|-only|-or-later)?", low)
+    if m:
+        return f"{m[1].upper()}-{version(m[2])}{'-or-later' if m[3] in ('+', '-or-later') else '-only'}"
+    return _KEEPS.get(low, low.upper())
+
+
+def elements(words: list[str], at: int) -> list[tuple[int, str]]:
+    """Ends and names of Creative Commons elements that start at a word, longest first."""
+    if words[at] in ("zero", "0", "cc0"):
+        return [(at + 1, "CC0")]
+    out, parts = [], []
+    for i in range(at, min(at + 4, len(words))):
+        word = words[i]
+        some = [CC_WORDS[word]] if word in CC_WORDS else [CC_WORDS.get(x) for x in word.replace("non-commercial", "noncommercial").replace("share-alike", "sharealike").split("-")]
+        if None in some:
+            break
+        parts += some
+        out.append((i + 1, "CC-" + "-".join(x for x in ("BY", "NC", "SA", "ND") if x in parts)))
+    return out[::-1]
+
+
+def lookup(words: list[str], at: int, node: dict, named: str) -> tuple[int, str, str] | None:
+    """(end, identifier, what it names) of the longest known sentence that starts at a word."""
+    best = (at, node[None], named) if None in node else None
+    for token, below in node.items():
+        ends: list[tuple[int, str]] = []
+        if token is None or at == len(words):
+            continue
+        word = words[at]
+        if token[0] != "{" and token != "...":
+            if token == word:
+                ends = [(at + 1, named)]
+        elif token == "...":
+            ends = [(i, named) for i in range(at, min(at + BETWEEN, len(words) - 1) + 1) if words[i] in below]
+        elif token == "{v}" and (m := _VERSION.fullmatch(word.rstrip("+"))):
+            ends = [(at + 1, f"{named}-{version(m[1])}" if named else version(m[1]))]
+        elif token == "{n}" and (m := _CLAUSES.fullmatch(word)):
+            ends = [(at + 1, m[1])]
+        elif token == "{id}" and _SHORT.fullmatch(word):
+            ends = [(at + 1, spdx("cc0-1.0" if word == "cc0" else word))]
+        elif token == "{cc}":
+            ends = elements(words, at)
+        elif token == "{spdx}":
+            end = at + 1
+            while end + 1 < len(words) and words[end] in ("or", "and", "with"):
+                end += 2
+            ends = [(end, "_".join(w.upper() if w in ("or", "and", "with") else spdx(w) for w in words[at:end]))]
+        for end, what in ends:
+            found = lookup(words, end, below, what)
+            if found and (best is None or found[0] > best[0]):
+                best = found
+    return best
 
 
 def sentences(text: str) -> list[tuple[int, str]]:
-    """(start, normalised sentence) in order; comment marks and wraps are gone."""
+    """(start, normalised sentence) in order; comment marks, list marks and wraps are gone."""
     text = _COMMENT.sub("", text)
     out, at = [], 0
     for m in [*_END.finditer(text), None]:
         end = m.start() if m else len(text)
-        # "(c)" and list numbers leave stray marks; words alone count
-        words = " ".join(x for w in _NOT_WORD.sub(" ", text[at:end].lower()).split() if (x := w.strip(".,/+-")))
-        if words:
-            out.append((at, words))
+        words = [x for w in _NOT_WORD.sub(" ", text[at:end].lower()).split() if (x := w.strip(".,/-").lstrip("+"))]
+        if words and not (len(words) == 1 and _MARK.fullmatch(words[0])):
+            out.append((at, " ".join(words)))
         at = m.end() if m else end
     return out
 
@@ -150,21 +244,23 @@ def sentences(text: str) -> list[tuple[int, str]]:
 def identify(sentence: str) -> list[str]:
     """The identifiers of the known sentences in a normalised one, in order.
 
-    Notices often lack the full stop before them, so known sentences are sought
-    anywhere; of overlapping ones the first listed counts.
+    Notices often lack the full stop before them, so a known sentence may start
+    at any word; the next one starts after its end.
     """
-    taken: list[tuple[int, int, str]] = []
-    for name, literal, pattern in _patterns:
-        if literal not in sentence:
+    out, words, at = [], sentence.split(), 0
+    while at < len(words):
+        node = _known.get(words[at])
+        found = lookup(words, at + 1, node, "") if node else None
+        if not found:
+            at += 1
             continue
-        for m in pattern.finditer(sentence):
-            if any(m.start() < b and a < m.end() for a, b, _ in taken):
-                continue
-            version = next((x for x in m.groupdict().values() if x), "").strip()
-            if "version" in name or "modify" in name:
-                version += "-later" if re.search(r"any later version|or later", sentence[m.end() :]) else ""
-            taken.append((m.start(), m.end(), name.replace("{v}", re.sub(r"[^a-z0-9.+]+", "-", version).strip("-."))))
-    return [name for _, _, name in sorted(taken)]
+        at, name, what = found
+        if what == "CC0":
+            what = "CC0-1.0"
+        if name.startswith(("gpl", "lgpl", "agpl")) and re.search(r"\b(?:any later version|or later)\b", " ".join(words[at:])):
+            what += "-later"
+        out.append(name.replace("{v}", what))
+    return out
 
 
 def _compiled():
@@ -173,7 +269,7 @@ def _compiled():
         steps = []
         for token in sequence.split():
             optional = token.endswith("?")
-            body = re.escape(token.rstrip("?")).replace(r"\{v\}", r"(?P<v>[a-z0-9.+-]+?)" if not optional else r"[a-z0-9.+-]+")
+            body = re.escape(token.rstrip("?")).replace(r"\{v\}", r"(?P<v>[A-Za-z0-9.+_-]+?)" if not optional else r"[A-Za-z0-9.+_-]+")
             steps.append(rf"(?:(?:\?\ ){{0,{GAP}}}{body}\ )" + "?" * optional)
         out.append((re.compile("".join(steps)), licence))
     return out
@@ -209,8 +305,7 @@ def scan(text: str | None) -> list[tuple[str, list[str], int]]:
             m = pattern.match(rest)
             if m and m.end():
                 used = m[0].split()
-                version = m.groupdict().get("v") or ""
-                out.append((licence.replace("{v}", version.upper() if licence.startswith("CC") else version), [u for u in used if u != "?"], starts[at]))
+                out.append((licence.replace("{v}", m.groupdict().get("v") or "").replace("_", " "), [u for u in used if u != "?"], starts[at]))
                 at += len(used)
                 break
         else:
