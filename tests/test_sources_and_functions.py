@@ -80,3 +80,21 @@ def test_offsets(spark):
     rows = spark.createDataFrame([(2, 6, k) for k in range(8)], "begin long, end long, offset long")
     valid = [r.offset for r in windows.offset_valid(rows, 8, 2, batch_update=False).where("is_valid").orderBy("offset").collect()]
     assert valid == [2, 3, 4, 5]
+
+
+def test_primes_of_whole_arrays():
+    import numpy as np
+
+    small = np.arange(-3, 5000)
+    assert [int(n) for n in small[numeric.primes(small)]] == [n for n in range(2, 5000) if all(n % d for d in range(2, int(n**0.5) + 1))]
+    strong = [2047, 3277, 1373653, 25326001, 3215031751, 2152302898747, 4294967291, 4294967295, 4294967296, 4294967311, 2**61 - 1, 2**62 + 1]
+    assert numeric.primes(np.array(strong)).tolist() == [numeric.witness(n) == 0 for n in strong]
+    at = np.array([0, 1, 2, 13, 4294967290, 4294967291, 2**40])
+    assert numeric.following_primes(at).tolist() == [numeric.following_prime(int(n)) for n in at]
+
+
+def test_random_numbers_do_not_depend_on_partitions(spark):
+    from pyspark.sql import functions as F
+
+    rows = lambda n: {r.id: r.x for r in spark.range(0, 500, 1, n).select("id", numeric.random_below(F.col("id"), F.lit(10), 3).alias("x")).collect()}
+    assert rows(1) == rows(7) and set(rows(1).values()) == set(range(10))

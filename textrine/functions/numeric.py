@@ -1,7 +1,8 @@
 """Scalar functions: modular arithmetic, primality, hash families, formatting.
 
 Columns in, columns out. What fits decimal arithmetic stays in the JVM; powers
-and primality, which loop, are Arrow UDFs over whole batches. Unsigned 64-bit
+and primality, which loop, are Arrow UDFs over whole batches, primality under
+2^32 with one array operation for all numbers of a batch. Unsigned 64-bit
 numbers are ``decimal(38, 0)``.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,9 +80,56 @@ def following_prime(n: int) -> int:
     return n
 
 
+def powers(a: np.ndarray, e: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(a ^ e) mod n of arrays of numbers under 2^32."""
+    out, a, e = np.ones_like(n) % n, a % n, e.copy()
+    while e.any():
+        out = np.where(e & np.uint64(1), out * a % n, out)
+        a, e = a * a % n, e >> np.uint64(1)
+    return out
+
+
+def primes(n: np.ndarray) -> np.ndarray:
+    """Which numbers are prime: Miller and Rabin with all bases, for whole arrays under 2^32 and one by one above."""
+    out = n >= 2
+    small = np.flatnonzero(out & (n < 1 << 32))
+    out[n >= 1 << 32] = [witness(int(x)) == 0 for x in n[n >= 1 << 32]]
+    m = n[small].astype(np.uint64)
+    odd, twos = m - np.uint64(1), np.zeros(len(m), np.int64)
+    for _ in range(32):
+        even = (odd > 0) & (odd & np.uint64(1) == 0)
+        odd, twos = np.where(even, odd >> np.uint64(1), odd), twos + even
+    good = np.ones(len(m), bool)
+    for p in WITNESSES[:5]:  # these decide all numbers under 2^32
+        x = powers(np.full_like(m, p), odd, m)
+        passes = (x == 1 % m) | (x == m - np.uint64(1))
+        for k in range(1, int(twos.max(initial=1))):
+            x = x * x % m
+            passes |= (x == m - np.uint64(1)) & (k < twos)
+        good &= (m == p) | (passes & (m % np.uint64(p) != 0))
+    out[small] = good
+    return out
+
+
+def following_primes(n: np.ndarray) -> np.ndarray:
+    """The least prime greater than each number."""
+    out, left = np.maximum(n, 1) + 1, np.arange(len(n))
+    while len(left):
+        left = left[~primes(out[left])]
+        out[left] += 1
+    return out
+
+
+def _known(n: pd.Series, of, dtype) -> pd.Series:
+    """``of`` the numbers that are not null."""
+    out, there = pd.Series([None] * len(n), dtype=object), n.notna().to_numpy()
+    out[there] = of(n[there].to_numpy(np.int64)).astype(dtype)
+    return out
+
+
 @F.pandas_udf(BooleanType())
 def is_prime(n: pd.Series) -> pd.Series:
-    return n.map(lambda x: None if pd.isna(x) else witness(int(x)) == 0).astype(object)
+    return _known(n, primes, object)
 
 
 @F.pandas_udf(BooleanType())
@@ -90,12 +139,13 @@ def is_fermat_prime(n: pd.Series) -> pd.Series:
 
 @F.pandas_udf(LongType())
 def next_prime(n: pd.Series) -> pd.Series:
-    return n.map(lambda x: None if pd.isna(x) else following_prime(int(x)))
+    return _known(n, following_primes, object)
 
 
-def random_below(bound, seed: int) -> Column:
-    """A seeded random number in 0..bound-1."""
-    return F.floor(F.rand(seed) * bound).cast("long")
+def random_below(key: Column, bound, seed: int) -> Column:
+    """A random number in 0..bound-1 from a key and a seed: 60 bits of an md5, the same on every run and partitioning."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), bound)
 
 
 def edge_key(node: Column, letter: Column) -> Column:

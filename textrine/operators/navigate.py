@@ -79,6 +79,15 @@ def scans(edges: DataFrame, patterns: list[str], parent: int = 1) -> DataFrame:
     )
 
 
+def fastscans(edges: DataFrame, patterns: list[str], parent: int = 1) -> DataFrame:
+    """Every edge of a node against each pattern's first letter: -1 if the edge's letter is smaller, 0 if equal, 1 if larger; the end is the largest."""
+    probes = edges.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    asked = edges.where(F.col("parent") == parent).join(F.broadcast(probes))  # a handful of given patterns
+    wanted, end = F.substring("pattern", 1, 1), (F.col("child") < 0) & (F.col("child_depth") == F.col("parent_depth") + 1)
+    sign = F.when(end, 1).when(F.col("letter") < wanted, -1).when(F.col("letter") == wanted, 0).otherwise(1)
+    return asked.select("doc_id", "pattern", "child", sign.alias("fast"))
+
+
 def locus(edges: DataFrame, depth: int) -> DataFrame:
     """For each suffix longer than ``depth``: the deepest node at or above that depth.
 

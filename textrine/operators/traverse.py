@@ -62,9 +62,12 @@ def suffix_lines(texts: DataFrame) -> DataFrame:
 
 
 def write_log(edges: DataFrame, path: str, detailed: bool) -> None:
-    """The log as text files, one folder per document, lines in order."""
-    lines = log(edges, detailed).repartition("doc_id").sortWithinPartitions("doc_id", "ord")
-    lines.select("doc_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+    """The log as text files with lines "doc_id<tab>line", in order of document and line from file to file.
+
+    Range partitions: a file holds many documents, and a large one spans several files.
+    """
+    lines = log(edges, detailed).repartitionByRange("doc_id", "ord").sortWithinPartitions("doc_id", "ord")
+    lines.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "line").alias("value")).write.mode("overwrite").text(path)
 
 
 def linear_array(edges: DataFrame) -> DataFrame:

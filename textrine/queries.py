@@ -146,11 +146,11 @@ def record_upsert(spark, sf_dir):
     return navigate.upsert(records, changes, key, "edge", vacant=0)
 
 
-@query()
+@query("SELECT o_orderkey, CAST('0x' || md5('7:' || o_orderkey)[1:15] AS BIGINT) % (o_orderkey + 1) AS r FROM orders")
 def random_numbers(spark, sf_dir):
     """Seeded random numbers under each order's key + 1."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.select("o_orderkey", numeric.random_below(F.col("o_orderkey") + 1, 7).alias("r"))
+    return o.select("o_orderkey", numeric.random_below(F.col("o_orderkey"), F.col("o_orderkey") + 1, 7).alias("r"))
 
 
 @query(tree() + "SELECT nd.doc_id, node_id, CAST(depth AS INTEGER) AS depth, CAST(head_position AS INTEGER) AS head_position, CAST(leftmost AS INTEGER) AS leftmost, CAST(n_children AS INTEGER) AS n_children FROM nd")
@@ -224,6 +224,14 @@ def scans(spark, sf_dir):
     return navigate.scans(trees.edges(items(spark, sf_dir)), PATTERNS)
 
 
+@query(tree() + f"""SELECT ed.doc_id, x.pattern, CAST(ed.child AS INTEGER) AS child, CAST(CASE WHEN ed.child < 0 AND length(ed.label) = 1 THEN 1
+ WHEN substr(ed.label, 1, 1) < substr(x.pattern, 1, 1) THEN -1 WHEN substr(ed.label, 1, 1) = substr(x.pattern, 1, 1) THEN 0 ELSE 1 END AS INTEGER) AS fast
+FROM ed CROSS JOIN (SELECT unnest({PATTERNS}) AS pattern) x WHERE ed.parent = 1""")
+def fastscans(spark, sf_dir):
+    """The sign of the fastscan of every edge of each root."""
+    return navigate.fastscans(trees.edges(items(spark, sf_dir)), PATTERNS)
+
+
 @query(tree() + "SELECT doc_id, parent AS node, parent_depth AS node_depth, child, CAST(CASE WHEN parent_depth = 3 THEN 0 ELSE -1 END AS INTEGER) AS exact FROM ed WHERE parent_depth <= 3 AND child_depth > 3")
 def locus_at_depth(spark, sf_dir):
     return navigate.locus(trees.edges(items(spark, sf_dir)), 3)
@@ -405,6 +413,13 @@ def is_prime(spark, sf_dir):
     return p.select("p_partkey", F.col("p_partkey").cast("long").alias("n"), numeric.is_prime(F.col("p_partkey").cast("long")).alias("is_prime"))
 
 
+@query("""SELECT p_partkey, p_partkey > 1 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 200)) AS d) WHERE d * d <= p_partkey AND p_partkey % d = 0) AS passes FROM part""")
+def fermat_test(spark, sf_dir):
+    """The Fermat test: up to 252,600 no composite passes all its bases, whose own multiples never do."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", numeric.is_fermat_prime(F.col("p_partkey").cast("long")).alias("passes"))
+
+
 @query("""WITH q AS (SELECT n FROM (SELECT unnest(range(2, 30000)) AS n) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 175)) AS d) WHERE d * d <= n AND n % d = 0))
 SELECT p_partkey, CAST((SELECT min(q.n) FROM q WHERE q.n > p.p_partkey) AS BIGINT) AS next_prime FROM part p""")
 def next_prime(spark, sf_dir):
@@ -448,6 +463,23 @@ def snapshot_sql(source: str = "SELECT item_id AS doc_id, text AS s FROM benchma
 FROM (SELECT doc_id, s, length(s) AS n, unnest(range(0, CAST(greatest(0, ceil((length(s) - {size}) / CAST({block} AS DOUBLE))) AS BIGINT) + 1)) AS k FROM ({source}) WHERE length(s) > 0))"""
 
 
+@query("""WITH RECURSIVE x AS (SELECT DISTINCT CAST(l_orderkey % 5000 + 16 AS BIGINT) AS wanted FROM lineitem),
+q AS (SELECT CAST(n AS BIGINT) AS n FROM (SELECT unnest(range(2, 2000)) AS n) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 46)) AS d) WHERE d * d <= n AND n % d = 0)),
+f AS (SELECT n, lead(n) OVER (ORDER BY n) AS following FROM q),
+t AS (SELECT x.wanted, 0 AS i, min(q.n) AS size FROM x JOIN q ON q.n > greatest(1, wanted // 8) GROUP BY x.wanted
+ UNION ALL SELECT t.wanted, t.i + 1, f.following FROM t JOIN f ON f.n = t.size WHERE t.i < 7)
+SELECT wanted, CAST(i AS INTEGER) AS i, size, CAST(sum(size) OVER (PARTITION BY wanted ORDER BY i) - size AS BIGINT) AS "offset" FROM t""")
+def cuckoo_tables(spark, sf_dir):
+    """Size and offset of all eight cuckoo tables for some requested sizes."""
+    wanted = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") % 5000 + 16).cast("long").alias("wanted")).distinct()
+    tables = wanted.withColumn("size0", numeric.next_prime(F.greatest(F.lit(1), F.floor(F.col("wanted") / 8)).cast("long")))
+    for i in range(1, 8):
+        tables = tables.withColumn(f"size{i}", numeric.next_prime(F.col(f"size{i - 1}")))
+    before = lambda i: sum((F.col(f"size{k}") for k in range(i)), F.lit(0).cast("long"))
+    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"size{i}").alias("size"), before(i).alias("offset")) for i in range(8)))
+    return tables.select("wanted", F.inline(rows))
+
+
 @query(f"WITH {snapshot_sql('SELECT doc_id, text AS s FROM documents', 500, 1000)} SELECT doc_id, CAST(window_no AS INTEGER) AS window_no, CAST(win_begin AS INTEGER) AS win_begin, CAST(win_end AS INTEGER) AS win_end, CAST(win_end - win_begin + 1 AS INTEGER) AS win_len, is_full, buffer FROM sn")
 def window_snapshots(spark, sf_dir):
     return windows.snapshots(docs(spark, sf_dir), 500, 2)

@@ -67,7 +67,11 @@ def run_available(spark: SparkSession, chunks: DataFrame, block: int, active: in
 
     Results and checkpoints go to the shared folder that the cluster names.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/textrine"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints/textrine"
     root = f"{base.rstrip('/')}/textrine-stream-{uuid.uuid4().hex[:12]}"
     stream = window_stream(chunks, block, active)
     query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
