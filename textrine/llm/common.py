@@ -47,7 +47,7 @@ class Scratch:
             base = LOCAL_SCRATCH
         self.root = f"{base.rstrip('/')}/textrine-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        self.kept: dict[str, DataFrame] = {}
+        self.kept: set[str] = set()
 
     def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         self.count += 1
@@ -58,20 +58,21 @@ class Scratch:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
-        self.kept[path] = out
+        self.kept.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for df in [x for x in tables if x._scratch_path in self.kept]:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self.drop_paths({df._scratch_path for df in tables} & self.kept)
+
+    def drop_paths(self, paths: set[str]) -> None:
+        for x in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(x)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-            self.kept.pop(df._scratch_path, None)
+        self.kept -= paths
 
     def drop_all(self, *but: DataFrame) -> None:
         """What is still there goes, but for the tables that the result reads."""
-        keep = {df._scratch_path for df in but}
-        self.drop(*(df for path, df in self.kept.items() if path not in keep))
+        self.drop_paths(self.kept - {df._scratch_path for df in but})
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

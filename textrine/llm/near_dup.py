@@ -94,6 +94,8 @@ def distinct_sets(sketches: DataFrame, scratch: Scratch) -> DataFrame:
     sets = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("sig").alias("sig"))
     sets = scratch.keep(sets.select("n", "d1", "d2", "sig", F.col("one.doc_id").alias("doc"), F.col("one.th").alias("th")), "sets")
     shared = sets.groupBy("doc").agg(F.count("*").alias("sets"), F.min(F.struct("n", "d1", "d2")).alias("first")).where("sets > 1").drop("sets")
+    if shared.isEmpty():
+        return sets.withColumn("id", F.col("doc"))
     own = F.col("first").isNull() | (F.col("first") == F.struct("n", "d1", "d2"))
     named = sets.join(shared, "doc", "left").withColumn("id", F.when(own, F.col("doc")).otherwise(F.xxhash64("doc", "th")))
     return scratch.keep(named.select("doc", "n", "d1", "d2", "sig", "id"), "classes")
@@ -278,6 +280,9 @@ def blocked(rows: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` for the two sides of a self-join by ``on``, with a column ``block``: the members of a
     value with more than BLOCK of them are dealt to blocks, and each two blocks meet in a task of their own."""
     large = rows.groupBy(on).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    if large.isEmpty():
+        one = rows.withColumn("block", F.lit(0))
+        return one, one
     dealt = rows.join(F.broadcast(large), on, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = dealt.select("*", mine.alias("mine"), every.alias("other")).drop("blocks")
@@ -344,8 +349,8 @@ def judged(docs: DataFrame) -> DataFrame:
         labels = joined_components(labels, confirmed(cross, docs, scratch, "cross"), scratch, "cross")
 
     label = F.coalesce("label", "id")
-    smallest = classes.join(labels, "id", "left").groupBy(label.alias("label")).agg(F.min("doc").alias("component"))
-    named = classes.join(labels, "id", "left").select("n", "d1", "d2", label.alias("label")).join(smallest, "label").drop("label")
+    tagged = scratch.keep(classes.join(labels, "id", "left").select("n", "d1", "d2", "doc", label.alias("label")), "tagged")
+    named = tagged.join(tagged.groupBy("label").agg(F.min("doc").alias("component")), "label").drop("label", "doc")
     named = scratch.keep(named, "components")
     scratch.drop_all(named, sketches)
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
