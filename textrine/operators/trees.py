@@ -2,7 +2,7 @@
 
 Whole texts are indexed by the array kernel in ``mapInArrow``: a task takes the
 texts of an Arrow batch some hundred thousand characters at a time, so that memory does not
-depend on the number of texts, nothing is shuffled, and texts of any length are
+depend on the number of texts, no suffix is shuffled, and texts of any length are
 indexed in full. Which of the classical constructions a caller names (simple or
 linked McCreight, simple or linked Ukkonen, partition and write-only) has no
 influence on the tree, only on what is shown of it; see ``options``.
@@ -14,7 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.plans.kernel import SuffixArrays, SuffixTrees, slices
+from textrine.plans.kernel import SuffixArrays, SuffixTrees, slices, smaller_before
+
+#: Bytes of text a core, by Spark's estimate, under which texts are dealt to all cores; and bytes that are not worth it.
+SHARE, LITTLE = 64 << 20, 1 << 20
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
@@ -28,6 +31,17 @@ def leaves(texts: DataFrame) -> DataFrame:
     return suffixes(texts).select("doc_id", (-F.col("i")).alias("node_id"), F.col("suffix_len").alias("depth"))
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """``texts`` dealt to all cores if there are few bytes of them for each.
+
+    A Parquet file is read by as many tasks as it has row groups, which may be one,
+    and a tree takes far longer than moving its text. Large tables are left as they are read.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return texts.repartition(4 * cores, "doc_id", "text") if LITTLE <= size < SHARE * cores else texts
+
+
 def per_batch(texts: DataFrame, make, schema: str) -> DataFrame:
     """``make(texts)`` -> dict of arrays with ``doc`` (text number) for groups of texts."""
     import pyarrow as pa
@@ -48,7 +62,7 @@ def per_batch(texts: DataFrame, make, schema: str) -> DataFrame:
                     part = {"doc_id": doc_ids, **out}
                     yield pa.RecordBatch.from_arrays([pa.array(part[k][lo : lo + 200_000], types[k]) for k in names], names)
 
-    return texts.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()).mapInArrow(run, schema)
+    return spread(texts.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())).mapInArrow(run, schema)
 
 
 def suffix_array(texts: DataFrame) -> DataFrame:
@@ -56,8 +70,7 @@ def suffix_array(texts: DataFrame) -> DataFrame:
 
     def make(rows):
         sa = SuffixArrays(rows)
-        doc = sa.doc[sa.order]
-        return {"doc": doc, "rank": np.arange(len(doc)) - sa.bounds[doc] + 1, "i": sa.start, "lcp": np.maximum(sa.lcp, 0)}
+        return {"doc": sa.doc, "rank": np.arange(len(sa.doc)) - sa.bounds[sa.doc] + 1, "i": sa.start, "lcp": np.maximum(sa.lcp, 0)}
 
     return per_batch(texts, make, "doc_id long, rank int, i int, lcp int")
 
@@ -111,13 +124,15 @@ def classical_edges(texts: DataFrame, algorithm: str) -> DataFrame:
 
 
 def tree_counts(texts: DataFrame) -> DataFrame:
-    """doc_id, n, branching_nodes, edges, max_depth, label_chars: one row per text."""
+    """doc_id, n, branching_nodes, edges, max_depth: one row per text, from its suffix array without making nodes."""
 
     def make(rows):
-        t = SuffixTrees(rows)
-        n = np.diff(t.sa.bounds) - 1
-        deepest = np.zeros(len(rows), np.int64)
-        np.maximum.at(deepest, t.node_doc, t.depth)
-        return {"doc": np.arange(len(rows)), "n": n, "branching_nodes": t.nodes_of, "edges": t.nodes_of + n, "max_depth": deepest}
+        sa = SuffixArrays(rows)
+        n = np.diff(sa.bounds) - 1
+        # a node for each first of its value among neighbours that are not smaller; a text without characters has a root
+        first = (sa.lcp >= 0) & (sa.lcp[smaller_before(sa.lcp, equal=True)] < sa.lcp)
+        nodes_of = np.bincount(sa.doc[first], minlength=len(rows)) + (n == 0)
+        deepest = np.maximum.reduceat(np.maximum(sa.lcp, 0), sa.bounds[:-1])
+        return {"doc": np.arange(len(rows)), "n": n, "branching_nodes": nodes_of, "edges": nodes_of + n, "max_depth": deepest}
 
     return per_batch(texts, make, "doc_id long, n long, branching_nodes long, edges long, max_depth long")

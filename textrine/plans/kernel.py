@@ -4,8 +4,8 @@ All texts of a batch are laid end to end, each with a terminator that is
 greater than any character. Suffixes are sorted within their text by prefix
 doubling; the ranks of every doubling step are kept, from which the longest
 common prefixes of neighbours follow without a per-character loop. Every
-branching node is an interval of equal-or-greater common prefixes; interval
-ends come from a sparse table of range minima.
+branching node is an interval of equal-or-greater common prefixes, which ends
+where the next smaller one is on either side.
 
 Nothing here is per character Python: each step is a sort, a gather or a
 cumulative operation on the batch's arrays.
@@ -18,6 +18,8 @@ import numpy as np
 END = 0x110000
 #: Characters that are indexed at once (and one text, if it is longer).
 PART = 300_000
+#: Steps that entries walk together to the next smaller one.
+WALK = 500
 
 
 def slices(sizes, most: int = PART):
@@ -42,14 +44,11 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted order, rank of equal keys) of some integers."""
-    order = np.argsort(keys)
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = keys[order][1:] != keys[order][:-1]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(fresh) - 1
-    return order, rank
+def changes(values: np.ndarray) -> np.ndarray:
+    """Which entries differ from the one before them."""
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return fresh
 
 
 def packed_codes(chars: np.ndarray, doc: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -110,14 +109,22 @@ class SparseMin:
             at = np.where(ok, start, at)
         return at - 1
 
-    def smaller_after(self, values: np.ndarray) -> np.ndarray:
-        """For each i the first j > i with a smaller value, or n."""
-        at = np.arange(self.n) + 1
-        for k in range(len(self.levels) - 1, -1, -1):
-            can = at + (1 << k) <= self.n
-            ok = can & ((self.levels[k][np.minimum(at, len(self.levels[k]) - 1)] >> 32) >= values)
-            at = np.where(ok, at + (1 << k), at)
-        return at
+
+def smaller_before(values: np.ndarray, equal: bool = False) -> np.ndarray:
+    """For each entry from 0 up the last one before it that is smaller (or ``equal``); there has to be one.
+
+    Entries walk back together, over greater ones by what those have found. The
+    few that are not there after WALK steps look it up in a table of minima.
+    """
+    back = np.arange(-1, len(values) - 1)
+    todo = np.flatnonzero(values >= 0)
+    for _ in range(WALK):
+        todo = todo[values[back[todo]] >= values[todo] + equal]
+        if not len(todo):
+            return back
+        back[todo] = back[back[todo]]
+    back[todo] = SparseMin(values).smaller_before(values + equal)[todo]
+    return back
 
 
 class SuffixArrays:
@@ -129,32 +136,42 @@ class SuffixArrays:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         self.end = self.bounds[1:][self.doc]
         levels = packed_codes(self.chars, self.doc, self.end)
-        k = 1 << (len(levels) - 1)
-        order, rank = dense(levels[-1])
-        levels[-1] = rank
-        while n and rank[order[-1]] != n - 1:
-            ahead = np.minimum(np.arange(n) + k, n - 1)
-            second = np.where(np.arange(n) + k < self.end, rank[ahead], 0)
-            order, rank = dense(rank * (n + 1) + second)
-            levels.append(rank)
-            k *= 2
+        # a rank is the number of smaller suffixes, so that only those still tied are sorted again
+        order, rank = np.argsort(levels[-1]), np.empty(n, np.int64)
+        fresh = changes(levels[-1][order])
+        parted = np.where(fresh, len(levels) - 1, -1)  # the step that tells a sorted suffix from the one before
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        levels[-1] = rank.astype(np.int32)
+        tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        while len(tied):
+            at = order[tied]  # equal so far, hence the text does not end there
+            key = rank[at] * (n + 1) + rank[at + (1 << (len(levels) - 1))]
+            by = np.argsort(key)
+            order[tied] = at = at[by]
+            fresh = changes(key[by])
+            rank[at] = np.maximum.accumulate(np.where(fresh, tied, 0))
+            new = tied[fresh]
+            parted[new[parted[new] < 0]] = len(levels)
+            levels.append(rank.astype(np.int32))
+            tied = tied[~(fresh & np.append(fresh[1:], True))]
         self.order, self.rank = order, rank
         # codes and ranks of step s tell whether 2^s characters are equal
-        a, b = order[1:].copy(), order[:-1].copy()
-        lcp = np.zeros(max(n - 1, 0), np.int64)
-        same = self.doc[a] == self.doc[b]
-        for s in range(len(levels) - 1, -1, -1):
-            fits = same & (a < self.end[order[1:]]) & (b < self.end[order[:-1]])
-            ia, ib = np.minimum(a, n - 1), np.minimum(b, n - 1)
-            equal = fits & (levels[s][ia] == levels[s][ib])
-            step = np.where(equal, 1 << s, 0)
-            a, b, lcp = a + step, b + step, lcp + step
-        self.lcp = np.concatenate([[-1], np.where(same, lcp, -1)]) if n else np.zeros(0, np.int64)
+        second = np.ones(n, bool)
+        second[self.bounds[:-1]] = False
+        second = np.flatnonzero(second)
+        a, b, last = order[second], order[second - 1], parted[second]
+        for s in range(len(levels) - 2, -1, -1):
+            some = np.flatnonzero(last > s)
+            some = some[levels[s][a[some]] == levels[s][b[some]]]
+            a[some] += 1 << s
+            b[some] += 1 << s
+        self.lcp = np.full(n, -1)
+        self.lcp[second] = a - order[second]
 
     @property
     def start(self) -> np.ndarray:
         """1-based start of each sorted suffix in its text."""
-        return self.order - self.bounds[self.doc[self.order]] + 1
+        return self.order - self.bounds[self.doc] + 1
 
 
 class SuffixTrees:
@@ -172,7 +189,7 @@ class SuffixTrees:
         lcp = np.concatenate([sa.lcp, [-1]])  # lcp[i]: between sorted i-1 and i
         table = SparseMin(lcp)
         inner = np.flatnonzero(lcp[:n] >= 0)
-        left, right = table.smaller_before(lcp)[inner], table.smaller_after(lcp)[inner] - 1
+        left, right = smaller_before(lcp)[inner], n - smaller_before(lcp[::-1])[n - inner] - 1
         key, at = np.unique(left * (n + 1) + lcp[inner], return_index=True) if len(inner) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         node_left, node_right, depth = left[at], right[at], lcp[inner][at]
         node_doc = sa.doc[sa.order[node_left]]
