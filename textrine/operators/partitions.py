@@ -7,12 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from textrine.operators.navigate import common_length
 from textrine.operators.trees import per_batch
-from textrine.plans.kernel import code_points
-
-#: Sorts after every character and stands for the terminator.
-LAST = "\U0010ffff"
+from textrine.plans.kernel import SuffixArrays, code_points
 
 
 def auto_prefix_length(n: Column) -> Column:
@@ -34,20 +30,24 @@ def chosen_prefix_length(n: Column, wanted: Column) -> Column:
 def partitions(texts: DataFrame, prefix: int) -> DataFrame:
     """Groups of suffixes with equal first characters: offsets, common length, least start.
 
-    Suffixes meet as (prefix, two extremes), aggregated before they are shuffled;
-    the longest common prefix of a group is that of its least and greatest suffix.
-    A single suffix has its whole length, terminator included.
+    Groups are the runs of a suffix array whose common prefixes are not shorter than
+    ``prefix``. A single suffix has its whole length, terminator included.
     """
-    n = F.length("text")
-    rows = texts.select("doc_id", F.concat("text", F.lit(LAST)).alias("s"), F.explode(F.sequence(F.lit(1), n + 1)).alias("i"))
-    rows = rows.select("doc_id", "i", F.expr("substr(s, i)").alias("sx"))
-    groups = rows.groupBy("doc_id", F.substring("sx", 1, prefix).alias("prefix")).agg(F.count("*").alias("cnt"), F.min("i").alias("text_offset"), F.min("sx").alias("lo"), F.max("sx").alias("hi"))
-    w = Window.partitionBy("doc_id").orderBy("prefix")
-    before = F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cnt")
-    return groups.select(
-        "doc_id", (F.row_number().over(w) - 1).alias("idx"), (before + 1).alias("begin_offset"), (before + 1 + F.col("cnt")).alias("end_offset"),
-        F.expr(f"if(cnt = 1, length(lo), {common_length('lo', 'hi')})").alias("lcp_size"), "text_offset",
-    )
+
+    def make(rows):
+        sa = SuffixArrays(rows)
+        at = np.flatnonzero(sa.lcp < prefix)
+        doc, size = sa.doc[at], np.diff(np.append(at, len(sa.lcp)))
+        begin = at - sa.bounds[doc] + 1
+        inside = sa.lcp.copy()
+        inside[at] = len(sa.lcp)
+        whole = (sa.end - sa.order)[at]
+        return {
+            "doc": doc, "idx": np.arange(len(at)) - np.searchsorted(doc, doc), "begin_offset": begin, "end_offset": begin + size,
+            "lcp_size": np.where(size == 1, whole, np.minimum.reduceat(inside, at)), "text_offset": np.minimum.reduceat(sa.start, at),
+        }
+
+    return per_batch(texts, make, "doc_id long, idx int, begin_offset long, end_offset long, lcp_size int, text_offset int")
 
 
 def select_partition(texts: DataFrame, prefix: str) -> DataFrame:
