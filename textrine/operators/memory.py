@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -25,6 +25,37 @@ def tree_stats(counts: DataFrame, layout: str) -> DataFrame:
     return out.withColumn("bytes_per_char", F.when(F.col("length") > 0, F.col("used_bytes") / F.col("length")))
 
 
+def grown(nodes: Column, n: Column) -> Column:
+    """Records that the node table of a text of n characters has room for, once it holds ``nodes``.
+
+    It starts with the greatest power of two up to n. When it is full, it grows before the next suffix: by
+    half of that first, then by half the step before, 128 at least, up to n records.
+    """
+    first = F.when(n > 0, F.pow(F.lit(2), F.length(F.bin(n)) - 1)).otherwise(0).cast("long")
+    start = F.struct(first.alias("size"), F.floor(first / 2).cast("long").alias("step"))
+
+    def grow(at, _):
+        larger = F.struct(F.least(at["size"] + at["step"], n).alias("size"), F.when(at["step"] < 256, 128).otherwise(F.floor(at["step"] / 2)).cast("long").alias("step"))
+        return F.when((at["size"] <= nodes) & (at["size"] < n), larger).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, grow, lambda at: at["size"])
+
+
+def allocation(counts: DataFrame, layout: str) -> DataFrame:
+    """Allocated bytes and load factors of each text's tree, for the layouts without a hash table (SL, SL_BP)."""
+    leaf, edge, branch = RECORDS[layout]
+    if edge or not branch:
+        raise NotImplementedError(f"no allocation model for {layout}")
+    rows = tree_stats(counts, layout).withColumn("node_records", grown(F.col("branching_nodes"), F.col("length")))
+    rows = rows.withColumn("allocated_bytes", (F.col("length") + 2) * leaf + (F.col("node_records") + 1) * branch)
+    return rows.select(
+        "doc_id", "layout", "node_records", "allocated_bytes", "used_bytes",
+        F.when(F.col("length") > 0, F.col("allocated_bytes") / F.col("length")).alias("allocated_per_char"),
+        F.when(F.col("node_records") > 0, F.lit(100.0) * F.col("branching_nodes") / F.col("node_records")).alias("node_load_percent"),
+        (F.lit(100.0) * F.col("used_bytes") / F.col("allocated_bytes")).alias("memory_load_percent"),
+    )
+
+
 def window_memory(stats: DataFrame, layout: str, window: int) -> DataFrame:
     """Used bytes of the window tree from the per-slide averages."""
     leaf, edge, branch = WINDOW_RECORDS[layout]

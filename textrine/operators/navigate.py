@@ -98,6 +98,19 @@ def locus(edges: DataFrame, depth: int) -> DataFrame:
     return across.select("doc_id", F.col("parent").alias("node"), F.col("parent_depth").alias("node_depth"), "child", F.when(F.col("parent_depth") == depth, 0).otherwise(-1).alias("exact"))
 
 
+def go_up(edges: DataFrame, depth: int) -> DataFrame:
+    """For each node but the root: the edge (parent, child) that a climb from it to ``depth`` ends on.
+
+    ``child`` is the last node of the climb (the node itself if its parent is not deeper),
+    ``exact`` 0 if the parent has that depth, -1 if it is shallower. In traversal order an
+    edge comes before all below it, so this is the last one so far whose parent is not deeper.
+    """
+    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    met = F.last(F.when(F.col("parent_depth") <= depth, F.struct("parent", "child", "parent_depth")), ignorenulls=True).over(w)
+    found = edges.select("doc_id", F.col("child").alias("node"), met.alias("met"))
+    return found.select("doc_id", "node", "met.parent", "met.child", F.when(F.col("met.parent_depth") == depth, 0).otherwise(-1).alias("exact"))
+
+
 def upsert(records: DataFrame, changes: DataFrame, key: list[str], value: str, vacant=None) -> DataFrame:
     """Records keyed by ``key`` after changes: inserted, overwritten, or removed where the new value is ``vacant``.
 

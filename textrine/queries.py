@@ -237,6 +237,19 @@ def locus_at_depth(spark, sf_dir):
     return navigate.locus(trees.edges(items(spark, sf_dir)), 3)
 
 
+@query(tree() + """, chain AS (SELECT doc_id, child AS node, child AS x FROM ed UNION ALL SELECT doc_id, child, parent FROM anc WHERE parent <> 1)
+SELECT c.doc_id, CAST(c.node AS INTEGER) AS node, arg_max(e.parent, e.parent_depth) AS parent, arg_max(e.child, e.parent_depth) AS child, CAST(CASE WHEN max(e.parent_depth) = 3 THEN 0 ELSE -1 END AS INTEGER) AS exact
+FROM chain c JOIN ed e ON e.doc_id = c.doc_id AND e.child = c.x WHERE e.parent_depth <= 3 GROUP BY c.doc_id, c.node""")
+def go_up(spark, sf_dir):
+    """The climb from every node to depth 3."""
+    return navigate.go_up(trees.edges(items(spark, sf_dir), labels=False), 3)
+
+
+@query()
+def documents_go_up(spark, sf_dir):
+    return navigate.go_up(trees.edges(docs(spark, sf_dir), labels=False), 3)
+
+
 @query(tree() + "SELECT doc_id, parent, CAST(row_number() OVER w AS INTEGER) AS nth, substr(label, 1, 1) AS letter, child < 0 AS is_leaf, lead(child) OVER w IS NULL AS is_last FROM ed WINDOW w AS (PARTITION BY doc_id, parent ORDER BY ord)")
 def node_groups(spark, sf_dir):
     return navigate.node_groups(trees.edges(items(spark, sf_dir)))
@@ -277,6 +290,14 @@ def prefix_partitions_p3(spark, sf_dir):
     return partitions.partitions(items(spark, sf_dir), 3)
 
 
+@query("""WITH x AS (SELECT doc_id, i, CASE WHEN i < length(s) THEN substr(s, i, 2) ELSE substr(s, i) || chr(1114111) END AS prefix FROM (SELECT doc_id, text AS s, unnest(range(1, length(text) + 2)) AS i FROM documents WHERE text IS NOT NULL)),
+g AS (SELECT doc_id, prefix, count(*) AS cnt, min(i) AS text_offset FROM x GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS idx, CAST(1 + sum(cnt) OVER w - cnt AS BIGINT) AS begin_offset, CAST(1 + sum(cnt) OVER w AS BIGINT) AS end_offset, CAST(text_offset AS INTEGER) AS text_offset
+FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY prefix ROWS UNBOUNDED PRECEDING)""")
+def documents_prefix_partitions(spark, sf_dir):
+    return partitions.partitions(docs(spark, sf_dir), 2).drop("lcp_size")
+
+
 @query(f"SELECT doc_id, min(text_offset) AS least_offset, max(idx) + 1 AS n_partitions FROM ({partition_sql(2)}) GROUP BY doc_id")
 def partition_min_offset(spark, sf_dir):
     return partitions.partitions(items(spark, sf_dir), 2).groupBy("doc_id").agg(F.min("text_offset").alias("least_offset"), (F.max("idx") + 1).alias("n_partitions"))
@@ -351,6 +372,25 @@ for _layout in memory.RECORDS:
     query(stats_sql(_layout))(_stats(_layout))
 
 
+def allocation_sql(layout: str) -> str:
+    leaf, _, branch = memory.RECORDS[layout]
+    return f"""WITH RECURSIVE u AS (SELECT doc_id, length AS n, branching_nodes AS bn, used_bytes, CASE WHEN length > 0 THEN CAST(1 AS BIGINT) << CAST(floor(log2(length)) AS INTEGER) ELSE 0 END AS least FROM ({stats_sql(layout)})),
+g AS (SELECT doc_id, n, bn, least AS size, least // 2 AS step FROM u UNION ALL SELECT doc_id, n, bn, least(size + step, n), CASE WHEN step < 256 THEN 128 ELSE step // 2 END FROM g WHERE size <= bn AND size < n),
+m AS (SELECT doc_id, max(size) AS size FROM g GROUP BY doc_id), a AS (SELECT *, CAST((n + 2) * {leaf} + (size + 1) * {branch} AS BIGINT) AS allocated FROM u JOIN m USING (doc_id))
+SELECT doc_id, '{layout}' AS layout, CAST(size AS BIGINT) AS node_records, allocated AS allocated_bytes, used_bytes, CASE WHEN n > 0 THEN allocated / CAST(n AS DOUBLE) END AS allocated_per_char,
+CASE WHEN size > 0 THEN 100.0::DOUBLE * bn / size END AS node_load_percent, 100.0::DOUBLE * used_bytes / allocated AS memory_load_percent FROM a"""
+
+
+@query(allocation_sql("SL"))
+def allocation_sl(spark, sf_dir):
+    return memory.allocation(trees.tree_counts(items(spark, sf_dir)), "SL")
+
+
+@query(allocation_sql("SL_BP"))
+def allocation_sl_bp(spark, sf_dir):
+    return memory.allocation(trees.tree_counts(items(spark, sf_dir)), "SL_BP")
+
+
 @query()
 def documents_tree_stats(spark, sf_dir):
     """The headline: counts of the whole suffix tree of every whole document."""
