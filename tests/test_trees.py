@@ -1,3 +1,4 @@
+import os
 import random
 
 from hypothesis import given, settings
@@ -45,6 +46,79 @@ def test_kernel_on_many_random_texts():
     compare(["", "a", "mississippi", "abcabxabcd", "abaababaabaab"] + ["".join(r.choices("ab", k=r.randint(0, 20))) for _ in range(300)])
 
 
+def test_walks_that_are_cut_short(monkeypatch):
+    from textrine.plans import kernel
+
+    monkeypatch.setattr(kernel, "WALK", 2)
+    compare(["a" * 40, "ab" * 20, "abc" * 9 + "ab", "", "mississippi"])
+
+
+def test_counts_equal_the_trees(spark):
+    r = random.Random(8)
+    texts = ["", "a", "a" * 50, "ab" * 30] + ["".join(r.choices("abc", k=r.randint(0, 40))) for _ in range(60)]
+    rows = trees.tree_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        nodes = tree(texts[row.doc_id])[1]
+        n = len(texts[row.doc_id])
+        assert (row.n, row.branching_nodes, row.edges, row.max_depth) == (n, len(nodes), len(nodes) + n, max(d for d, _ in nodes.values()))
+
+
+def test_texts_are_dealt_only_if_there_are_few_bytes(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "abcab" * (i % 7)) for i in range(200)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    plain = sorted(trees.suffix_array(texts).collect())
+    assert trees.spread(texts) is texts  # too few to be worth it
+    monkeypatch.setattr(trees, "LITTLE", 0)
+    assert trees.spread(texts).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted(trees.suffix_array(texts).collect()) == plain
+    monkeypatch.setattr(trees, "SHARE", 0)
+    assert trees.spread(texts) is texts
+
+
+def test_prefix_partitions_equal_groups_of_suffixes(spark):
+    r = random.Random(9)
+    texts = ["", "a", "aaaa", "banana"] + ["".join(r.choices("ab\U0001f600", k=r.randint(0, 30))) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for p in (0, 1, 2, 5):
+        want = []
+        for d, t in enumerate(texts):
+            s = t + chr(0x10FFFF)
+            groups: dict[str, list[int]] = {}
+            for i in sorted(range(len(s)), key=lambda i: s[i:]):
+                groups.setdefault(s[i : i + p], []).append(i)
+            at = 1
+            for k, own in enumerate(groups.values()):
+                common = len(s) - own[0] if len(own) == 1 else len(os.path.commonprefix([s[i:] for i in own]))
+                want.append((d, k, at, at + len(own), common, min(own) + 1))
+                at += len(own)
+        assert sorted(map(tuple, partitions.partitions(df, p).collect())) == want
+
+
+def test_climbs_equal_a_walk(spark):
+    texts = ["abcabxabcd", "aaaaaa", "", "abaababaabaab"]
+    e = trees.edges(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for depth in (0, 1, 3):
+        got = {(r.doc_id, r.node): (r.parent, r.child, r.exact) for r in navigate.go_up(e, depth).collect()}
+        for d, t in enumerate(texts):
+            above = {c: (p, pd) for p, pd, c, *_ in tree(t)[0]}
+            for node in above:
+                child = node
+                while above[child][1] > depth:
+                    child = above[child][0]
+                assert got.pop((d, node)) == (above[child][0], child, 0 if above[child][1] == depth else -1)
+        assert not got
+
+
+def test_allocation(spark):
+    from textrine.operators import memory
+
+    rows = [(d, n, bn, n + bn) for d, (n, bn) in enumerate([(0, 1), (1, 1), (3, 2), (3, 3), (1000, 511), (1000, 512), (1000, 999), (5000, 4999)])]
+    got = [r for r in memory.allocation(spark.createDataFrame(rows, "doc_id long, n long, branching_nodes long, edges long"), "SL").orderBy("doc_id").collect()]
+    assert [r.node_records for r in got] == [0, 1, 3, 3, 512, 768, 1000, 5000]
+    assert got[5].allocated_bytes == 1002 * 4 + 769 * 20 and got[5].node_load_percent == 100 * 512 / 768
+
+
 def test_goldens_and_nulls(spark):
     texts = list(GOLDEN)
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
