@@ -153,12 +153,14 @@ def first_shared(a: str, b: str, slot: str) -> str:
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """id, d1, set: the distinct shingles of the documents with these ids, as a written table.
+    """id, d1, set: the distinct shingles of the documents with these ids, each once, as a written table.
 
     Only texts that a bitmap of the ids lets through are cut into sets, so that
     texts are never shuffled; some other documents may pass, and rows that share
     an id, so that a set belongs to an id only together with its digest d1. Once
-    the table is written, nothing needs the bitmap any more.
+    the table is written, nothing needs the bitmap any more. Repeated rows are made
+    one here, and only where there are any: a join of the table as it was written
+    is one that Spark can split where a key is hot.
     """
     import pyarrow as pa
 
@@ -182,12 +184,16 @@ def sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> Dat
     texts = docs.where("doc_id IS NOT NULL").select(doc.alias("id"), F.xxhash64(doc).alias("hash"), other.alias("other"), F.xxhash64(other).alias("other_hash"), "text")
     sets = scratch.keep(texts.mapInArrow(run, "id long, d1 long, set array<long>"), name)
     shared.destroy()
-    return sets
+    if not sets.groupBy("id", "d1").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        return sets
+    single = scratch.keep(sets.dropDuplicates(["id", "d1"]), name)
+    scratch.drop(sets)
+    return single
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, da, b, db: distinct ids with digests) whose full sets are similar enough; of each pair one set is shuffled."""
-    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, scratch, f"{name}-sets").dropDuplicates(["id", "d1"])
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, scratch, f"{name}-sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("d1").alias(f"d{x}"), F.col("set").alias(f"s{x}"))
     both = (
         pairs.join(side("b"), ["b", "db"]).join(side("a"), ["a", "da"])
@@ -207,7 +213,7 @@ def linkable(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFra
     these, or its intersection is among the frequent ones.
     """
     near = sets_of(ids, docs, scratch, "rest-sets")  # ids: id, d1
-    alive = scratch.keep(near.join(ids, ["id", "d1"], "left_semi").dropDuplicates(["id"]).select("id", "set"), "alive")
+    alive = scratch.keep(near.join(ids, ["id", "d1"], "left_semi").select("id", "set"), "alive")
     scratch.drop(near)
     for _ in range(2):
         own = alive.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
@@ -233,18 +239,20 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges = scratch.keep(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
     labels = scratch.keep(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
-        offered = edges.join(labels, F.col("a") == F.col("id")).select(F.col("b").alias("id"), "label")
+        heard = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("best"))
+        told = labels.join(heard, F.col("id") == F.col("a"))
         # a label's own holder learns of a smaller one from its followers
-        upward = labels.select(F.col("label").alias("up"), F.col("id").alias("low")).join(offered.groupBy("id").agg(F.min("label").alias("best")), F.col("low") == F.col("id")).select(F.col("up").alias("id"), F.col("best").alias("label"))
-        lowest = labels.union(offered).union(upward).groupBy("id").agg(F.min("label").alias("next"))
-        jumped = lowest.join(labels.select(F.col("id").alias("at"), F.col("label").alias("far")), F.col("next") == F.col("at"), "left").select("id", F.least("next", F.coalesce("far", "next")).alias("label"))
-        fresh = scratch.keep(jumped, f"{name}-labels")
-        changed = fresh.select("id", F.col("label").alias("new")).join(labels, "id").where("new < label").limit(1).count()
+        offers = F.array(F.struct("id", F.least("label", "best").alias("next"), F.col("label").alias("was")), F.struct(F.col("label").alias("id"), F.col("best").alias("next"), F.lit(None).cast("long").alias("was")))
+        lowest = told.select(F.inline(offers)).groupBy("id").agg(F.min("next").alias("next"), F.max("was").alias("was"))
+        far = labels.select(F.col("id").alias("at"), F.col("label").alias("far"))
+        jumped = lowest.join(far, F.col("next") == F.col("at")).select("id", F.least("next", "far").alias("label"), "was")
+        fresh = scratch.keep(jumped.select("id", "label", (F.col("label") < F.col("was")).alias("moved")), f"{name}-labels")
+        moved = fresh.where("moved").limit(1).count()
         scratch.drop(labels)
         labels = fresh
-        if not changed:
+        if not moved:
             scratch.drop(edges)
-            return labels
+            return labels.select("id", "label")
 
 
 def joined_components(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
