@@ -136,6 +136,17 @@ def test_rows_that_share_an_id(spark):
     assert kept == {(3, b, "x", 5), (7, a, "x", 5), (2, c, "x", 5)}
 
 
+def test_repeated_rows_of_near_copies(spark):
+    """A row that stands several times counts once in every comparison and keeps all its rows."""
+    words = [f"w{i}" for i in range(60)]
+    near, far = words[:59] + ["end"], [f"v{i}" for i in range(60)]
+    rows = [(5, words)] * 3 + [(2, near)] * 4 + [(8, far)] * 2 + [(9, far[:30] + words[:30])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(2, 56, 2, True)] * 4 + [(5, 56, 2, False)] * 3 + [(8, 56, 8, True)] * 2 + [(9, 56, 9, True)]
+    assert sorted(r.doc_id for r in near_dup.filter_documents(df).collect()) == [2] * 4 + [8] * 2 + [9]
+
+
 def test_large_keys_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 3)
     rows = spark.createDataFrame([(1, i) for i in range(20)] + [(2, i) for i in range(3)], "key long, id long")
