@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textrine.llm import decontam, line_dedup, near_dup, suffix_dedup
+from textrine.llm import decontam, filter_audit, line_dedup, near_dup, source_divergence, suffix_dedup
 from textrine.llm.common import table
 
 
@@ -69,6 +69,14 @@ def op10_suffix_dedup(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -80,6 +88,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_near_dup": op9_near_dup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontam.ORACLE,
     "op9_near_dup": near_dup.ORACLE,
     "op10_suffix_dedup": suffix_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
