@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textrine.llm import decontam, filter_audit, line_dedup, near_dup, source_divergence, suffix_dedup
+from textrine.llm import decontam, embed_dedup, filter_audit, line_dedup, near_dup, source_divergence, suffix_dedup
 from textrine.llm.common import table
 
 
@@ -73,6 +73,10 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_embed_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark, sf_dir):
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_near_dup": op9_near_dup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_embed_dedup": op12_embed_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -98,5 +103,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_near_dup": near_dup.ORACLE,
     "op10_suffix_dedup": suffix_dedup.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_embed_dedup": embed_dedup.ORACLE,
     "op13_source_divergence": source_divergence.ORACLE,
 }
