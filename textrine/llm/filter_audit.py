@@ -41,7 +41,7 @@ COPY = 1 << FILTERS.index("E")
 MASKS = 1 << len(FILTERS)
 #: Texts that a task holds at once before it sends what it has.
 CHUNK_BYTES = 16 << 20
-#: Bytes of input for each partition of the routed texts.
+#: Bytes of text for each partition of the routed texts.
 ROUTED_BYTES = 256 << 20
 
 UPPER = bytes(range(65, 91))
@@ -138,8 +138,8 @@ def masks(docs: DataFrame) -> DataFrame:
     """doc_id, part, mask, n: the failed filters of all documents (n rows of one id and text)."""
     empty = F.lit("")
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", empty), F.coalesce("lang", empty))
-    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = max(partitions_of(docs.sparkSession), min(size, 1 << 50) // ROUTED_BYTES)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions_of(docs.sparkSession), size // ROUTED_BYTES)
     routed = texts.rdd.mapPartitions(first_of_chunk).repartitionAndSortWithinPartitions(parts, lambda h: h % parts)
     return docs.sparkSession.createDataFrame(routed.mapPartitions(judged_chains), "doc_id long, part string, mask int, n long", verifySchema=False)
 
