@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+#: SQL: the edge is the terminator alone. A text may have the letter "$" too, so that labels cannot tell.
+IS_END = "(child < 0 AND child_depth = parent_depth + 1)"
+
+
 def child_by_letter(edges: DataFrame, probes: DataFrame) -> DataFrame:
-    """The child of each (doc_id, parent, letter) probe, or none."""
-    found = edges.select("doc_id", "parent", "letter", "child", "child_depth")
+    """The child of each (doc_id, parent, letter) probe, or none; the terminator is no letter."""
+    found = edges.where(f"NOT {IS_END}").select("doc_id", "parent", "letter", "child", "child_depth")
     return probes.join(found, ["doc_id", "parent", "letter"], "left")
 
 
@@ -59,17 +63,17 @@ def scans(edges: DataFrame, patterns: list[str], parent: int = 1) -> DataFrame:
     probes = edges.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
     docs = edges.where(F.col("ord") == 1).select("doc_id")
     asked = docs.join(F.broadcast(probes))  # a handful of given patterns per document
-    here = edges.where(F.col("parent") == parent).select("doc_id", "letter", "child", "child_depth", "label")
+    here = edges.where((F.col("parent") == parent) & ~F.expr(IS_END)).select("doc_id", "letter", "child", "child_depth", F.expr("substr(label, 1, label_len - IF(child < 0, 1, 0))").alias("label"))
     met = asked.withColumn("letter", F.substring("pattern", 1, 1)).join(here, ["doc_id", "letter"], "left")
     n = F.expr(f"CASE WHEN child IS NULL THEN 0 ELSE {common_length('label', 'pattern')} END")
     out = met.withColumn("matched", n)
     mismatch = F.when(F.substring(F.col("label"), F.col("matched") + 1, F.lit(1)) > F.substring(F.col("pattern"), F.col("matched") + 1, F.lit(1)), 1).otherwise(-1)
-    end = F.substring(F.col("label"), F.col("matched") + 1, F.lit(1)) == "$"
+    ended = F.col("matched") == F.length("label")  # of the letters; a leaf's edge goes on with the terminator
     slow = (
         F.when(F.col("child").isNull(), None)
-        .when(F.col("matched") == F.length("label"), 0)
+        .when(ended & (F.col("child") > 0), 0)
         .when(F.col("matched") == F.length("pattern"), 2)
-        .when((F.col("child") < 0) & end & (F.col("matched") == F.length("label") - 1), 1)
+        .when(ended, 1)
         .otherwise(mismatch)
     )
     return out.select(
@@ -83,7 +87,7 @@ def fastscans(edges: DataFrame, patterns: list[str], parent: int = 1) -> DataFra
     """Every edge of a node against each pattern's first letter: -1 if the edge's letter is smaller, 0 if equal, 1 if larger; the end is the largest."""
     probes = edges.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
     asked = edges.where(F.col("parent") == parent).join(F.broadcast(probes))  # a handful of given patterns
-    wanted, end = F.substring("pattern", 1, 1), (F.col("child") < 0) & (F.col("child_depth") == F.col("parent_depth") + 1)
+    wanted, end = F.substring("pattern", 1, 1), F.expr(IS_END)
     sign = F.when(end, 1).when(F.col("letter") < wanted, -1).when(F.col("letter") == wanted, 0).otherwise(1)
     return asked.select("doc_id", "pattern", "child", sign.alias("fast"))
 
@@ -111,6 +115,47 @@ def go_up(edges: DataFrame, depth: int) -> DataFrame:
     return found.select("doc_id", "node", "met.parent", "met.child", F.when(F.col("met.parent_depth") == depth, 0).otherwise(-1).alias("exact"))
 
 
+def jump_pointers(edges: DataFrame, keep=None) -> list[DataFrame]:
+    """For k = 0, 1, ...: doc_id, node, up, up_depth, the ancestor 2^k above each node that has one.
+
+    Each is a join of the one before with itself, so that a chain of any length has
+    the logarithm of its length as the number of joins; ``keep`` writes a step's table.
+    """
+    keep = keep or (lambda df, name: df)
+    steps = [keep(edges.select("doc_id", F.col("child").alias("node"), F.col("parent").alias("up"), F.col("parent_depth").alias("up_depth")), "up0")]
+    while True:
+        further = steps[-1].select("doc_id", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("up_depth").alias("_depth"))
+        step = keep(steps[-1].drop("up_depth").join(further, ["doc_id", "up"]).select("doc_id", "node", F.col("_up").alias("up"), F.col("_depth").alias("up_depth")), f"up{len(steps)}")
+        if step.isEmpty():
+            return steps
+        steps.append(step)
+
+
+def go_up_each(edges: DataFrame, asks: DataFrame, keep=None) -> DataFrame:
+    """``asks`` (doc_id, node, depth, and any other columns), each with the edge (parent, child) that a climb from its node to its own depth ends on.
+
+    As ``go_up``: ``child`` is the last node of the climb, ``exact`` 0 if the parent has that
+    depth, -1 if it is shallower. Asks of nodes that are not there have no row.
+    """
+    found = asks.withColumn("child", F.col("node"))
+    for step in reversed(jump_pointers(edges, keep)):
+        there = step.select("doc_id", F.col("node").alias("child"), "up", "up_depth")
+        found = found.join(there, ["doc_id", "child"], "left").withColumn("child", F.when(F.col("up_depth") > F.col("depth"), F.col("up")).otherwise(F.col("child"))).drop("up", "up_depth")
+    last = edges.select("doc_id", "child", "parent", F.col("parent_depth").alias("_depth"))
+    return found.join(last, ["doc_id", "child"]).withColumn("exact", F.when(F.col("_depth") == F.col("depth"), 0).otherwise(-1)).drop("_depth")
+
+
+def place_links(edges: DataFrame, asks: DataFrame, keep=None) -> DataFrame:
+    """The suffix links of places inside edges: asks (doc_id, node, at) name the place of depth ``at`` on the edge to ``node``.
+
+    Found is the edge (parent, child) on which the string without its first letter ends,
+    ``exact`` 0 if it ends on the parent itself, -1 if inside the edge.
+    """
+    target = edges.select("doc_id", F.col("child").alias("node"), F.when(F.col("child") < 0, F.col("child") - 1).otherwise(F.col("suffix_link")).alias("_link"))
+    linked = asks.join(target, ["doc_id", "node"]).select("doc_id", F.col("node").alias("_node"), "at", F.col("_link").alias("node"), (F.col("at") - 1).alias("depth"))
+    return go_up_each(edges, linked, keep).select("doc_id", F.col("_node").alias("node"), "at", "parent", "child", "exact")
+
+
 def upsert(records: DataFrame, changes: DataFrame, key: list[str], value: str, vacant=None) -> DataFrame:
     """Records keyed by ``key`` after changes: inserted, overwritten, or removed where the new value is ``vacant``.
 

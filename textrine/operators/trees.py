@@ -43,7 +43,12 @@ def spread(texts: DataFrame) -> DataFrame:
 
 
 def per_batch(texts: DataFrame, make, schema: str) -> DataFrame:
-    """``make(texts)`` -> dict of arrays with ``doc`` (text number) for groups of texts."""
+    """``make(texts)`` -> dict of arrays with ``doc`` (text number) for groups of texts.
+
+    Ids are carried as they are: a text with a null id is indexed like any other and its
+    rows have a null id, and each of two texts with one id has its own rows. Operators
+    that join or group on ids need ids that tell texts apart.
+    """
     import pyarrow as pa
     from pyspark.sql.types import StructType
 
@@ -53,14 +58,14 @@ def per_batch(texts: DataFrame, make, schema: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            ids, rows = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices([len(t) + 1 for t in rows]):
                 out = make(rows[a:b])
-                doc_ids = ids[a:b][out.pop("doc")]
+                doc_ids = ids[a:b].take(pa.array(out.pop("doc")))
                 n = len(doc_ids)
                 for lo in range(0, max(n, 1), 200_000):
                     part = {"doc_id": doc_ids, **out}
-                    yield pa.RecordBatch.from_arrays([pa.array(part[k][lo : lo + 200_000], types[k]) for k in names], names)
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x := part[k][lo : lo + 200_000], pa.Array) else pa.array(x, types[k]) for k in names], names)
 
     return spread(texts.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())).mapInArrow(run, schema)
 
@@ -92,7 +97,8 @@ def nodes(texts: DataFrame) -> DataFrame:
 def edges(texts: DataFrame, labels: bool = True) -> DataFrame:
     """Edges in traversal order: parent and child with depths, label, suffix link.
 
-    Labels end with "$" at leaves. Without ``labels`` only their length is made,
+    Labels end with "$" at leaves, which is how the terminator is shown; an edge is the
+    terminator alone if it leads to a leaf one deeper, whatever letters the text has. Without ``labels`` only their length is made,
     which keeps the output linear in the text.
     """
 

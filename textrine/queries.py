@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textrine import options
 from textrine.functions import numeric
-from textrine.operators import memory, navigate, partitions, traverse, trees, windows
+from textrine.operators import large, memory, navigate, partitions, search, traverse, trees, windows
 from textrine.sources import blocks, text
 from textrine.streaming import windows as streams
 
@@ -182,6 +182,18 @@ def edges_detailed(spark, sf_dir):
     return trees.edges(items(spark, sf_dir)).select(*EDGE_COLUMNS)
 
 
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY substr(text, i) || chr(1114111)) AS BIGINT) AS rank, CAST(i AS BIGINT) AS i FROM (SELECT item_id AS doc_id, text, unnest(range(1, length(text) + 2)) AS i FROM benchmark)")
+def large_suffix_array(spark, sf_dir):
+    """The suffixes of each text, sorted across tasks in slices of 500 places."""
+    return large.Index(large.pieces(items(spark, sf_dir), 100), span=500, rows=500).suffix_array().select("doc_id", "rank", "i")
+
+
+@query(tree() + "SELECT doc_id, CAST(ord AS BIGINT) AS ord, parent, CAST(parent_depth AS BIGINT) AS parent_depth, CAST(child AS BIGINT) AS child, CAST(child_depth AS BIGINT) AS child_depth, suffix_link, CAST(start AS BIGINT) AS start FROM ed")
+def large_edges(spark, sf_dir):
+    """The edges of each text, built across tasks in slices of 500 places."""
+    return large.Index(large.pieces(items(spark, sf_dir), 100), span=500, rows=500).edges().drop("label_len")
+
+
 @query()
 def documents_edges(spark, sf_dir):
     return trees.edges(docs(spark, sf_dir), labels=False)
@@ -250,6 +262,64 @@ def documents_go_up(spark, sf_dir):
     return navigate.go_up(trees.edges(docs(spark, sf_dir), labels=False), 3)
 
 
+@query(tree() + """, chain AS (SELECT doc_id, child AS node, child_depth // 2 AS depth, child AS x FROM ed UNION ALL SELECT a.doc_id, a.child, a.child_depth // 2, a.parent FROM anc a WHERE a.parent <> 1)
+SELECT c.doc_id, CAST(c.node AS INTEGER) AS node, CAST(c.depth AS INTEGER) AS depth, arg_max(e.parent, e.parent_depth) AS parent, arg_max(e.child, e.parent_depth) AS child, CAST(CASE WHEN max(e.parent_depth) = c.depth THEN 0 ELSE -1 END AS INTEGER) AS exact
+FROM chain c JOIN ed e ON e.doc_id = c.doc_id AND e.child = c.x WHERE e.parent_depth <= c.depth GROUP BY c.doc_id, c.node, c.depth""")
+def go_up_each(spark, sf_dir):
+    """The climb from every node to half its own depth, by jump pointers."""
+    e = trees.edges(items(spark, sf_dir), labels=False)
+    asks = e.select("doc_id", F.col("child").alias("node"), F.floor(F.col("child_depth") / 2).cast("int").alias("depth"))
+    return navigate.go_up_each(e, asks).select("doc_id", "node", "depth", "parent", "child", "exact")
+
+
+@query(tree() + """, asks AS (SELECT doc_id, child AS node, (parent_depth + child_depth) // 2 AS d, path FROM ed WHERE child_depth > parent_depth + 1)
+SELECT a.doc_id, a.node, CAST(a.d AS INTEGER) AS depth, e.parent, e.child, CAST(CASE WHEN e.parent_depth = a.d - 1 THEN 0 ELSE -1 END AS INTEGER) AS exact
+FROM asks a JOIN ed e ON e.doc_id = a.doc_id AND e.parent_depth <= a.d - 1 AND e.child_depth > a.d - 1 AND starts_with(substr(a.path, 2), e.path)""")
+def place_links(spark, sf_dir):
+    """The suffix link of the middle of every edge."""
+    e = trees.edges(items(spark, sf_dir), labels=False)
+    middle = F.floor((F.col("parent_depth") + F.col("child_depth")) / 2).cast("int")
+    asks = e.where("child_depth > parent_depth + 1").select("doc_id", F.col("child").alias("node"), middle.alias("at"))
+    return navigate.place_links(e, asks).select("doc_id", "node", F.col("at").alias("depth"), "parent", "child", "exact")
+
+
+DOLLARS = "SELECT p_partkey AS doc_id, replace(p_name, ' ', '$') AS s FROM part"
+
+
+@query(tree(DOLLARS) + """SELECT nd.doc_id, nd.node_id AS parent, x.letter, ed.child, ed.child_depth FROM nd CROSS JOIN (SELECT unnest(['a', '$']) AS letter) x
+LEFT JOIN ed ON ed.doc_id = nd.doc_id AND ed.parent = nd.node_id AND substr(ed.path, ed.parent_depth + 1, 1) = x.letter""")
+def child_by_dollar(spark, sf_dir):
+    """Children by letter where the texts have "$" as a letter."""
+    texts = names(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" "), F.lit("$")))
+    probes = trees.nodes(texts).select("doc_id", F.col("node_id").alias("parent"), F.explode(F.array(F.lit("a"), F.lit("$"))).alias("letter"))
+    return navigate.child_by_letter(trees.edges(texts), probes).select("doc_id", "parent", "letter", "child", "child_depth")
+
+
+# ---- patterns ------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), g AS (SELECT item_id * 100000 + k AS pattern_id, array_to_string(w[k + 1:k + 5], ' ') AS p FROM (SELECT *, unnest(range(0, len(w) - 4)) AS k FROM w))
+SELECT doc_id, pattern_id, CAST(len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(p)) = p)) AS BIGINT) AS n_occurrences, CAST(instr(text, p) AS INTEGER) AS leftmost
+FROM documents JOIN g ON contains(text, p) WHERE p <> ''""")
+def pattern_occurrences(spark, sf_dir):
+    """Every five words of ``benchmark`` in every document: count and first place."""
+    w = items(spark, sf_dir).select("doc_id", F.split("text", " ").alias("w"))
+    at = w.where(F.size("w") >= 5).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 5)).alias("k"))
+    grams = at.select((F.col("doc_id") * 100000 + F.col("k")).alias("pattern_id"), F.array_join(F.slice("w", F.col("k") + 1, 5), " ").alias("pattern"))
+    return search.occurrences(docs(spark, sf_dir), grams).select("doc_id", "pattern_id", "n_occurrences", "leftmost")
+
+
+WALKS = ["the quick", "ation of", "z", "", "$5", "Überall", "and then the end of it", ". "]
+
+
+@query(f"""WITH p AS (SELECT unnest({WALKS!r}) AS p, unnest(range({len(WALKS)})) AS pattern_id) SELECT doc_id, pattern_id,
+CAST(coalesce(list_max(list_filter(range(1, length(p) + 1), lambda k: contains(text, substr(p, 1, k)))), 0) AS INTEGER) AS matched FROM documents, p WHERE text IS NOT NULL AND p <> ''""")
+def pattern_walks(spark, sf_dir):
+    """How far each of some patterns goes down every document's tree."""
+    patterns = spark.createDataFrame(list(enumerate(WALKS)), "pattern_id long, pattern string")
+    return search.walks(docs(spark, sf_dir), patterns).select("doc_id", "pattern_id", "matched")
+
+
 @query(tree() + "SELECT doc_id, parent, CAST(row_number() OVER w AS INTEGER) AS nth, substr(label, 1, 1) AS letter, child < 0 AS is_leaf, lead(child) OVER w IS NULL AS is_last FROM ed WINDOW w AS (PARTITION BY doc_id, parent ORDER BY ord)")
 def node_groups(spark, sf_dir):
     return navigate.node_groups(trees.edges(items(spark, sf_dir)))
@@ -298,6 +368,12 @@ def documents_prefix_partitions(spark, sf_dir):
     return partitions.partitions(docs(spark, sf_dir), 2).drop("lcp_size")
 
 
+@query()
+def documents_partition_lcp(spark, sf_dir):
+    """The same with the common length of each partition, which SQL has only from whole suffixes."""
+    return partitions.partitions(docs(spark, sf_dir), 2)
+
+
 @query(f"SELECT doc_id, min(text_offset) AS least_offset, max(idx) + 1 AS n_partitions FROM ({partition_sql(2)}) GROUP BY doc_id")
 def partition_min_offset(spark, sf_dir):
     return partitions.partitions(items(spark, sf_dir), 2).groupBy("doc_id").agg(F.min("text_offset").alias("least_offset"), (F.max("idx") + 1).alias("n_partitions"))
