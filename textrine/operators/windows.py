@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 
 from textrine.operators.trees import per_batch
 from textrine.plans.kernel import SuffixTrees
-
-#: Windows of one text that the kernel indexes at once.
-SLIDES = 20_000
-
+from textrine.plans.sweep import STARTS, of_long_text, slides, swept
 
 def snapshots(texts: DataFrame, block: int, active: int) -> DataFrame:
     """Windows at block boundaries: full active part, moved by a block, last one at the end.
@@ -51,15 +48,6 @@ def implicit(t: SuffixTrees):
         up = further
 
 
-def window_counts(windows: list[str]):
-    """Branching nodes, leaves and edges of each window's tree."""
-    t = SuffixTrees(windows)
-    kept, _, leaf = implicit(t)
-    bn = np.bincount(t.node_doc, kept, len(windows)).astype(np.int64)
-    leaves = np.bincount(t.sa.doc[t.sa.order], leaf, len(windows)).astype(np.int64)
-    return bn, leaves, bn - 1 + leaves
-
-
 def window_edges(snaps: DataFrame) -> DataFrame:
     """Edges of each snapshot's tree by path: parent depth, child depth, label, leaf start.
 
@@ -93,24 +81,49 @@ def window_edges(snaps: DataFrame) -> DataFrame:
     return snaps.select("doc_id", "window_no", "win_begin", "buffer").mapInArrow(run, "doc_id long, window_no int, path string, parent_depth int, child_depth int, label string, leaf_start int")
 
 
+def counted(count, rows: list[str], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``count`` (of ``plans.sweep``) of each text, long ones by parts."""
+    short = [d for d, t in enumerate(rows) if len(t) <= STARTS]
+    found = dict(zip(short, count([rows[d] for d in short], size))) if short else {}
+    return [found[d] if d in found else of_long_text(count, t, size) for d, t in enumerate(rows)]
+
+
+def window_slides(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id, slide, shortened_to, merged_depth: what each slide takes from the window's tree, before the next letter comes.
+
+    The slide from the window at ``slide`` (from 1) takes the leaf of that start. If the
+    window's longest repeated suffix has no other occurrence left, the leaf is shortened
+    instead and becomes that of ``shortened_to``; else a node that is left with one child
+    is merged, which has ``merged_depth``. Null where there is none.
+    """
+
+    def make(rows):
+        found = counted(slides, rows, size)
+        sizes = [len(x) for x, _ in found]
+        leaf, depth = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        import pyarrow as pa
+
+        doc = np.repeat(np.arange(len(rows)), sizes)
+        slide = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        nullable = lambda x, y: pa.array(x.astype(np.int64), mask=y < 0)
+        return {"doc": doc, "slide": slide, "shortened_to": nullable(leaf + 1, leaf), "merged_depth": nullable(depth, depth)}
+
+    return per_batch(texts.where(F.length("text") > 0), make, "doc_id long, slide long, shortened_to long, merged_depth long")
+
+
 def window_stats(texts: DataFrame, size: int) -> DataFrame:
-    """Least, mean and greatest node and edge counts over all windows of a text, with first positions."""
+    """Least, mean and greatest node and edge counts over all windows of a text, with first positions.
+
+    All slides are counted by one sweep over the text's tree (``plans.sweep``): no window
+    has a tree of its own, and memory does not depend on the window's size.
+    """
 
     def make(rows):
         out = {k: [] for k in ("doc", "n", "observations", "min_bn", "min_bn_at", "avg_bn", "max_bn", "max_bn_at", "min_edges", "min_edges_at", "avg_edges", "max_edges", "max_edges_at")}
-        todo = [(d, t, b) for d, t in enumerate(rows) for b in range(max(1, len(t) - size + 1))]
-        bn, edges = [], []
-        for lo in range(0, len(todo), SLIDES):
-            b, _, e = window_counts([t[s : s + size] for _, t, s in todo[lo : lo + SLIDES]])
-            bn.append(b), edges.append(e)
-        bn, edges = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (bn, edges))
-        at = 0
-        for d, t in enumerate(rows):
-            k = max(1, len(t) - size + 1)
-            row = [d, len(t), k]
-            for x in (bn[at : at + k], edges[at : at + k]):
-                row += [int(x.min()), int(x.argmin()) + 1, float(x.sum()) / k, int(x.max()), int(x.argmax()) + 1]
-            at += k
+        for d, (t, (bn, leaves)) in enumerate(zip(rows, counted(swept, rows, size))):
+            row = [d, len(t), len(bn)]
+            for x in (bn, bn - 1 + leaves):
+                row += [int(x.min()), int(x.argmin()) + 1, float(x.sum()) / len(x), int(x.max()), int(x.argmax()) + 1]
             for name, value in zip(out, row):
                 out[name].append(value)
         out["doc"] = np.array(out["doc"], np.int64)

@@ -638,6 +638,48 @@ def window_stats(spark, sf_dir):
     return windows.window_stats(items(spark, sf_dir), SIZE)
 
 
+SWEPT = f"""WITH t AS (SELECT doc_id, text, length(text) AS n, least({SIZE}, length(text)) AS w FROM documents WHERE length(text) > 0),
+k AS (SELECT doc_id, n, w, a, substr(text, a + 1, 200 + {SIZE}) AS chunk FROM (SELECT *, unnest(range(0, n, 200)) AS a FROM t)),
+o AS (SELECT doc_id, n, w, a + j AS o, substr(chunk, j + 1, {SIZE}) AS x FROM (SELECT *, unnest(range(0, least(200, n - a))) AS j FROM k)),
+oc AS (SELECT doc_id, n, w, o, d, left(x, d) AS s, substr(x, d + 1, 1) AS c FROM (SELECT *, unnest(range(1, {SIZE - 1})) AS d FROM o) WHERE o + d < n),
+pr AS (SELECT *, lag(o) OVER u AS p, lag(c) OVER u AS pc FROM oc WINDOW u AS (PARTITION BY doc_id, s ORDER BY o)),
+iv AS (SELECT doc_id, s, o, greatest(o + d - w + 1, 0) AS l, least(p, n - w) AS r FROM pr WHERE pc <> c AND greatest(o + d - w + 1, 0) <= least(p, n - w)),
+cl AS (SELECT doc_id, greatest(l, coalesce(lag(r) OVER (PARTITION BY doc_id, s ORDER BY o) + 1, 0)) AS l, r FROM iv),
+ch AS (SELECT doc_id, b, sum(x) AS x FROM (SELECT doc_id, l AS b, 1 AS x FROM cl WHERE l <= r UNION ALL SELECT doc_id, r + 1, -1 FROM cl WHERE l <= r) GROUP BY ALL),
+wi AS (SELECT doc_id, n, w, o AS b, x FROM o WHERE o <= n - w),
+st AS (SELECT wi.doc_id, wi.n, wi.b + 1 AS b, 1 + sum(coalesce(ch.x, 0)) OVER (PARTITION BY wi.doc_id ORDER BY wi.b) AS bn,
+ wi.w - coalesce(list_max(list_filter(range(1, wi.w), lambda k: contains(left(wi.x, wi.w - 1), right(wi.x, k)))), 0) AS leaves FROM wi LEFT JOIN ch ON ch.doc_id = wi.doc_id AND ch.b = wi.b),
+"""
+
+
+@query(SWEPT + WINDOW_STATS[WINDOW_STATS.index("ws AS") :] + "SELECT * FROM ws")
+def documents_window_stats(spark, sf_dir):
+    return windows.window_stats(docs(spark, sf_dir), SIZE)
+
+
+@query()
+def documents_window_stats_1000(spark, sf_dir):
+    """All windows of 1,000 characters of every document."""
+    return windows.window_stats(docs(spark, sf_dir), 1000)
+
+
+@query(f"""WITH t AS (SELECT item_id AS doc_id, text AS s FROM benchmark WHERE length(text) > {SIZE}), wi AS (SELECT doc_id, b, substr(s, b, {SIZE}) AS x, substr(s, b + 1, {SIZE - 1}) AS y FROM (SELECT *, unnest(range(1, length(s) - {SIZE} + 1)) AS b FROM t)),
+sub AS (SELECT doc_id, b, side, substr(z, i, l) AS v, CASE WHEN i + l <= length(z) THEN substr(z, i + l, 1) END AS nc FROM (SELECT *, unnest(range(1, length(z) + 2 - i)) AS l FROM (SELECT *, unnest(range(1, length(z) + 1)) AS i FROM (SELECT doc_id, b, 0 AS side, x AS z FROM wi UNION ALL SELECT doc_id, b, 1, y FROM wi)))),
+nd AS (SELECT doc_id, b, side, v FROM sub GROUP BY ALL HAVING count(DISTINCT nc) >= 2),
+lost AS (SELECT doc_id, b, max(length(v)) AS depth FROM nd a WHERE side = 0 AND NOT EXISTS (SELECT 1 FROM nd c WHERE c.doc_id = a.doc_id AND c.b = a.b AND c.side = 1 AND c.v = a.v) GROUP BY ALL),
+rp AS (SELECT doc_id, b, {SIZE} - coalesce(list_max(list_filter(range(1, {SIZE}), lambda k: contains(left(x, {SIZE - 1}), right(x, k)))), 0) AS s0, {SIZE} - coalesce(list_max(list_filter(range(1, {SIZE - 1}), lambda k: contains(left(y, {SIZE - 2}), right(y, k)))), 0) AS s1 FROM wi)
+SELECT rp.doc_id, rp.b AS slide, CASE WHEN s0 <> s1 THEN rp.b + s0 END AS shortened_to, lost.depth AS merged_depth FROM rp LEFT JOIN lost ON lost.doc_id = rp.doc_id AND lost.b = rp.b""")
+def window_slides(spark, sf_dir):
+    """What each slide of each text's window takes away."""
+    return windows.window_slides(items(spark, sf_dir), SIZE)
+
+
+@query()
+def documents_window_slides(spark, sf_dir):
+    """The same for windows of 1,000 characters of every document."""
+    return windows.window_slides(docs(spark, sf_dir), 1000)
+
+
 def window_memory_sql(layout: str) -> str:
     leaf, edge, branch = memory.WINDOW_RECORDS[layout]
     used = f"(least(n, {SIZE}) * {leaf} + floor(avg_edges + 0.5) * {edge} + floor(avg_bn + 0.5) * {branch})"
