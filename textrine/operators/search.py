@@ -41,7 +41,7 @@ class Patterns:
         chars, bounds = code_points(patterns)
         return cls(ids, chars, bounds[:-1], np.diff(bounds) - 1)
 
-    def pairs(self, sa: SuffixArrays) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, chars: np.ndarray, doc: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, pattern) for each text that has a pattern's first HEAD characters, and few by chance."""
         texts, patterns = [], []
         width = np.minimum(self.size, HEAD)
@@ -51,11 +51,11 @@ class Patterns:
             order = np.argsort(heads, kind="stable")
             some, heads = some[order], heads[order]
             lone, first, count = np.unique(heads, return_index=True, return_counts=True)
-            own = window_hashes(sa.chars, w)
+            own = window_hashes(chars, w)
             at = np.searchsorted(lone, own)
             at[at == len(lone)] = 0
-            hit = np.flatnonzero((lone[at] == own) & (np.arange(len(own)) + w < sa.end))
-            met = np.unique(sa.doc[hit] * len(lone) + at[hit])
+            hit = np.flatnonzero((lone[at] == own) & (np.arange(len(own)) + w < end))
+            met = np.unique(doc[hit] * len(lone) + at[hit])
             doc, head = met // len(lone), met % len(lone)
             each = count[head]
             texts.append(np.repeat(doc, each))
@@ -127,14 +127,17 @@ def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def make(p: Patterns):
         def search(rows):
-            sa = SuffixArrays(rows)
-            text, which = p.pairs(sa)
+            chars, bounds = code_points(rows)
+            doc = np.repeat(np.arange(len(rows)), np.diff(bounds))
+            text, which = p.pairs(chars, doc, bounds[1:][doc])
+            some, text = np.unique(text, return_inverse=True)
+            sa = SuffixArrays([rows[d] for d in some])  # texts without any pattern's first part are not sorted
             lo = bound(sa, text, p, which, False)
             # only those that are there have a second bound to look for
             last = np.minimum(lo, sa.bounds[text + 1] - 1)
             there = (lo < sa.bounds[text + 1]) & (matched(sa, sa.order[last], p, which)[1] == 0)
             text, which, lo = text[there], which[there], lo[there]
-            return {"doc": text, "pattern_id": p.ids[which], **loci(sa, text, lo, bound(sa, text, p, which, True))}
+            return {"doc": some[text], "pattern_id": p.ids[which], **loci(sa, text, lo, bound(sa, text, p, which, True))}
 
         return search
 

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrine.operators.trees import per_batch
-from textrine.plans.kernel import SuffixTrees
+from textrine.plans.kernel import SuffixTrees, slices
 from textrine.plans.sweep import STARTS, of_long_text, slides, swept
+from textrine.sources.blocks import cut
 
 def snapshots(texts: DataFrame, block: int, active: int) -> DataFrame:
     """Windows at block boundaries: full active part, moved by a block, last one at the end.
@@ -23,10 +24,13 @@ def snapshots(texts: DataFrame, block: int, active: int) -> DataFrame:
     """
     size, n = block * active, F.length("text")
     moves = F.greatest(F.lit(0), F.ceil((n - size) / block)).cast("int")
-    rows = texts.where(n > 0).select("doc_id", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), moves)).alias("window_no"))
+    # blocks are cut once; a window is ``active`` of them end to end, so that time and rows grow with the windows alone
+    pieces = texts.where(n > 0).select("doc_id", n.alias("n"), moves.alias("moves"), cut(F.col("text"), block).alias("pieces"))
+    windows = F.expr(f"transform(sequence(0, moves), k -> struct(k AS window_no, array_join(slice(pieces, k + 1, {active}), '') AS buffer))")
+    rows = pieces.select("doc_id", "n", F.inline(windows))
     begin = F.col("window_no") * block + 1
     end = F.least(begin + size - 1, F.col("n"))
-    return rows.select("doc_id", "window_no", begin.alias("win_begin"), end.alias("win_end"), (end - begin + 1).alias("win_len"), (F.col("n") >= size).alias("is_full"), F.substring("text", begin, end - begin + 1).alias("buffer"))
+    return rows.select("doc_id", "window_no", begin.alias("win_begin"), end.alias("win_end"), (end - begin + 1).alias("win_len"), (F.col("n") >= size).alias("is_full"), "buffer")
 
 
 def implicit(t: SuffixTrees):
@@ -57,9 +61,9 @@ def window_edges(snaps: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, no, begin, rows = (c.to_pylist() for c in batch.columns)
-            for lo in range(0, len(rows), 2_000):
-                some = rows[lo : lo + 2_000]
+            ids, (no, begin, rows) = batch.column(0), (c.to_pylist() for c in batch.columns[1:])
+            for lo, hi in slices([len(x) + 1 for x in rows]):
+                some = rows[lo:hi]
                 t = SuffixTrees(some)
                 sa = t.sa
                 kept, up, leaf = implicit(t)
@@ -72,9 +76,9 @@ def window_edges(snaps: DataFrame) -> DataFrame:
                 is_leaf = np.arange(len(doc)) >= len(inner)
                 label = [some[d][s - 1 + a : s - 1 + b] for d, s, a, b in zip(doc.tolist(), start.tolist(), top.tolist(), depth.tolist())]
                 path = [some[d][s - 1 : s - 1 + b] for d, s, b in zip(doc.tolist(), start.tolist(), depth.tolist())]
-                first = np.array(begin[lo : lo + 2_000])[doc]
+                first = np.array(begin[lo:hi])[doc]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.array(ids[lo : lo + 2_000])[doc], pa.int64()), pa.array(np.array(no[lo : lo + 2_000])[doc], pa.int32()), pa.array(path, pa.string()),
+                    ids[lo:hi].take(pa.array(doc)), pa.array(np.array(no[lo:hi])[doc], pa.int32()), pa.array(path, pa.string()),
                     pa.array(top, pa.int32()), pa.array(depth, pa.int32()), pa.array(label, pa.string()), pa.array(np.where(is_leaf, first + start - 1, 0), pa.int32()),
                 ], ["doc_id", "window_no", "path", "parent_depth", "child_depth", "label", "leaf_start"])
 

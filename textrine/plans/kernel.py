@@ -37,7 +37,7 @@ def slices(sizes, most: int = PART):
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters with a terminator after each text, and the texts' bounds."""
     parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in texts]
-    bounds = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
+    bounds = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)])
     out = np.full(bounds[-1], END, np.int64)
     for p, b in zip(parts, bounds):
         out[b : b + len(p)] = p

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a block, blocks of the active part, edge label maintenance.
@@ -59,12 +59,12 @@ def resolve(specs: DataFrame) -> DataFrame:
     )
 
 
+def cut(text: Column, size: int) -> Column:
+    """A text's pieces of ``size`` characters (the last may be shorter), in one walk along it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def blocks(texts: DataFrame, block: int) -> DataFrame:
     """Each text cut into blocks: block_no from 0, chunk, whether it is partial."""
-    n = F.length("text")
-    return (
-        texts.where(n > 0)
-        .select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).alias("block_no"))
-        .select("doc_id", "block_no", F.substring("text", F.col("block_no") * block + 1, F.lit(block)).alias("chunk"))
-        .withColumn("is_partial", F.length("chunk") < block)
-    )
+    rows = texts.where(F.length("text") > 0).select("doc_id", F.posexplode(cut(F.col("text"), block)).alias("block_no", "chunk"))
+    return rows.withColumn("is_partial", F.length("chunk") < block)
