@@ -122,41 +122,65 @@ def test_forest_on_labelled_rows(spark):
 
 
 def test_isolation_forest_equals_recursion():
-    """Paths by a plain recursion that draws the same cuts; values beyond the sample are the rarest."""
+    """Paths by a plain recursion that draws the same cuts; rows beyond the sample in one statistic alone are the rarest."""
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(size=400), [9, -8], np.zeros(30)])
-    forest = quality_rules.IsolationForest(x, trees=7, subsample=100, seed=2)
-    asked = np.concatenate([x, [-50, 50, 3.3, *forest.cuts[:5]]])
+    x = rng.normal(size=(400, len(quality_rules.RATES)))
+    x[:, 3] = 0  # a statistic that all ordinary rows share
+    forest = quality_rules.IsolationForest(x, trees=9, subsample=100, seed=2)
+    odd = np.repeat(x[:1], 3, 0)
+    odd[0, 3], odd[1, 0], odd[2, 9] = 2.0, 30, -30
+    asked = np.concatenate([x, odd])
     rng = np.random.default_rng(2)
     total = np.zeros(len(asked))
-    for _ in range(7):
-        part = np.sort(rng.choice(x, 100, replace=False))
+    for _ in range(9):
+        part = x[rng.choice(len(x), 100, replace=False)]
 
         def walk(some, low, high, depth, at):
             if depth == 14 or len(some) < 2:  # 2 * ceil(log2(100))
                 n = len(some)
                 total[at] += depth + (0 if n < 2 else 1 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n)
                 return
-            cut = rng.uniform(low, high)
-            walk(some[some < cut], low, cut, depth + 1, at[asked[at] < cut])
-            walk(some[some >= cut], cut, high, depth + 1, at[asked[at] >= cut])
-
-        room = part[-1] - part[0]
-        walk(part, part[0] - room, part[-1] + room, 0, np.arange(len(asked)))
+            k = rng.integers(10)
+            cut = rng.uniform(low[k], high[k])
+            end = [cut if j == k else v for j, v in enumerate(high)]
+            begin = [cut if j == k else v for j, v in enumerate(low)]
+            walk(some[some[:, k] < cut], low, end, depth + 1, at[asked[at, k] < cut])
+            walk(some[some[:, k] >= cut], begin, high, depth + 1, at[asked[at, k] >= cut])
+
+        room = [3 * max(a, b) for a, b in zip(part.max(0) - part.min(0), quality_rules.RATES.values())]
+        walk(part, list(part.min(0) - room), list(part.max(0) + room), 0, np.arange(len(asked)))
     norm = 2 * (np.log(99) + np.euler_gamma) - 2 * 99 / 100
     got = forest.score(asked)
-    assert np.allclose(got, 2.0 ** (-total / 7 / norm))
-    assert min(got[432:434]) > max(got[:432]) and got[:400].mean() < 0.5 < got[400:402].min()
+    assert np.allclose(got, 2.0 ** (-total / 9 / norm))
+    many = quality_rules.IsolationForest(x, trees=200, seed=3).score(asked)
+    assert many[400:].min() > many[:400].max()
+
+
+def test_threshold_holds_out():
+    """On rows that neither the forest nor its threshold has seen, at most the promised share of ordinary ones goes."""
+    rng = np.random.default_rng(4)
+    bins = lambda x: np.bincount((x * quality_rules.BINS).astype(int), minlength=quality_rules.BINS + 1)
+    lost = found = 0
+    for _ in range(20):
+        good, bad = rng.beta(4, 20, 3000), rng.beta(30, 10, 200)
+        bound = quality_rules.threshold(bins(good), bins(bad), bins(good))
+        lost += (rng.beta(4, 20, 3000) > bound).mean() / 20
+        found += (rng.beta(30, 10, 200) > bound).mean() / 20
+    assert lost <= quality_rules.CLEAN_LOSS and found >= 0.98
+    flat = bins(rng.random(5000))
+    assert 0.99 < quality_rules.threshold(flat, flat * 0, flat) < 1  # no bad rows
+    assert quality_rules.threshold(flat, bins(rng.random(300) / 2), flat) == 2.0  # of no use
+    assert quality_rules.threshold(flat * 0, flat, flat) == 2.0
 
 
 def test_walls_that_no_label_shows(spark):
-    """Each forest judges its own rate: texts odd in one statistic only are rejected, though no labelled row is."""
+    """Texts that are odd in one statistic only are rejected, though no labelled row is."""
     r = np.random.default_rng(1)
     word = lambda: "".join(r.choice(list("abcdefghij"), r.integers(3, 9)))
     text = lambda: "\n".join(" ".join([word() for _ in range(r.integers(8, 13))] + ["7", "A!"] * (r.random() < 0.2)) for _ in range(8))
     rows = [(i, text()) for i in range(300)]
     odd = {1000: " ".join(str(r.integers(10**9)) for _ in range(60)), 1001: " ".join(word() * 9 for _ in range(60)), 1002: " ".join(word() + "!" for _ in range(60)), 1003: " ".join(word().upper() for _ in range(60))}
-    docs = spark.createDataFrame([(*x, 1) for x in [*rows, *odd.items()]], "doc_id long, text string, scores int")
+    docs = spark.createDataFrame([(*x, 1) for x in [*rows, *odd.items()]], "doc_id long, text string, anomaly int")
     labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(5, 1)] * 50, "doc_id long, quality int")
     kept = {x.doc_id for x in quality_rules.filter_documents(docs, labels).collect()}
     assert kept == set(range(300))

@@ -1,24 +1,27 @@
-"""Quality rules with isolation forests over rule statistics.
+"""Quality rules with an isolation forest over rule statistics.
 
 Every document gets rule statistics of its whole text. Two base rules reject
-outright; the rest is judged by isolation forests, one for each of the rates in
-``RATES``: a tree cuts at random places until a value is alone, so a short
-expected path marks a rare value. Cuts are drawn from a range that reaches
-beyond the sample, so that values outside it are rarer than its ends. One forest
-over all rates together would drown a fault in one rate among the others.
-
-The forests are fitted on at most ``FIT_ROWS`` labelled rows; each has a
-threshold of its own, calibrated on the scores of *all* labelled rows: of those
-labelled good that pass the base rules, a forest may reject a share of
-CLEAN_LOSS / len(RATES), so that all together reject CLEAN_LOSS at most. A
-forest that finds a smaller share of the rows labelled bad than of the good
-ones is not asked.
+outright; the rest is judged by one isolation forest over all RATES. Each tree is
+grown from some ordinary rows (labelled good): a node draws a statistic and a place
+to cut it at random, until a row is alone, so that a short expected path marks a
+rare row. Cuts are drawn from a range that reaches BEYOND the rows' own on both
+sides; a row outside it in any statistic is then alone after few cuts, however
+ordinary its others are, while rows inside keep long paths.
+
+The forest is grown from at most FIT_ROWS rows labelled good of one half of the ids
+(by a hash). Its threshold comes from the other half, from the scores of all rows
+labelled good that pass the base rules: a row that is as ordinary as these is
+rejected with an expected probability of CLEAN_LOSS at most. With fewer than
+2 / CLEAN_LOSS of them this share is extrapolated from the mean excess of their
+highest scores (an exponential tail). If nearly all rows labelled bad score higher
+still, the threshold lies half-way between. A forest that finds a smaller share of
+the rows labelled bad than of the good ones is not asked.
 
 Defined results: null and empty texts have zero counts and fail the base rules;
-repeated rows get equal verdicts; ties at a threshold are kept; without labelled
-rows of good quality the forests reject nothing; where labelled rows share an id
-one of them is fitted on; extra columns pass through ``filter_documents``
-untouched; an empty table gives an empty table.
+repeated rows get equal verdicts; ties at a threshold are kept; with fewer than
+FEWEST rows of good quality in either half the forest rejects nothing; where
+labelled rows share an id one of them counts; extra columns pass through
+``filter_documents`` untouched; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 
 from textrine.llm.common import Scratch, WordHashes, bitmap_of, in_bitmap, shingle_hashes
 
-#: Labelled rows that the forests are fitted on, at most (chosen by a hash of the id).
-FIT_ROWS = 20_000
-TREES, SUBSAMPLE, SEED = 80, 256, 11
-#: Share of rows labelled good that the calibrated thresholds may reject.
-CLEAN_LOSS = 0.001
-BINS = 1024
+#: Rows labelled good that the forest is grown from, at most (chosen by a hash of the id), and at least.
+FIT_ROWS, FEWEST = 20_000, 8
+TREES, SUBSAMPLE, SEED = 120, 256, 11
+#: How far cuts reach beyond the rows of a node's tree, in widths of their range.
+BEYOND = 3.0
+#: Share of ordinary rows that the threshold may reject, and of bad ones that may lie under a threshold half-way to them.
+CLEAN_LOSS, BAD_LOSS = 0.001, 0.01
+BINS = 1 << 14
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_chars_seen", "n_lines", "n_upper", "n_digits", "n_bangs", "n_distinct", "n_echoes"]
@@ -93,8 +98,8 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)).mapInArrow(count, SCHEMA)
 
 
-#: The statistics that forests judge.
-RATES = ["symbols", "upper", "digits", "bangs", "echoes", "dup_lines", "repeats", "word_length", "line_length", "variety"]
+#: The statistics that the forest judges, and the least width of each one's range: less is no difference.
+RATES = {"symbols": 0.05, "upper": 0.02, "digits": 0.05, "bangs": 0.05, "echoes": 0.05, "dup_lines": 0.1, "repeats": 0.05, "word_length": 1.0, "line_length": 1.0, "variety": 0.5}
 
 
 def rates(x: pd.DataFrame) -> np.ndarray:
@@ -118,99 +123,108 @@ def mean_path(n: np.ndarray) -> np.ndarray:
 
 
 class IsolationForest:
-    """Trees of random cuts of one statistic, each as its cuts in order and the path to the leaf between any two.
+    """Trees of random cuts over all statistics, as arrays of nodes: which statistic is cut where, the nodes below (-1 at leaves), and leaves' paths."""
 
-    Their mean is a step function of the value, which is kept as a table.
-    """
-
-    def __init__(self, values: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        n = min(subsample, len(values))
-        self.trees = [self.grow(np.sort(rng.choice(values, n, replace=False)), rng) for _ in range(trees)]
+        n = min(subsample, len(rows))
         self.norm = float(mean_path(np.array([max(2, n)]))[0])
-        self.cuts = np.unique(np.concatenate([cuts for cuts, _ in self.trees]))
-        below = np.concatenate([[-np.inf], self.cuts])
-        self.paths = np.mean([paths[np.searchsorted(cuts, below, "right")] for cuts, paths in self.trees], 0)
-
-    @staticmethod
-    def grow(values: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-        limit = 2 * int(np.ceil(np.log2(max(2, len(values)))))
-        room = float(values[-1] - values[0]) or 1.0
-        cuts, paths = [], []
-
-        def node(part, low, high, depth):
-            if depth >= limit or len(part) <= 1:
-                paths.append(depth + float(mean_path(np.array([len(part)]))[0]))
-                return
-            cut = float(rng.uniform(low, high))
-            k = int(np.searchsorted(part, cut))
-            node(part[:k], low, cut, depth + 1)
-            cuts.append(cut)
-            node(part[k:], cut, high, depth + 1)
-
-        node(values, values[0] - room, values[-1] + room, 0)
-        return np.array(cuts), np.array(paths)
-
-    def score(self, values: np.ndarray) -> np.ndarray:
-        """2 ** (-mean path / normaliser): near 1 is anomalous, under 0.5 ordinary."""
-        return np.exp2(-self.paths[np.searchsorted(self.cuts, values, "right")] / self.norm)
-
-
-class Forests:
-    """One forest for each statistic, and its threshold: higher scores are rejected."""
-
-    def __init__(self, rows: np.ndarray):
-        self.forests = [IsolationForest(column, seed=SEED + i) for i, column in enumerate(rows.T)]
-        self.bounds = np.full(len(self.forests), 2.0)
-
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        return np.column_stack([f.score(column) for f, column in zip(self.forests, rows.T)])
-
-    def rejects(self, scores: np.ndarray) -> np.ndarray:
-        return (scores > self.bounds).any(1)
+        self.limit = 2 * int(np.ceil(np.log2(max(2, n))))
+        self.bound = 2.0
+        nodes: list[list] = []
+        self.roots = []
+        for _ in range(trees):
+            some = rows[rng.choice(len(rows), n, replace=False)]
+            room = BEYOND * np.maximum(some.max(0) - some.min(0), list(RATES.values()))
+            self.roots.append(self.grow(nodes, some, some.min(0) - room, some.max(0) + room, 0, rng))
+        columns = list(zip(*nodes))
+        self.which, self.left, self.right = (np.array(c, np.int32) for c in columns[:3])
+        self.cuts, self.paths = np.array(columns[3], float), np.array(columns[4], float)
+
+    def grow(self, nodes, rows, low, high, depth, rng) -> int:
+        i = len(nodes)
+        if depth >= self.limit or len(rows) <= 1:
+            nodes.append([-1, -1, -1, 0.0, depth + float(mean_path(np.array([len(rows)]))[0])])
+            return i
+        k = int(rng.integers(rows.shape[1]))
+        cut = float(rng.uniform(low[k], high[k]))
+        nodes.append([k, -1, -1, cut, 0.0])
+        under, top, bottom = rows[:, k] < cut, high.copy(), low.copy()
+        top[k] = bottom[k] = cut
+        nodes[i][1] = self.grow(nodes, rows[under], low, top, depth + 1, rng)
+        nodes[i][2] = self.grow(nodes, rows[~under], bottom, high, depth + 1, rng)
+        return i
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        """2 ** (-mean path / normaliser): near 1 is anomalous, 0.5 and less ordinary."""
+        total = np.zeros(len(rows))
+        for root in self.roots:
+            at, todo = np.full(len(rows), root), np.arange(len(rows))
+            while len(todo := todo[self.which[at[todo]] >= 0]):
+                here = at[todo]
+                at[todo] = np.where(rows[todo, self.which[here]] < self.cuts[here], self.left[here], self.right[here])
+            total += self.paths[at]
+        return np.exp2(-total / len(self.roots) / self.norm)
 
 
 def base_failed() -> F.Column:
     return (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
 
 
-def with_scores(stats: DataFrame, forests: Forests | None) -> DataFrame:
-    """``stats`` with the forests' scores (none without forests)."""
-    if forests is None:
-        return stats.withColumn("scores", F.array().cast("array<double>"))
+def with_score(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
+    """``stats`` with the forest's score as ``anomaly`` (0 without a forest)."""
+    if forest is None:
+        return stats.withColumn("anomaly", F.lit(0.0))
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(list(forests.scores(rates(pd.concat(columns, axis=1, keys=COUNTS + MORE)))))
+        return pd.Series(forest.score(rates(pd.concat(columns, axis=1, keys=COUNTS + MORE))))
 
-    return stats.withColumn("scores", score(*(F.col(c) for c in COUNTS + MORE)))
+    return stats.withColumn("anomaly", score(*(F.col(c) for c in COUNTS + MORE)))
 
 
-def fit_forests(labelled: DataFrame) -> Forests | None:
-    """Forests from at most FIT_ROWS labelled rows, one for each id, chosen by a hash of the id.
+def fit_forest(good: DataFrame) -> IsolationForest | None:
+    """A forest from at most FIT_ROWS rows, one for each id, chosen by a hash of the id.
 
     A bound on the hash, from a count, leaves little more than FIT_ROWS rows before any are sent.
     """
-    one = labelled.groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *MORE)).alias("x")).select("doc_id", "x.*")
+    one = good.groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *MORE)).alias("x")).select("doc_id", "x.*")
     n = one.count()
     some = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, (1.1 * FIT_ROWS + 1000) / max(n, 1))) + 1)
     rows = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(*COUNTS, *MORE).toPandas()
-    return Forests(rates(rows)) if len(rows) >= 8 else None
-
-
-def calibrate(scored: DataFrame, forests: Forests) -> None:
-    """Each forest's threshold, from histograms of all labelled rows: BINS counts of each label, whatever their number."""
-    rows = scored.where("NOT base_failed AND quality IN (0, 1)").select("quality", F.posexplode("scores").alias("forest", "score"))
-    counted = rows.groupBy("quality", "forest", F.floor(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("n")).collect()
-    bins = np.zeros((2, len(forests.forests), BINS + 1))
+    return IsolationForest(rates(rows)) if len(rows) >= FEWEST else None
+
+
+def threshold(good: np.ndarray, bad: np.ndarray, grown: np.ndarray) -> float:
+    """The bound on scores, from counts of the bins of [0, 1]: of held-out good rows, of bad ones, of those that the forest is grown from."""
+    if good.sum() < FEWEST:
+        return 2.0
+    n = good.sum()
+    above = np.cumsum(good[::-1])[::-1]  # in this bin or a higher one
+    if n * CLEAN_LOSS >= 2:
+        first = int(np.argmax(np.append(above, 0) <= CLEAN_LOSS * (n + 1)))
+    else:  # too few for the share itself: as far beyond the highest twentieth as their mean excess tells
+        start = int(np.flatnonzero(above >= max(FEWEST, n // 20))[-1])
+        excess = np.arange(BINS + 1 - start) @ good[start:] / above[start]
+        first = min(BINS, start + 1 + int(excess * np.log(above[start] / (n * CLEAN_LOSS))))
+        if not bad.sum():  # nothing tells a labelled row from a bad one
+            first = max(first, int(np.flatnonzero(good + grown)[-1]) + 1)
+    if not bad.sum():
+        return first / BINS
+    low = int(np.argmax(np.cumsum(bad) > BAD_LOSS * bad.sum()))  # all but BAD_LOSS of the bad are in this bin or higher
+    if low > first:
+        return (first + low) / 2 / BINS
+    useful = bad[first:].sum() * n > good[first:].sum() * bad.sum()
+    return first / BINS if useful else 2.0
+
+
+def calibrate(scored: DataFrame, forest: IsolationForest) -> None:
+    """The forest's threshold, from histograms of all labelled rows: BINS counts for each ``part`` (0 bad, 1 good and held out, 2 good), whatever their number."""
+    counted = scored.groupBy("part", F.floor(F.col("anomaly") * BINS).alias("bin")).agg(F.count("*").alias("n")).collect()
+    bins = np.zeros((3, BINS + 1), np.int64)
     for r in counted:
-        bins[r.quality, r.forest, min(max(int(r.bin), 0), BINS)] = r.n
-    bad, good = np.cumsum(bins[:, :, ::-1], 2)[:, :, ::-1]  # rows in this bin or a higher one
-    for f in range(len(forests.forests)):
-        if good[f, 0]:
-            first = int(np.argmax(good[f] <= CLEAN_LOSS / len(RATES) * good[f, 0]))
-            if bad[f, 0] * good[f, first] <= bad[f, first] * good[f, 0] or not bad[f, 0]:
-                forests.bounds[f] = np.nextafter(first / BINS, 0)
+        bins[r.part, r.bin] = r.n
+    forest.bound = threshold(bins[1], bins[0], bins[2])
 
 
 def qualities(labels: DataFrame) -> DataFrame:
@@ -218,22 +232,22 @@ def qualities(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
 
 
-def fitted(stats: DataFrame, quality: DataFrame) -> Forests | None:
-    labelled = stats.join(quality, "doc_id")
-    forests = fit_forests(labelled.where("NOT base_failed"))
-    if forests:
-        calibrate(with_scores(labelled, forests), forests)
-    return forests
+def fitted(stats: DataFrame, quality: DataFrame) -> IsolationForest | None:
+    labelled = stats.join(quality, "doc_id").where("NOT base_failed AND quality IN (0, 1)")
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    forest = fit_forest(labelled.where((half == 0) & (F.col("quality") == 1)))
+    if forest:
+        calibrate(with_score(labelled, forest).withColumn("part", F.when(F.col("quality") == 0, 0).otherwise(2 - half)), forest)
+    return forest
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts, base_failed, kept and the highest anomaly score, for every document."""
+    """Counts, base_failed, kept and the anomaly score, for every document."""
     scratch = Scratch(docs.sparkSession, "rules")
     stats = scratch.keep(rule_statistics(docs), "stats").withColumn("base_failed", base_failed())
-    forests = fitted(stats, qualities(labels))
-    bounds = forests.bounds.tolist() if forests else []
-    high = F.exists(F.arrays_zip("scores", F.array(*map(F.lit, bounds)).cast("array<double>").alias("bounds")), lambda x: x["scores"] > x["bounds"])
-    return with_scores(stats, forests).select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~high).alias("kept"), F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("anomaly"))
+    forest = fitted(stats, qualities(labels))
+    bound = forest.bound if forest else 2.0
+    return with_score(stats, forest).select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("anomaly") <= bound)).alias("kept"), "anomaly")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -253,7 +267,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     some = docs.where("doc_id IS NOT NULL").where(wanted(F.xxhash64(F.col("doc_id").cast("long"))))
     stats = scratch.keep(rule_statistics(some), "stats").withColumn("base_failed", base_failed())
-    forests = fitted(stats, quality)
+    forest = fitted(stats, quality)
     shared.destroy()
     scratch.drop_all()
 
@@ -262,6 +276,6 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         cache = WordHashes()
         x = pd.DataFrame([rule_counts(t, cache) for t in texts], columns=COUNTS + MORE)
         failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
-        return ~failed & (~forests.rejects(forests.scores(rates(x))) if forests else True)
+        return ~failed & (forest.score(rates(x)) <= forest.bound if forest else True)
 
     return docs.where(keeps(F.coalesce(F.col("text"), F.lit(""))))
