@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import Scratch, WordHashes, bitmap_of, in_bitmap, shingle_hashes
+from textrine.llm.common import Scratch, WordHashes, bitmap_of, in_bitmap, shingle_hashes, text_slices
 
 #: Rows labelled good that the forest is grown from, at most (chosen by a hash of the id), and at least.
 FIT_ROWS, FEWEST = 20_000, 8
@@ -41,6 +41,8 @@ BEYOND = 3.0
 #: Share of ordinary rows that the threshold may reject, and of bad ones that may lie under a threshold half-way to them.
 CLEAN_LOSS, BAD_LOSS = 0.001, 0.01
 BINS = 1 << 14
+#: Bytes of text that a filtering task has as strings at once (and one text, if it is longer).
+SLICE = 4 << 20
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_chars_seen", "n_lines", "n_upper", "n_digits", "n_bangs", "n_distinct", "n_echoes"]
@@ -271,11 +273,15 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared.destroy()
     scratch.drop_all()
 
-    @F.pandas_udf("boolean")
-    def keeps(texts: pd.Series) -> pd.Series:
-        cache = WordHashes()
-        x = pd.DataFrame([rule_counts(t, cache) for t in texts], columns=COUNTS + MORE)
-        failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
-        return ~failed & (forest.score(rates(x)) <= forest.bound if forest else True)
+    @F.arrow_udf("boolean")
+    def keeps(texts):
+        import pyarrow as pa
+
+        cache, out = WordHashes(), []
+        for _, _, some in text_slices(texts, SLICE):
+            x = pd.DataFrame([rule_counts(t, cache) for t in some], columns=COUNTS + MORE)
+            failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
+            out.append((~failed & (forest.score(rates(x)) <= forest.bound if forest else True)).to_numpy())
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.where(keeps(F.coalesce(F.col("text"), F.lit(""))))
