@@ -24,7 +24,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 def window_hashes(chars: np.ndarray, width: int) -> np.ndarray:
     """A hash of the ``width`` characters from each place on (the last places' are of no use)."""
     out = np.zeros(len(chars), np.uint64)
-    for j in range(width):
+    for j in range(min(width, len(chars))):
         out *= BASE
         out[: len(chars) - j] += chars[j:].astype(np.uint64)
     return out
@@ -56,9 +56,9 @@ class Patterns:
             at[at == len(lone)] = 0
             hit = np.flatnonzero((lone[at] == own) & (np.arange(len(own)) + w < end))
             met = np.unique(doc[hit] * len(lone) + at[hit])
-            doc, head = met // len(lone), met % len(lone)
+            text, head = met // len(lone), met % len(lone)
             each = count[head]
-            texts.append(np.repeat(doc, each))
+            texts.append(np.repeat(text, each))
             patterns.append(some[np.repeat(first[head] - np.cumsum(each) + each, each) + np.arange(each.sum())])
         none = [np.zeros(0, np.int64)]
         return np.concatenate(texts or none), np.concatenate(patterns or none)
@@ -130,6 +130,8 @@ def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
             chars, bounds = code_points(rows)
             doc = np.repeat(np.arange(len(rows)), np.diff(bounds))
             text, which = p.pairs(chars, doc, bounds[1:][doc])
+            if not len(text):
+                return {"doc": text, "pattern_id": text, **dict.fromkeys((c.split()[0] for c in LOCUS.split(", ")), text)}
             some, text = np.unique(text, return_inverse=True)
             sa = SuffixArrays([rows[d] for d in some])  # texts without any pattern's first part are not sorted
             lo = bound(sa, text, p, which, False)
