@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from textrine.functions import numeric
 from textrine.operators import windows
 from textrine.sources import blocks, text
-from textrine.streaming.windows import advance, run_available
 
 
 def test_window_options():
@@ -53,29 +52,6 @@ def test_files(spark, tmp_path):
     assert text.read_texts(spark, str(tmp_path), "utf-16-le").first().text == "grüße"
 
 
-def test_advance_equals_snapshots(spark):
-    t = "the quick brown fox jumps over the lazy dog"
-    for cuts in ([5, 1, 30, 7], [43], [1] * 43, [0, 9, 0, 34]):
-        tail, consumed, got, at = "", 0, [], 0
-        for c in cuts:
-            tail, consumed, some = advance(tail, consumed, t[at : at + c], 4, 2)
-            got += some
-            at += c
-        assert got == [(k, 4 * k + 1, 4 * k + 8, t[4 * k : 4 * k + 8]) for k in range((len(t) - 8) // 4 + 1)]
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    texts = {1: "abcabxabcdabcabx", 2: "zzzz", 3: "mississippi river"}
-    rows = [(d, k, t[4 * k : 4 * k + 4]) for d, t in texts.items() for k in range((len(t) + 3) // 4)]
-    schema = "doc_id long, seq long, chunk string"
-    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r.doc_id, r.window_no, r.buffer) for r in run_available(spark, stream, 3, 2).collect()}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    want = {(r.doc_id, r.window_no, r.buffer) for r in windows.snapshots(df, 3, 2).collect() if r.win_len == 6}
-    assert got == want
-
-
 def test_offsets(spark):
     rows = spark.createDataFrame([(2, 6, k) for k in range(8)], "begin long, end long, offset long")
     valid = [r.offset for r in windows.offset_valid(rows, 8, 2, batch_update=False).where("is_valid").orderBy("offset").collect()]

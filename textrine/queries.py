@@ -710,14 +710,37 @@ def offset_valid(spark, sf_dir):
     return windows.offset_valid(rows, 16, 8, batch_update=True)
 
 
-@query("""WITH c AS (SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS s FROM conversations GROUP BY conv_id),
-w AS (SELECT doc_id, s, unnest(range(0, (length(s) - 200) // 100 + 1)) AS k FROM c WHERE length(s) >= 200)
-SELECT doc_id, CAST(k AS INTEGER) AS window_no, CAST(k * 100 + 1 AS BIGINT) AS win_begin, CAST(k * 100 + 200 AS BIGINT) AS win_end, substr(s, k * 100 + 1, 200) AS buffer FROM w""")
+def streamed(block: int, active: int) -> str:
+    """Windows (w) of the conversations, their turns end to end."""
+    size = block * active
+    return f"""WITH c AS (SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS s FROM conversations GROUP BY conv_id),
+w AS (SELECT *, k * {block} + 1 AS b, least(k * {block} + {size}, n) AS e, n >= {size} AS full_text FROM (SELECT doc_id, s, length(s) AS n, unnest(range(0, greatest(length(s) - {size} + {block - 1}, 0) // {block} + 1)) AS k FROM c WHERE s <> '')),
+v AS (SELECT doc_id, CAST(k AS INTEGER) AS window_no, CAST(b AS BIGINT) AS win_begin, CAST(e AS BIGINT) AS win_end, full_text AS is_full, substr(s, b, e - b + 1) AS buffer FROM w)
+"""
+
+
+@query(streamed(100, 2) + "SELECT * FROM v")
 def streaming_windows(spark, sf_dir):
-    """Full windows of each conversation, its turns arriving as a stream."""
+    """Windows of each conversation, its turns arriving as a stream, the last one from the state at its end."""
     return streams.run_available(spark, streams.conversation_chunks(spark, sf_dir), 100, 2)
 
 
+@query(streamed(BLOCK, ACTIVE) + """, sub AS (SELECT * EXCLUDE (buffer), substr(buffer, i, l) AS x, CASE WHEN i + l <= length(buffer) THEN substr(buffer, i + l, 1) END AS nc
+FROM (SELECT *, unnest(range(1, length(buffer) + 2 - i)) AS l FROM (SELECT *, unnest(range(1, length(buffer) + 1)) AS i FROM v))),
+g AS (SELECT doc_id, window_no, win_begin, win_end, is_full, x, count(*) AS c, count(DISTINCT nc) AS r, max(CASE WHEN nc IS NULL THEN 1 ELSE 0 END) AS ends FROM sub GROUP BY ALL),
+st AS (SELECT doc_id, window_no, win_begin, win_end, is_full, 1 + sum(CASE WHEN r >= 2 THEN 1 ELSE 0 END) AS bn, sum(CASE WHEN c = 1 AND ends = 1 THEN 1 ELSE 0 END) AS lv FROM g GROUP BY ALL)
+SELECT doc_id, window_no, win_begin, win_end, is_full, CAST(bn AS BIGINT) AS branching_nodes, CAST(lv AS BIGINT) AS leaves, CAST(bn - 1 + lv AS BIGINT) AS edges FROM st""")
+def streaming_window_trees(spark, sf_dir):
+    """Counts of the tree of each window (8 characters) of the stream of turns."""
+    return streams.run_available(spark, streams.conversation_chunks(spark, sf_dir), BLOCK, ACTIVE, trees=True)
+
+
+@query()
+def streaming_window_trees_1000(spark, sf_dir):
+    """The same with windows of 1,000 characters that move by 100, beyond SQL; tests hold it against trees of each window."""
+    return streams.run_available(spark, streams.conversation_chunks(spark, sf_dir), 100, 10, trees=True)
+
+
 @query("SELECT k AS layout, a AS algorithm, CAST(0 AS BIGINT) AS differing FROM (VALUES " + ", ".join(f"('{o.layout}{'+B' if o.backward else ''}', '{o.algorithm}')" for o in options.combinations()) + ") v(k, a)")
 def algorithm_invariance(spark, sf_dir):
     """Edges of the kernel that differ from those of each algorithm's own construction, for each valid layout.
