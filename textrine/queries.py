@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from textrine import options
 from textrine.functions import numeric
 from textrine.operators import large, memory, navigate, partitions, search, traverse, trees, windows
-from textrine.sources import blocks, text
+from textrine.sources import blocks, files, text
+from textrine.sources.scratch import Scratch
 from textrine.streaming import windows as streams
 
 QUERIES: dict = {}
@@ -710,6 +711,27 @@ def offset_valid(spark, sf_dir):
     return windows.offset_valid(rows, 16, 8, batch_update=True)
 
 
+ENCODINGS = ["UTF-8", "UTF-16LE", "UTF-32BE", "GB18030"]
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, '')) AS letter FROM documents WHERE text IS NOT NULL AND text <> ''),
+n AS (SELECT letter, count(*) AS n FROM (SELECT letter FROM l UNION ALL SELECT chr(10) FROM documents WHERE text IS NOT NULL) GROUP BY letter)
+SELECT e.encoding, n.letter, n.n, sum(n.n) OVER (PARTITION BY e.encoding)::BIGINT AS n_chars FROM n, (VALUES """ + ", ".join(f"('{e}')" for e in ENCODINGS) + ") e(encoding)")
+def encoded_files(spark, sf_dir):
+    """All documents written to files of several encodings and reread by byte ranges: how often each letter is there, and the characters that the numbered pieces end at."""
+    base, written = Scratch(spark, "encoded"), []
+    for name in ENCODINGS:
+        path = f"{base.root}/{name}"
+        files.write_texts(docs(spark, sf_dir), path, name)
+        written.append(files.file_pieces(spark, path, name).withColumn("encoding", F.lit(name)))
+    pieces = written[0]
+    for more in written[1:]:
+        pieces = pieces.unionByName(more)
+    letters = pieces.select("encoding", F.explode(F.split("piece", "", -1)).alias("letter")).where("letter <> ''").groupBy("encoding", "letter").agg(F.count("*").alias("n"))
+    ends = pieces.groupBy("encoding", "doc_id").agg(F.max(F.col("begin") + F.length("piece")).alias("n")).groupBy("encoding").agg(F.sum("n").alias("n_chars"))
+    return letters.join(F.broadcast(ends), "encoding")  # one row for each encoding
+
+
 def streamed(block: int, active: int) -> str:
     """Windows (w) of the conversations, their turns end to end."""
     size = block * active
