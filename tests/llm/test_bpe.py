@@ -1,4 +1,5 @@
 import hashlib
+import unicodedata
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -25,6 +26,18 @@ def test_equal_to_the_library(spark):
         assert row.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_later_letters_and_digits():
+    """Only characters on which two versions of Unicode disagree, or that are unassigned, can be split otherwise by the library."""
+    import regex
+
+    split = Tokenizer.from_file(PATH).pre_tokenizer.pre_tokenize_str
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    for kind, pattern, lead, listed in (("L", r"\p{L}", "a", bpe.LATER_LETTERS), ("N", r"\p{N}", "1", bpe.LATER_DIGITS)):
+        want = [c for c in regex.findall(pattern, every) if unicodedata.category(c)[0] != kind and len(split(lead + c)) > 1]
+        assert bpe.characters(listed) == "".join(want)
+        assert all(len(split(lead + c)) == 1 for c in regex.findall(pattern, every)[::97] if c not in want)
+
+
 def test_columns_and_round_trip(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     rows = bpe.decode_column(bpe.encode_column(df, PATH), PATH).collect()
