@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's result as Parquet in the shared scratch folder and rereads it as
-the next one's docs. All stages but the last return the columns of documents.
+the next one's docs, and removes the table before it. All stages but the last
+return the columns of documents.
 
 Defined results: as those of the operators. A document of which line dedup
 leaves nothing is dropped there (all its lines stand in earlier documents);
@@ -58,7 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(*before)
+        before = [docs]
     return docs
