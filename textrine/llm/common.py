@@ -188,6 +188,18 @@ def text_slices(column, most: int):
     pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """What this worker has freed goes back to the system, which allocators put off while a worker waits for its next batch or task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: A set of hashed numbers as one bit each: 16 MB, whatever the set's size.
 BITMAP_BITS = 27
 

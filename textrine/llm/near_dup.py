@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import Scratch, WordHashes, batch_shingles, bitmap_of, distinct_per_text, in_bitmap, mix64, text_slices
+from textrine.llm.common import Scratch, WordHashes, batch_shingles, bitmap_of, distinct_per_text, give_back, in_bitmap, mix64, text_slices
 
 WORDS, PERCENT = 5, 75
 CHUNKS, CHUNK, BITS = 10, 4, 14
@@ -116,6 +116,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 d1, d2 = (digest(values, offsets, k) for k in (1, 2))
                 sig = pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack(lanes).ravel()), LANES).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n), pa.array(d1), pa.array(d2), sig], ["doc_id", "th", "n", "d1", "d2", "sig"])
+                del texts, values, offsets, symbols, lanes, sig
+            del batch
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, d1 long, d2 long, sig array<long>")
 
@@ -179,6 +182,9 @@ def sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> Dat
                 for way, column in zip(ways, (0, 2)):
                     chosen = pa.array(way[a:b])
                     yield pa.RecordBatch.from_arrays([batch.column(column)[a:b], d1, sets], ["id", "d1", "set"]).filter(chosen)
+                del texts, values, offsets, sets
+            del batch
+            give_back()
 
     doc, other = F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
     texts = docs.where("doc_id IS NOT NULL").select(doc.alias("id"), F.xxhash64(doc).alias("hash"), other.alias("other"), F.xxhash64(other).alias("other_hash"), "text")

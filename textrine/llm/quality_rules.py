@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import Scratch, WordHashes, bitmap_of, in_bitmap, shingle_hashes, text_slices
+from textrine.llm.common import Scratch, WordHashes, bitmap_of, give_back, in_bitmap, shingle_hashes, text_slices
 
 #: Rows labelled good that the forest is grown from, at most (chosen by a hash of the id), and at least.
 FIT_ROWS, FEWEST = 20_000, 8
@@ -282,6 +282,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = pd.DataFrame([rule_counts(t, cache) for t in some], columns=COUNTS + MORE)
             failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
             out.append((~failed & (forest.score(rates(x)) <= forest.bound if forest else True)).to_numpy())
+        del cache
+        give_back()
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.where(keeps(F.coalesce(F.col("text"), F.lit(""))))
