@@ -77,3 +77,37 @@ def test_hot_keys_are_spread(spark, tmp_path):
     assert spread.where("source <> 'hot' AND placement_key <> source").count() == 0
     sharding.write_shards(df, "doc_id", str(tmp_path / "out"), sharding.shard_names(4), files_per_shard=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 400
+
+
+def test_spread_keeps_columns_of_any_name(spark):
+    rows = [("a", i, "x", 7, i, "old") for i in range(30)] + [(None, i, None, None, None, None) for i in range(30, 50)] + [("b", 99, "y", 1, 2, "old")]
+    df = spark.createDataFrame(rows, "key string, hot long, _parts string, parts long, `a.b` long, placement_key string")
+    out = sharding.spread(df, "key", 10, "hot")
+    assert out.columns == ["key", "hot", "_parts", "parts", "a.b", "placement_key"]
+    got = out.collect()
+    assert sorted((str(r.key), r.hot, r[4]) for r in got) == sorted((str(r[0]), r[1], r[4]) for r in rows)
+    made = {k: {r.placement_key for r in got if r.key == k} for k in ("a", None, "b")}
+    assert made["b"] == {"b"} and made["a"] <= {"a#0", "a#1", "a#2"} and made[None] <= {"#0", "#1"} and len(made["a"]) == 3
+    # the same row gets the same sub-key whatever the number of salts
+    assert {(r.hot, r.placement_key) for r in got} == {(r.hot, r.placement_key) for r in sharding.spread(df, "key", 10, "hot", salts=3).collect()}
+    assert sharding.spread(df.limit(0), "key", 10, "hot").count() == 0
+
+
+def test_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(2000).select(F.lit("hot").alias("source"), F.col("id").alias("_file"), F.lit("long text " * 50_000).substr(1, 100).alias("text"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # which joins tasks as small as these
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        sharding.write_shards(df, "source", str(tmp_path / "out"), sharding.shard_names(4), files_per_shard=4)
+    finally:
+        spark.conf.set(coalesce, before)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 2000 and back.select("shard").distinct().count() == 1 and set(back.columns) == {"source", "_file", "text", "shard"}
+    assert back.select(F.input_file_name()).distinct().count() > 1
+
+
+def test_very_long_and_repeated_keys_are_placed(spark):
+    long = "k" * 3_000_000
+    got = sharding.place(spark.createDataFrame([(long,), (long,), ("",), (None,)], "key string"), "key").collect()
+    assert len({(r.slot, r.shard) for r in got if r.key == long}) == 1 and len({r.slot for r in got if not r.key}) == 1

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 #: A prime, at least a hundred times the number of shards, so that shards differ by 1 % at most.
 SLOTS = 65_537
 SHARDS = 256
+#: Groups over which the rows of one hot key are dealt where ``spread`` joins its count.
+SALTS = 64
 
 
 def shard_names(n: int = SHARDS) -> list[str]:
@@ -70,22 +72,35 @@ def place(df: DataFrame, key: str, names: list[str] | None = None, slots: int =
     return keyed.join(F.broadcast(found), "slot")
 
 
-def spread(df: DataFrame, key: str, rows_per_key: int, salt_from: str, out: str = "placement_key") -> DataFrame:
+def spread(df: DataFrame, key: str, rows_per_key: int, salt_from: str, out: str = "placement_key", salts: int = SALTS) -> DataFrame:
     """``df`` with a key that splits each hot value of ``key`` into sub-keys.
 
     A value with n rows gets ceil(n / rows_per_key) sub-keys; rows are dealt by
     a hash of ``salt_from``. Only hot values are joined back; they are at most
-    (rows / rows_per_key) in number.
+    (rows / rows_per_key) in number, and each stands ``salts`` times in the join,
+    so that its rows are dealt over as many groups. A column called ``out`` is
+    overwritten, all others may have any name.
+    """
+    hot = df.groupBy(F.col(f"`{key}`").alias("hot")).count().where(F.col("count") > rows_per_key)
+    hot = hot.select("hot", F.ceil(F.col("count") / rows_per_key).alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("hot_salt"))
+    deal = F.xxhash64(f"`{salt_from}`")
+    # the row goes along as one struct, so that its columns may have any names
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    rows = df.select(row.alias("row"), F.col(f"`{key}`").alias("key"), deal.alias("deal"), F.pmod(F.xxhash64(deal), F.lit(salts)).cast("int").alias("salt"))
+    joined = rows.join(hot, F.col("key").eqNullSafe(F.col("hot")) & (F.col("salt") == F.col("hot_salt")), "left")
+    name = F.coalesce(F.col("key").cast("string"), F.lit(""))
+    made = F.when(F.col("parts").isNull(), name).otherwise(F.concat_ws("#", name, F.pmod("deal", "parts")))
+    return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c.lower() != out.lower()), made.alias(out))
+
+
+def write_shards(df: DataFrame, key: str, path: str, names: list[str] | None = None, files_per_shard: int = 1, deal_by: list[str] | None = None) -> None:
+    """Parquet under ``path/shard=k``; a shard's rows are dealt over ``files_per_shard`` tasks.
+
+    They are dealt by a hash of ``deal_by`` (all columns that can be hashed, if
+    not given), so that one hot key's rows share a shard but not a task. Only rows
+    that are equal in all of these stay together: name a column that tells copies apart.
     """
-    hot = df.groupBy(F.col(key).alias("_hot")).count().where(F.col("count") > rows_per_key).select("_hot", F.ceil(F.col("count") / rows_per_key).alias("_parts"))
-    joined = df.join(hot, df[key].eqNullSafe(hot["_hot"]), "left")
-    part = F.pmod(F.xxhash64(F.col(salt_from)), F.coalesce(F.col("_parts"), F.lit(1)))
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    return joined.withColumn(out, F.when(F.col("_parts").isNull(), name).otherwise(F.concat_ws("#", name, part))).drop("_hot", "_parts")
-
-
-def write_shards(df: DataFrame, key: str, path: str, names: list[str] | None = None, files_per_shard: int = 1) -> None:
-    """Parquet under ``path/shard=k``; a shard's rows are dealt over ``files_per_shard`` tasks."""
     placed = place(df, key, names)
-    dealt = placed.withColumn("_file", F.pmod(F.xxhash64("slot", F.col(key)), F.lit(files_per_shard)))
-    dealt.repartition("shard", "_file").drop("slot", "_file").write.mode("overwrite").partitionBy("shard").parquet(path)
+    deal_by = deal_by or [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and f.name.lower() not in ("slot", "shard")]
+    file = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in deal_by)), F.lit(files_per_shard))
+    placed.repartition("shard", file).drop("slot").write.mode("overwrite").partitionBy("shard").parquet(path)
