@@ -74,3 +74,25 @@ def test_random_numbers_do_not_depend_on_partitions(spark):
 
     rows = lambda n: {r.id: r.x for r in spark.range(0, 500, 1, n).select("id", numeric.random_below(F.col("id"), F.lit(10), 3).alias("x")).collect()}
     assert rows(1) == rows(7) and set(rows(1).values()) == set(range(10))
+
+
+def carmichael(least: int) -> int:
+    """The first (6k+1)(12k+1)(18k+1) of three primes above all bases that is ``least`` or more."""
+    k = 7
+    while True:
+        factors = [6 * k + 1, 12 * k + 1, 18 * k + 1]
+        n = factors[0] * factors[1] * factors[2]
+        if n >= least and not any(numeric.witness(x) for x in factors):
+            return n
+        k += 1
+
+
+def test_fermat_is_its_own_condition(spark):
+    """Carmichael numbers without small factors pass and are not prime; all others are held against the powers themselves."""
+    fooled = [carmichael(0), carmichael(10**7), carmichael(1 << 33)]
+    numbers = [*range(-3, 3000), *fooled, (1 << 31) - 1, (1 << 32) - 5, (1 << 32) + 15, 56052361 + 2]
+    passes = lambda n: n in (2, 3) or n > 3 and all(pow(a, n - 1, n) == 1 for a in numeric.WITNESSES if a % n)
+    df = spark.createDataFrame([(n,) for n in numbers] + [(None,)], "n long")
+    got = {r.n: (r.fermat, r.prime) for r in df.select("n", numeric.is_fermat_prime("n").alias("fermat"), numeric.is_prime("n").alias("prime")).collect()}
+    assert {n: got[n][0] for n in numbers} == {n: passes(n) for n in numbers} and got[None] == (None, None)
+    assert [got[n] for n in fooled] == [(True, False)] * 3
