@@ -215,3 +215,17 @@ def test_invariance_sees_a_wrong_construction(spark, monkeypatch):
     monkeypatch.setattr(trees, "classical_edges", lambda texts, a: right(texts, a).where("ord > 1") if a == "U" else right(texts, a))
     got = {(r.layout, r.algorithm): r.differing for r in queries.QUERIES["algorithm_invariance"](spark, "").collect()}
     assert all(n == (2 if a == "U" else 0) for (_, a), n in got.items()) and len(got) == 13
+
+
+def test_edges_are_not_broadcast(spark):
+    """Spark takes a tree for as small as its text; a join of edges still has to stay off the driver."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "banana"), (2, "a$b$a")], "doc_id long, text string")
+    e, n = trees.edges(df), trees.nodes(df)
+    probes = n.select("doc_id", F.col("node_id").alias("parent"), F.lit("a").alias("letter"))
+    asks = e.select("doc_id", F.col("child").alias("node"), F.lit(1).alias("depth"))
+    snaps = windows.snapshots(df, 2, 2)
+    for found in (navigate.child_by_letter(e, probes), navigate.go_up_each(e, asks), windows.evicted(windows.window_edges(snaps))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

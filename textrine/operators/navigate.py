@@ -1,7 +1,9 @@
 """Navigation on edges: children by letter, siblings, scans, loci.
 
 All of it is joins and windows on ``edges`` keyed by document and node, which
-Catalyst plans on one exchange per key.
+Catalyst plans on one exchange per key. Edges have a row for each character, but
+Spark estimates what a Python task returns by the bytes of the texts: without the
+``merge`` hint it would broadcast them through the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ IS_END = "(child < 0 AND child_depth = parent_depth + 1)"
 def child_by_letter(edges: DataFrame, probes: DataFrame) -> DataFrame:
     """The child of each (doc_id, parent, letter) probe, or none; the terminator is no letter."""
     found = edges.where(f"NOT {IS_END}").select("doc_id", "parent", "letter", "child", "child_depth")
-    return probes.join(found, ["doc_id", "parent", "letter"], "left")
+    return probes.join(found.hint("merge"), ["doc_id", "parent", "letter"], "left")
 
 
 def siblings(edges: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def scans(edges: DataFrame, patterns: list[str], parent: int = 1) -> DataFrame:
     docs = edges.where(F.col("ord") == 1).select("doc_id")
     asked = docs.join(F.broadcast(probes))  # a handful of given patterns per document
     here = edges.where((F.col("parent") == parent) & ~F.expr(IS_END)).select("doc_id", "letter", "child", "child_depth", F.expr("substr(label, 1, label_len - IF(child < 0, 1, 0))").alias("label"))
-    met = asked.withColumn("letter", F.substring("pattern", 1, 1)).join(here, ["doc_id", "letter"], "left")
+    met = asked.withColumn("letter", F.substring("pattern", 1, 1)).join(here.hint("merge"), ["doc_id", "letter"], "left")
     n = F.expr(f"CASE WHEN child IS NULL THEN 0 ELSE {common_length('label', 'pattern')} END")
     out = met.withColumn("matched", n)
     mismatch = F.when(F.substring(F.col("label"), F.col("matched") + 1, F.lit(1)) > F.substring(F.col("pattern"), F.col("matched") + 1, F.lit(1)), 1).otherwise(-1)
@@ -125,7 +127,7 @@ def jump_pointers(edges: DataFrame, keep=None) -> list[DataFrame]:
     steps = [keep(edges.select("doc_id", F.col("child").alias("node"), F.col("parent").alias("up"), F.col("parent_depth").alias("up_depth")), "up0")]
     while True:
         further = steps[-1].select("doc_id", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("up_depth").alias("_depth"))
-        step = keep(steps[-1].drop("up_depth").join(further, ["doc_id", "up"]).select("doc_id", "node", F.col("_up").alias("up"), F.col("_depth").alias("up_depth")), f"up{len(steps)}")
+        step = keep(steps[-1].drop("up_depth").join(further.hint("merge"), ["doc_id", "up"]).select("doc_id", "node", F.col("_up").alias("up"), F.col("_depth").alias("up_depth")), f"up{len(steps)}")
         if step.isEmpty():
             return steps
         steps.append(step)
@@ -140,9 +142,9 @@ def go_up_each(edges: DataFrame, asks: DataFrame, keep=None) -> DataFrame:
     found = asks.withColumn("child", F.col("node"))
     for step in reversed(jump_pointers(edges, keep)):
         there = step.select("doc_id", F.col("node").alias("child"), "up", "up_depth")
-        found = found.join(there, ["doc_id", "child"], "left").withColumn("child", F.when(F.col("up_depth") > F.col("depth"), F.col("up")).otherwise(F.col("child"))).drop("up", "up_depth")
+        found = found.join(there.hint("merge"), ["doc_id", "child"], "left").withColumn("child", F.when(F.col("up_depth") > F.col("depth"), F.col("up")).otherwise(F.col("child"))).drop("up", "up_depth")
     last = edges.select("doc_id", "child", "parent", F.col("parent_depth").alias("_depth"))
-    return found.join(last, ["doc_id", "child"]).withColumn("exact", F.when(F.col("_depth") == F.col("depth"), 0).otherwise(-1)).drop("_depth")
+    return found.join(last.hint("merge"), ["doc_id", "child"]).withColumn("exact", F.when(F.col("_depth") == F.col("depth"), 0).otherwise(-1)).drop("_depth")
 
 
 def place_links(edges: DataFrame, asks: DataFrame, keep=None) -> DataFrame:
@@ -152,7 +154,7 @@ def place_links(edges: DataFrame, asks: DataFrame, keep=None) -> DataFrame:
     ``exact`` 0 if it ends on the parent itself, -1 if inside the edge.
     """
     target = edges.select("doc_id", F.col("child").alias("node"), F.when(F.col("child") < 0, F.col("child") - 1).otherwise(F.col("suffix_link")).alias("_link"))
-    linked = asks.join(target, ["doc_id", "node"]).select("doc_id", F.col("node").alias("_node"), "at", F.col("_link").alias("node"), (F.col("at") - 1).alias("depth"))
+    linked = asks.join(target.hint("merge"), ["doc_id", "node"]).select("doc_id", F.col("node").alias("_node"), "at", F.col("_link").alias("node"), (F.col("at") - 1).alias("depth"))
     return go_up_each(edges, linked, keep).select("doc_id", F.col("_node").alias("node"), "at", "parent", "child", "exact")
 
 

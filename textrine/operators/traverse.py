@@ -31,7 +31,7 @@ def edge_lines(edges: DataFrame, detailed: bool) -> DataFrame:
 
     The simple form shows neither branching ids nor links.
     """
-    w = edges.join(widths(edges), "doc_id")
+    w = edges.join(widths(edges).hint("merge"), "doc_id")  # as in ``navigate``
     parent = padded(F.col("parent"), F.col("wb")) if detailed else F.lit("?")
     leaf = padded(F.col("child"), F.col("wl"))
     child = F.when(F.col("child") < 0, leaf).otherwise(padded(F.col("child"), F.col("wb")) if detailed else F.lit("?"))

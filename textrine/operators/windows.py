@@ -141,8 +141,9 @@ def evicted(edges: DataFrame) -> DataFrame:
     """Nodes and leaves of one snapshot that the next no longer has, by path."""
     following = edges.select("doc_id", (F.col("window_no") - 1).alias("window_no"), "path", "leaf_start")
     last = edges.groupBy("doc_id").agg(F.max("window_no").alias("last"))
-    current = edges.join(last, "doc_id").where("window_no < last").select("doc_id", "window_no", "path", "leaf_start")
-    return current.join(following, ["doc_id", "window_no", "path", "leaf_start"], "left_anti")
+    current = edges.join(last.hint("merge"), "doc_id")  # sizes that Spark estimates by the texts, as in ``navigate``
+    current = current.where("window_no < last").select("doc_id", "window_no", "path", "leaf_start")
+    return current.join(following.hint("merge"), ["doc_id", "window_no", "path", "leaf_start"], "left_anti")
 
 
 def leaf_arithmetic(snaps: DataFrame, block: int, active: int, total: int) -> DataFrame:
