@@ -229,3 +229,15 @@ def test_edges_are_not_broadcast(spark):
     for found in (navigate.child_by_letter(e, probes), navigate.go_up_each(e, asks), windows.evicted(windows.window_edges(snaps))):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_climbs_without_a_shuffle(spark):
+    """The climbs of whole texts are those of the window over their edges, and nothing is dealt again."""
+    r = random.Random(31)
+    texts = ["", "a", "aaaaaaaa", "mississippi", None] + ["".join(r.choices("abc", k=k)) for k in (3, 17, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for depth in (0, 1, 3):
+        got = navigate.go_up_texts(df, depth)
+        want = navigate.go_up(trees.edges(df, labels=False), depth)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

@@ -8,10 +8,13 @@ Spark estimates what a Python task returns by the bytes of the texts: without th
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from textrine.operators.trees import per_batch
+from textrine.plans.kernel import SuffixTrees
 
 #: SQL: the edge is the terminator alone. A text may have the letter "$" too, so that labels cannot tell.
 IS_END = "(child < 0 AND child_depth = parent_depth + 1)"
@@ -117,6 +120,24 @@ def go_up(edges: DataFrame, depth: int) -> DataFrame:
     return found.select("doc_id", "node", "met.parent", "met.child", F.when(F.col("met.parent_depth") == depth, 0).otherwise(-1).alias("exact"))
 
 
+def go_up_texts(texts: DataFrame, depth: int) -> DataFrame:
+    """``go_up`` of the edges of ``texts``, climbed where the edges are made.
+
+    The task that makes a text's edges has them in traversal order, so that nothing is
+    shuffled or sorted again, and only what is shown of the climb leaves the task.
+    """
+    if depth < 0:
+        raise ValueError("depths are not negative")
+
+    def make(rows):
+        e = SuffixTrees(rows).edges()
+        # a text's first edge leaves its root, so that the last edge so far is of the same text
+        met = np.maximum.accumulate(np.where(e["parent_depth"] <= depth, np.arange(len(e["doc"])), 0))
+        return {"doc": e["doc"], "node": e["child"], "parent": e["parent"][met], "child": e["child"][met], "exact": np.where(e["parent_depth"][met] == depth, 0, -1)}
+
+    return per_batch(texts, make, "doc_id long, node int, parent int, child int, exact int")
+
+
 def jump_pointers(edges: DataFrame, keep=None) -> list[DataFrame]:
     """For k = 0, 1, ...: doc_id, node, up, up_depth, the ancestor 2^k above each node that has one.
 

@@ -255,12 +255,12 @@ SELECT c.doc_id, CAST(c.node AS INTEGER) AS node, arg_max(e.parent, e.parent_dep
 FROM chain c JOIN ed e ON e.doc_id = c.doc_id AND e.child = c.x WHERE e.parent_depth <= 3 GROUP BY c.doc_id, c.node""")
 def go_up(spark, sf_dir):
     """The climb from every node to depth 3."""
-    return navigate.go_up(trees.edges(items(spark, sf_dir), labels=False), 3)
+    return navigate.go_up_texts(items(spark, sf_dir), 3)
 
 
 @query()
 def documents_go_up(spark, sf_dir):
-    return navigate.go_up(trees.edges(docs(spark, sf_dir), labels=False), 3)
+    return navigate.go_up_texts(docs(spark, sf_dir), 3)
 
 
 @query(tree() + """, chain AS (SELECT doc_id, child AS node, child_depth // 2 AS depth, child AS x FROM ed UNION ALL SELECT a.doc_id, a.child, a.child_depth // 2, a.parent FROM anc a WHERE a.parent <> 1)
