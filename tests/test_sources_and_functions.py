@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,17 @@ def test_fermat_is_its_own_condition(spark):
     got = {r.n: (r.fermat, r.prime) for r in df.select("n", numeric.is_fermat_prime("n").alias("fermat"), numeric.is_prime("n").alias("prime")).collect()}
     assert {n: got[n][0] for n in numbers} == {n: passes(n) for n in numbers} and got[None] == (None, None)
     assert [got[n] for n in fooled] == [(True, False)] * 3
+
+
+def test_primes_beyond_the_divisors_of_the_sql():
+    """The SQL tries divisors to 199 and lists primes to 29,999; the functions have no such end (keys of ``part`` at 60 times sf0.1)."""
+    n = 1_200_100
+    sieve = np.ones(n, bool)
+    sieve[:2] = False
+    for p in range(2, 1096):
+        if sieve[p]:
+            sieve[p * p :: p] = False
+    asked, known = np.arange(1_200_000), np.flatnonzero(sieve)
+    assert (numeric.primes(asked) == sieve[:1_200_000]).all() and not sieve[[44521, 47053]].any()
+    assert (numeric.following_primes(asked) == known[np.searchsorted(known, asked, "right")]).all()
+    assert np.flatnonzero(numeric.fermat_primes(asked) != sieve[:1_200_000]).tolist() == [252601, 410041, 1152271]  # Carmichael numbers
