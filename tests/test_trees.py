@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -241,3 +242,13 @@ def test_climbs_without_a_shuffle(spark):
         want = navigate.go_up(trees.edges(df, labels=False), depth)
         assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_sort_is_by_eight_characters():
+    """Short alphabets leave few suffixes for the rounds of doubling, whatever letters the table of codes spans."""
+    from textrine.plans.kernel import code_points, packed_codes
+
+    chars, bounds = code_points(["abracadabra", "日é😀 a"])
+    doc = np.repeat(np.arange(2), np.diff(bounds))
+    codes = packed_codes(chars, doc, bounds[1:][doc])
+    assert len(codes) == 4 and len(set(codes[-1].tolist())) == len(chars)
