@@ -65,3 +65,12 @@ def test_long_and_periodic_texts(spark):
     slides = windows.window_slides(df, 300).where("doc_id = 1").selectExpr("count(*)", "count(shortened_to)", "min(shortened_to - slide)", "count(merged_depth)").first()
     assert tuple(slides) == (119_700, 119_700, 1, 0)  # the only leaf is shortened each time
     assert np.isclose(got[1].avg_edges, 1)
+
+
+def test_only_neighbours_that_a_window_holds():
+    """Occurrences that no window has together are not carried on: work follows the window, not the text's repeats."""
+    texts = ["".join(random.Random(3).choices("abcdefgh", k=3000))]
+    for size in (3, 8):
+        s = sweep.Sweep(texts, size)
+        for node, a, b in s.neighbours():
+            assert (b - a + s.above[node] < size).all()
