@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tests.naive import tree
 from textrine.operators import large, navigate, search, trees
+from textrine.plans.kernel import code_points
 
 SCHEMA = "doc_id long, text string"
 
@@ -153,3 +155,19 @@ def test_patterns(spark, monkeypatch, block):
                 else:
                     letter = child[m] if child[m] != "\x00" else "\U0010ffff"
                     assert w.slow == (1 if letter > p[m] else -1)
+
+
+def test_texts_with_a_pattern_s_first_words_alone_are_not_sorted():
+    """A text is searched only if it has the first 16 characters of a pattern (or all of a shorter one, to a multiple of four)."""
+    texts = ["of the greatest", "in of the great house", "of", "abcde", ""]
+    chars, bounds = code_points(texts)
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    p = search.Patterns.of(np.array([1, 2, 3]), ["of the great house and", "of", "abcdef"])
+    text, which = p.pairs(chars, doc, bounds[1:][doc])
+    assert sorted(zip(text.tolist(), which.tolist())) == [(0, 1), (1, 0), (1, 1), (2, 1), (3, 2)]
+    for width in (1, 2, 3, 4, 8, 12, 16):
+        own = search.window_hashes(chars, width)
+        same = {}
+        for i in range(len(chars) - width + 1):
+            same.setdefault(tuple(chars[i : i + width].tolist()), set()).add(int(own[i]))
+        assert all(len(x) == 1 for x in same.values()) and len({min(x) for x in same.values()}) == len(same)

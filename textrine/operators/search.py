@@ -14,20 +14,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrine.operators.trees import per_batch
-from textrine.plans.kernel import SparseMin, SuffixArrays, code_points
+from textrine.plans.kernel import SuffixArrays, code_points, least_within
 
 PATTERNS = 50_000
-HEAD = 8
+HEAD = 16
+#: Bits of the table that tells most places at which no pattern begins.
+BITS = np.uint64(20)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def window_hashes(chars: np.ndarray, width: int) -> np.ndarray:
     """A hash of the ``width`` characters from each place on (the last places' are of no use)."""
-    out = np.zeros(len(chars), np.uint64)
-    for j in range(min(width, len(chars))):
-        out *= BASE
-        out[: len(chars) - j] += chars[j:].astype(np.uint64)
-    return out
+    n, part, size = len(chars), chars.astype(np.uint64), 1
+    out, done = np.zeros(n, np.uint64), 0
+
+    def followed(a, b, by, size):
+        both = a * np.uint64(pow(int(BASE), size, 1 << 64))
+        both[: max(n - by, 0)] += b[by:]
+        return both
+
+    while True:
+        if width & size:
+            out, done = followed(out, part, done, size), done + size
+        if 2 * size > width:
+            return out
+        part, size = followed(part, part, size, size), 2 * size
 
 
 class Patterns:
@@ -35,6 +46,19 @@ class Patterns:
 
     def __init__(self, ids: np.ndarray, chars: np.ndarray, start: np.ndarray, size: np.ndarray):
         self.ids, self.chars, self.start, self.size = ids, chars, start, size
+        self.known = {}
+
+    def heads(self, width: np.ndarray, w: int) -> tuple[np.ndarray, ...]:
+        """Of the patterns of this width: their numbers by hash, the hashes, where each begins and how many it has, and the table of their bits."""
+        if w not in self.known:
+            some = np.flatnonzero(width == w)
+            hashes = window_hashes(self.chars, w)[self.start[some]]
+            order = np.argsort(hashes, kind="stable")
+            lone, first, count = np.unique(hashes[order], return_index=True, return_counts=True)
+            table = np.zeros(1 << int(BITS), bool)
+            table[lone * BASE >> np.uint64(64) - BITS] = True
+            self.known[w] = some[order], lone, first, count, table
+        return self.known[w]
 
     @classmethod
     def of(cls, ids: np.ndarray, patterns: list[str]) -> "Patterns":
@@ -44,18 +68,17 @@ class Patterns:
     def pairs(self, chars: np.ndarray, doc: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, pattern) for each text that has a pattern's first HEAD characters, and few by chance."""
         texts, patterns = [], []
-        width = np.minimum(self.size, HEAD)
-        for w in np.unique(width[width > 0]):
-            some = np.flatnonzero(width == w)
-            heads = window_hashes(self.chars, w)[self.start[some]]
-            order = np.argsort(heads, kind="stable")
-            some, heads = some[order], heads[order]
-            lone, first, count = np.unique(heads, return_index=True, return_counts=True)
+        width = np.minimum(np.where(self.size < 4, self.size, self.size // 4 * 4), HEAD)  # few widths
+        for w in np.unique(width[width > 0]).tolist():
+            some, lone, first, count, table = self.heads(width, w)
             own = window_hashes(chars, w)
-            at = np.searchsorted(lone, own)
+            hit = np.flatnonzero(table[own * BASE >> np.uint64(64) - BITS])
+            hit = hit[hit + w < end[hit]]
+            at = np.searchsorted(lone, own[hit])
             at[at == len(lone)] = 0
-            hit = np.flatnonzero((lone[at] == own) & (np.arange(len(own)) + w < end))
-            met = np.unique(doc[hit] * len(lone) + at[hit])
+            real = lone[at] == own[hit]
+            hit, at = hit[real], at[real]
+            met = np.unique(doc[hit] * len(lone) + at)
             text, head = met // len(lone), met % len(lone)
             each = count[head]
             texts.append(np.repeat(text, each))
@@ -98,9 +121,9 @@ def loci(sa: SuffixArrays, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     below = sa.end[sa.order[lo]] - sa.order[lo]
     many = np.flatnonzero(hi - lo > 1)
     if len(many):
-        below[many] = SparseMin(sa.lcp).minimum(lo[many] + 1, hi[many] - 1)
+        below[many] = least_within(sa.lcp, lo[many] + 1, hi[many] - 1)
     return {
-        "n_occurrences": hi - lo, "leftmost": SparseMin(sa.order).minimum(lo, hi - 1) - sa.bounds[text] + 1 if len(lo) else lo, "rank_lo": lo - sa.bounds[text] + 1,
+        "n_occurrences": hi - lo, "leftmost": least_within(sa.order, lo, hi - 1) - sa.bounds[text] + 1 if len(lo) else lo, "rank_lo": lo - sa.bounds[text] + 1,
         "rank_hi": hi - sa.bounds[text], "parent_depth": np.maximum(np.maximum(lcp[lo], lcp[hi]), 0), "child_depth": below,
     }
 
