@@ -252,3 +252,12 @@ def test_first_sort_is_by_eight_characters():
     doc = np.repeat(np.arange(2), np.diff(bounds))
     codes = packed_codes(chars, doc, bounds[1:][doc])
     assert len(codes) == 4 and len(set(codes[-1].tolist())) == len(chars)
+
+
+def test_invariance_builds_each_tree_once(spark, monkeypatch):
+    from textrine import queries
+
+    df = spark.createDataFrame([(1, "banana"), (2, "abab")], "doc_id long, text string")
+    monkeypatch.setattr(queries, "names", lambda *_: df)
+    plan = queries.QUERIES["algorithm_invariance"](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 + len({o.checked().algorithm for o in combinations()})

@@ -771,16 +771,18 @@ def algorithm_invariance(spark, sf_dir):
     """
     from functools import reduce
 
-    base = trees.edges(names(spark, sf_dir)).select("doc_id", "ord", "label")
+    key = ["doc_id", "ord", "label"]
+    texts = names(spark, sf_dir)
     layouts: dict[str, list[str]] = {}
     for o in options.combinations():
         layouts.setdefault(o.checked().algorithm, []).append(f"{o.layout}{'+B' if o.backward else ''}")
-    parts = []
-    for algorithm, keys in layouts.items():
-        own = trees.classical_edges(names(spark, sf_dir), algorithm)
-        differing = own.exceptAll(base).union(base.exceptAll(own)).agg(F.count("*").alias("differing"))
-        parts.append(differing.select(F.explode(F.array(*map(F.lit, keys))).alias("layout"), F.lit(algorithm).alias("algorithm"), "differing"))
-    return reduce(DataFrame.union, parts)
+    # every tree is built once; an edge differs as often as it is there more times by one of the two
+    built = [trees.edges(texts).select(*key, F.lit("").alias("by"))] + [trees.classical_edges(texts, a).select(*key, F.lit(a).alias("by")) for a in layouts]
+    times = lambda a: F.count(F.when(F.col("by") == a, 1))
+    counts = reduce(DataFrame.union, built).groupBy(*key).agg(*(times(a).alias(f"n{i}") for i, a in enumerate(["", *layouts])))
+    sums = counts.agg(*(F.coalesce(F.sum(F.abs(F.col(f"n{i}") - F.col("n0"))), F.lit(0)).alias(f"n{i}") for i in range(1, len(layouts) + 1)))
+    shown = [F.struct(F.lit(layout).alias("layout"), F.lit(a).alias("algorithm"), F.col(f"n{i}").alias("differing")) for i, (a, keys) in enumerate(layouts.items(), 1) for layout in keys]
+    return sums.select(F.inline(F.array(*shown)))
 
 
 def build(texts: DataFrame, chosen: options.Options) -> DataFrame:
