@@ -107,3 +107,12 @@ def test_tree_of_a_file(spark, tmp_path):
     got = rows(index.edges())
     index.scratch.drop()
     assert got == rows(trees.edges(whole, labels=False)) and got
+
+
+def test_letters_are_counted_where_pieces_lie(spark):
+    """A row for each key and letter of a task, not for each character; letters beyond the basic plane are one."""
+    from textrine.sources import text
+
+    df = spark.createDataFrame([("x", "aab\U0001f600" * 500), ("y", "é\n"), ("x", ""), ("y", None)], "encoding string, piece string").coalesce(1)
+    got = sorted(map(tuple, text.letter_counts(df).collect()))
+    assert got == [("x", "a", 1000), ("x", "b", 500), ("x", "\U0001f600", 500), ("y", "\n", 1), ("y", "é", 1)]

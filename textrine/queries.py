@@ -727,7 +727,7 @@ def encoded_files(spark, sf_dir):
     pieces = written[0]
     for more in written[1:]:
         pieces = pieces.unionByName(more)
-    letters = pieces.select("encoding", F.explode(F.split("piece", "", -1)).alias("letter")).where("letter <> ''").groupBy("encoding", "letter").agg(F.count("*").alias("n"))
+    letters = text.letter_counts(pieces.select("encoding", "piece")).groupBy("encoding", "letter").agg(F.sum("n").alias("n"))
     ends = pieces.groupBy("encoding", "doc_id").agg(F.max(F.col("begin") + F.length("piece")).alias("n")).groupBy("encoding").agg(F.sum("n").alias("n_chars"))
     return letters.join(F.broadcast(ends), "encoding")  # one row for each encoding
 

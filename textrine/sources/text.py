@@ -70,3 +70,26 @@ def text_stats(texts: DataFrame) -> DataFrame:
         ((n + 3) * CHARACTER_BYTES).alias("memory_bytes"),
         F.when(size > 0, (n + 3) * CHARACTER_BYTES * F.lit(100.0) / size).alias("memory_percent"),
     )
+
+
+def letter_counts(texts: DataFrame) -> DataFrame:
+    """(key, letter, n) of a key and a text: how often each task's texts of a key have each letter, to be summed.
+
+    A task has one row for each key and letter, however long its texts are.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        counts = {}
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.bincount(np.frombuffer((value.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32))
+                own = counts.setdefault(key, np.zeros(0x110000, np.int64))
+                own[: len(found)] += found
+        for key, own in counts.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.string()), pa.array([chr(c) for c in at], pa.string()), pa.array(own[at])], names)
+
+    key, names = texts.columns[0], [texts.columns[0], "letter", "n"]
+    return texts.mapInArrow(run, f"{key} string, letter string, n long")
