@@ -257,3 +257,16 @@ def test_long_texts_are_cut_in_overlapping_segments(monkeypatch):
         for k, a, b in zip(row, p1, p2):
             seen.update((int(k), p) for p in range(a, b + 1))
     assert seen == {(0, p) for p in range(5000 - 399)} | {(2, p) for p in range(900 - 399)}
+
+
+def test_near_dup_gives_workers_few_texts_at_once(spark, monkeypatch):
+    """The batches that the shingles are made from are bounded in rows, and the session's setting is as before."""
+    from textrine.llm import common, near_dup
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given, seen = spark.conf.get(key), []
+    keep = common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df, name, *a: (seen.append((name, int(self.spark.conf.get(key)))), keep(self, df, name, *a))[1])
+    df = spark.createDataFrame([(i, f"some words that are the same in all of {i % 2} of these texts here") for i in range(6)], "doc_id long, text string")
+    assert near_dup.near_duplicates(df).count() == 6
+    assert {n for name, n in seen if name == "sketch"} == {1000} and spark.conf.get(key) == given

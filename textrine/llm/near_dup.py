@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrine.llm.common import Scratch, WordHashes, batch_shingles, bitmap_of, distinct_per_text, give_back, in_bitmap, mix64, text_slices
+from textrine.llm.common import Scratch, WordHashes, batch_shingles, bitmap_of, distinct_per_text, give_back, in_bitmap, mix64, small_batches, text_slices
 
 WORDS, PERCENT = 5, 75
 CHUNKS, CHUNK, BITS = 10, 4, 14
@@ -59,7 +59,7 @@ LANES = SYMBOLS // PER
 #: Members of a key that one task compares with as many others.
 BLOCK = 2_000
 #: Bytes of text whose shingles are in memory at once (and one text, if longer).
-PART = 1_500_000
+PART = 750_000
 
 _rng = np.random.default_rng(20240229)
 XORS = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -188,7 +188,8 @@ def sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> Dat
 
     doc, other = F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
     texts = docs.where("doc_id IS NOT NULL").select(doc.alias("id"), F.xxhash64(doc).alias("hash"), other.alias("other"), F.xxhash64(other).alias("other_hash"), "text")
-    sets = scratch.keep(texts.mapInArrow(run, "id long, d1 long, set array<long>"), name)
+    with small_batches(docs.sparkSession):
+        sets = scratch.keep(texts.mapInArrow(run, "id long, d1 long, set array<long>"), name)
     shared.destroy()
     if not sets.groupBy("id", "d1").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
         return sets
@@ -307,7 +308,8 @@ def blocked(rows: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id, kept for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near")
-    sketches = scratch.keep(sketch(docs), "sketch")
+    with small_batches(docs.sparkSession):
+        sketches = scratch.keep(sketch(docs), "sketch")
     classes = distinct_sets(sketches, scratch)
     keyed = keys(classes)
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
