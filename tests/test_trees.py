@@ -4,6 +4,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.naive import implicit, tree
 from textrine.operators import navigate, partitions, traverse, trees, windows
@@ -261,3 +262,14 @@ def test_invariance_builds_each_tree_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "names", lambda *_: df)
     plan = queries.QUERIES["algorithm_invariance"](spark, "")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 + len({o.checked().algorithm for o in combinations()})
+
+
+def test_suffixes_of_one_row_group_and_one_long_text_go_to_many_tasks(spark, tmp_path):
+    texts = ["a" * 100_000, "", None, "é\U0001f600$", "b" * (trees.PLACES - 1), "c" * trees.PLACES]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/texts")
+    rows = trees.leaves(spark.read.parquet(f"{tmp_path}/texts"))
+    want = [(d, -i, len(t) + 2 - i) for d, t in enumerate(texts) if t is not None for i in range(1, len(t) + 2)]
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    assert dict(rows.dtypes) == {"doc_id": "bigint", "node_id": "int", "depth": "int"}
+    shares = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 2 and max(shares) < 0.5 * len(want)

@@ -18,12 +18,29 @@ from textrine.plans.kernel import SuffixArrays, SuffixTrees, slices, smaller_bef
 
 #: Bytes of text a core, by Spark's estimate, under which texts are dealt to all cores; and bytes that are not worth it.
 SHARE, LITTLE = 64 << 20, 1 << 20
+#: Suffixes of a text that are unfolded from one row; and bytes of text, by Spark's estimate, whose suffixes one task unfolds.
+PLACES, UNFOLDED = 1 << 14, 8 << 20
+
+
+def size_of(texts: DataFrame) -> int:
+    """Bytes of a table by Spark's estimate."""
+    return int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
-    """doc_id, i, suffix_len: every suffix, with the terminator; 1..n+1."""
+    """doc_id, i, suffix_len: every suffix, with the terminator; 1..n+1.
+
+    Texts become rows of up to PLACES suffixes, which are dealt to all cores before
+    they are unfolded: neither a file of few row groups nor a long text is one task's
+    work, and only ids and lengths are shuffled.
+    """
     n = F.length("text")
-    return texts.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(1), n + 1)).alias("i")).select("doc_id", "i", (F.col("n") + 2 - F.col("i")).alias("suffix_len"))
+    runs = texts.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(1), n + 1, F.lit(PLACES))).alias("first"))
+    cores, size = texts.sparkSession.sparkContext.defaultParallelism, size_of(texts)
+    tasks = max(4 * cores, size // UNFOLDED if size < 1 << 60 else 0)
+    last = F.least(F.col("first") + (PLACES - 1), F.col("n") + 1)
+    rows = runs.repartition(tasks).sortWithinPartitions("n", "first").select("doc_id", "n", F.explode(F.sequence("first", last)).alias("i"))
+    return rows.select("doc_id", "i", (F.col("n") + 2 - F.col("i")).alias("suffix_len"))
 
 
 def leaves(texts: DataFrame) -> DataFrame:
@@ -38,7 +55,7 @@ def spread(texts: DataFrame) -> DataFrame:
     and a tree takes far longer than moving its text. Large tables are left as they are read.
     """
     cores = texts.sparkSession.sparkContext.defaultParallelism
-    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = size_of(texts)
     return texts.repartition(4 * cores, "doc_id", "text") if LITTLE <= size < SHARE * cores else texts
 
 
