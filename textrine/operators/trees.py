@@ -19,7 +19,7 @@ from textrine.plans.kernel import SuffixArrays, SuffixTrees, slices, smaller_bef
 #: Bytes of text a core, by Spark's estimate, under which texts are dealt to all cores; and bytes that are not worth it.
 SHARE, LITTLE = 64 << 20, 1 << 20
 #: Suffixes of a text that are unfolded from one row; and bytes of text, by Spark's estimate, whose suffixes one task unfolds.
-PLACES, UNFOLDED = 1 << 14, 8 << 20
+PLACES, UNFOLDED = 1 << 14, 2 << 20
 
 
 def size_of(texts: DataFrame) -> int:
