@@ -234,6 +234,25 @@ def test_batches_come_one_by_one(spark, tmp_path):
     assert got == {d: removed for d, _, removed, _, _ in brute_bytes(rows, suffix_dedup.LENGTH) if removed}
 
 
+def test_wide_prefixes_are_cut_in_slices(spark, monkeypatch):
+    """Of a prefix with many classes no task compares all windows; each window is compared once, and the result is the same."""
+    rows = byte_rows(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, dealt = suffix_dedup.sliced, []
+    monkeypatch.setattr(suffix_dedup, "WIDE", 2)
+    monkeypatch.setattr(suffix_dedup, "sliced", lambda spans, wide: dealt.append(wide.count()) or kept(spans, wide))
+    assert rows_of(suffix_dedup.dedup(df)) == brute_bytes(rows, suffix_dedup.LENGTH) and dealt[0] > 0
+    base = random.Random(8).randbytes(768)
+    spans = spark.createDataFrame([(1, i, 0, 500, o, base[368 - o : 368 - o + n]) for i, (o, n) in enumerate([(368, 768), (368, 400), (0, 400), (200, 500)])] + [(2, 9, 0, 500, 368, base)], "key long, did long, th long, at int, o int, raw binary")
+    found = kept(spans, spark.createDataFrame([(1,)], "key long")).collect()
+    windows = lambda rows: sorted((r.key, r.did, r.at - r.o + w, bytes(r.raw[w : w + 400])) for r in rows for w in range(len(r.raw) - 399))
+    assert windows(found) == windows(spans.collect())
+    places: dict[tuple, set] = {}
+    for r in found:
+        places.setdefault((r.key, r.slice), set()).update(r.o - w for w in range(len(r.raw) - 399))
+    assert len(places[2, 0]) == 369 and all(len(places[1, s]) <= 47 for s in range(8)) and sum(len(places[1, s]) for s in range(8)) == 369
+
+
 def test_kept_bytes_and_null_id(spark):
     text = "".join(random.Random(9).choices("abcdef ", k=1000))
     df = spark.createDataFrame([(None, text + "1"), (1, "2" + text)], "doc_id long, text string")
