@@ -1,6 +1,7 @@
 """Files by byte ranges against whole files, and a tree of a file against the kernel's."""
 
 import codecs
+import json
 import random
 
 import pytest
@@ -116,3 +117,51 @@ def test_letters_are_counted_where_pieces_lie(spark):
     df = spark.createDataFrame([("x", "aab\U0001f600" * 500), ("y", "é\n"), ("x", ""), ("y", None)], "encoding string, piece string").coalesce(1)
     got = sorted(map(tuple, text.letter_counts(df).collect()))
     assert got == [("x", "a", 1000), ("x", "b", 500), ("x", "\U0001f600", 500), ("y", "\n", 1), ("y", "é", 1)]
+
+
+@pytest.mark.parametrize("encoding", ["UTF-8", "utf-16", "gb18030", "utf-7"])
+def test_pieces_need_no_copy_of_the_text(spark, tmp_path, monkeypatch, encoding):
+    """Each range reads the pieces that begin in it to their end: no other table is written, and no text is shuffled."""
+    monkeypatch.setattr("textrine.sources.scratch.LOCAL_FOLDER", f"{tmp_path}/scratch")
+    t = sample(encoding, 700, 9)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(t.encode(encoding))
+    want = lambda size: [(k * size, t[k * size : (k + 1) * size]) for k in range(-(-len(t) // size))]
+    options = {"path": str(tmp_path / "in"), "encoding": encoding}
+    for split in (1, 3, 64, 1000):
+        reader = files.PieceReader({**options, "split": str(split)})
+        counts, starts = 0, []
+        for r in (r for p in reader.partitions() for r in reader.read(p)):
+            starts.append((r[1], counts))
+            counts += len(r[3])
+        for size in (1, 7, 100, 10**6):
+            reader = files.PieceReader({**options, "split": str(split), "piece": str(size), "starts": json.dumps({f"file:{tmp_path}/in/a.txt": starts})})
+            assert [(r[4], r[3]) for p in reader.partitions() for r in reader.read(p)] == want(size)
+    pieces = files.file_pieces(spark, str(tmp_path / "in"), encoding, 50, 400)
+    assert sorted(map(tuple, pieces.select("seq", "begin", "piece").collect())) == [(k, *x) for k, x in enumerate(want(50))]
+    assert "Exchange" not in pieces._jdf.queryExecution().executedPlan().toString()
+    assert not (tmp_path / "scratch").exists()
+
+
+def test_one_slice_in_one_encoding_is_on_disk(spark, tmp_path, monkeypatch):
+    """Files go as soon as they are counted, and any number of slices gives the same counts."""
+    from textrine import queries
+
+    rows = [(k, sample("gb18030", k * 3, k)) for k in range(40)] + [(None, "ab"), (None, "ab"), (40, None), (41, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr("textrine.sources.scratch.LOCAL_FOLDER", f"{tmp_path}/scratch")
+    there, write, found = [], files.write_texts, []
+
+    def watched(*args):
+        there.append([p for p in (tmp_path / "scratch").rglob("*.txt")])
+        write(*args)
+
+    monkeypatch.setattr(files, "write_texts", watched)
+    for some in (1, 3):
+        monkeypatch.setattr(queries, "SLICE", 1)
+        monkeypatch.setattr(queries, "SLICES", some)
+        found.append(sorted(map(tuple, queries.QUERIES["encoded_files"](spark, str(tmp_path)).collect())))
+    letters = "".join(t + "\n" for _, t in rows if t is not None)
+    want = sorted((e, c, letters.count(c), len(letters)) for e in queries.ENCODINGS for c in set(letters))
+    assert found == [want, want]
+    assert len(there) == 16 and not any(there) and not list((tmp_path / "scratch").rglob("*.txt"))

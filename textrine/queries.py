@@ -8,6 +8,8 @@ the tests.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -712,24 +714,32 @@ def offset_valid(spark, sf_dir):
 
 
 ENCODINGS = ["UTF-8", "UTF-16LE", "UTF-32BE", "GB18030"]
+#: Slices of the documents at most, and bytes of one, by Spark's estimate, that are not worth another.
+SLICES, SLICE = 8, 64 << 20
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, '')) AS letter FROM documents WHERE text IS NOT NULL AND text <> ''),
 n AS (SELECT letter, count(*) AS n FROM (SELECT letter FROM l UNION ALL SELECT chr(10) FROM documents WHERE text IS NOT NULL) GROUP BY letter)
 SELECT e.encoding, n.letter, n.n, sum(n.n) OVER (PARTITION BY e.encoding)::BIGINT AS n_chars FROM n, (VALUES """ + ", ".join(f"('{e}')" for e in ENCODINGS) + ") e(encoding)")
 def encoded_files(spark, sf_dir):
-    """All documents written to files of several encodings and reread by byte ranges: how often each letter is there, and the characters that the numbered pieces end at."""
-    base, written = Scratch(spark, "encoded"), []
-    for name in ENCODINGS:
-        path = f"{base.root}/{name}"
-        files.write_texts(docs(spark, sf_dir), path, name)
-        written.append(files.file_pieces(spark, path, name).withColumn("encoding", F.lit(name)))
-    pieces = written[0]
-    for more in written[1:]:
-        pieces = pieces.unionByName(more)
-    letters = text.letter_counts(pieces.select("encoding", "piece")).groupBy("encoding", "letter").agg(F.sum("n").alias("n"))
-    ends = pieces.groupBy("encoding", "doc_id").agg(F.max(F.col("begin") + F.length("piece")).alias("n")).groupBy("encoding").agg(F.sum("n").alias("n_chars"))
-    return letters.join(F.broadcast(ends), "encoding")  # one row for each encoding
+    """All documents written to files of several encodings and reread by byte ranges: how often each letter is there, and the characters that the numbered pieces end at.
+
+    A slice of the documents in one encoding is on disk at a time: in UTF-32 alone all of them are several times the input.
+    """
+    base, texts, found, ends = Scratch(spark, "encoded"), docs(spark, sf_dir), [], dict.fromkeys(ENCODINGS, 0)
+    slices = max(1, min(SLICES, trees.size_of(texts) // SLICE))
+    for k in range(slices):
+        own = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == k)
+        for name in ENCODINGS:
+            folder = f"{k}-{name}"
+            files.write_texts(own, f"{base.root}/{folder}", name)
+            pieces = files.file_pieces(spark, f"{base.root}/{folder}", name)
+            letters = text.letter_counts(pieces.select(F.lit(name).alias("encoding"), "piece"))
+            found.append(base.keep(letters.groupBy("encoding", "letter").agg(F.sum("n").alias("n")), "letters"))
+            ends[name] += pieces.groupBy("doc_id").agg(F.max(F.col("begin") + F.length("piece")).alias("n")).agg(F.sum("n")).first()[0] or 0
+            base.drop(folder)
+    letters = reduce(DataFrame.unionByName, found).groupBy("encoding", "letter").agg(F.sum("n").alias("n"))
+    return letters.join(F.broadcast(spark.createDataFrame(list(ends.items()), "encoding string, n_chars long")), "encoding")  # one row for each encoding
 
 
 def streamed(block: int, active: int) -> str:
@@ -769,8 +779,6 @@ def algorithm_invariance(spark, sf_dir):
 
     A layout is how a tree is stored and has no tree of its own.
     """
-    from functools import reduce
-
     key = ["doc_id", "ord", "label"]
     texts = names(spark, sf_dir)
     layouts: dict[str, list[str]] = {}

@@ -9,7 +9,10 @@ starts in it, which the encoding tells:
 - others have states, and a file is one range.
 
 Ranges are decoded as they are read, some bytes at a time; characters are numbered by
-prefix sums over the counts of ranges, then of pieces in a range. No task holds a file.
+prefix sums over the counts of ranges. Pieces of a fixed number of characters are read by
+the range that they begin in, beyond its end, so that no text is shuffled or written again;
+files are read once for the counts and then for the pieces, and may not change meanwhile.
+No task holds a file.
 
 Defined results: as ``text.read_texts``, byte order marks and malformed bytes included (they
 are an error), but that an empty file is one empty piece (Spark's reader of whole files leaves it out); files whose name begins with "_" or "." are
@@ -19,6 +22,7 @@ left out. Paths are opened by pyarrow, on every executor.
 from __future__ import annotations
 
 import codecs
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -26,8 +30,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from textrine.sources.scratch import Scratch
-
 #: Bytes of a range, bytes that are decoded at once, characters of a piece.
 SPLIT, READ, PIECE = 64 << 20, 1 << 20, 1 << 20
 
@@ -110,6 +112,8 @@ class PieceReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.encoding = options["path"], options.get("encoding", "UTF-8")
         self.split, self.piece = int(options.get("split", SPLIT)), int(options.get("piece", PIECE))
+        # of each path the characters before its ranges, but for those without any
+        self.starts = {path: dict(starts) for path, starts in json.loads(options["starts"]).items()} if "starts" in options else None
 
     def partitions(self):
         from pyarrow import fs
@@ -146,10 +150,16 @@ class PieceReader(DataSourceReader):
                 else:
                     a = max(mark, character_start(f, begin, size, kind, codec, end))
                     b = max(mark, character_start(f, end, size, kind, codec, size))
-                for k, piece in enumerate(self.decoded(f, a, b, codec)):
-                    yield path, begin, k, piece
+                if self.starts is None:
+                    at, pieces = 0, self.decoded(f, a, b, codec)
+                else:
+                    start = self.starts.get(path, {}).get(begin, 0)
+                    at, pieces = start + -start % self.piece, self.aligned(f, a, b, size, codec, start)
+                for k, piece in enumerate(pieces):
+                    yield path, begin, k, piece, at
+                    at += len(piece)
                 if size <= mark:
-                    yield path, begin, 0, ""
+                    yield path, begin, 0, "", 0
 
     def decoded(self, f, a: int, b: int, codec: str):
         """The characters of bytes a to b, ``piece`` at a time."""
@@ -167,6 +177,28 @@ class PieceReader(DataSourceReader):
         if held:
             yield held
 
+    def aligned(self, f, a: int, b: int, size: int, codec: str, start: int):
+        """The file's pieces of ``piece`` characters that begin in bytes a to b, before which it has ``start`` characters; the last is read to its end."""
+        decoder, held, skip, at = codecs.getincrementaldecoder(codec)("strict"), "", -start % self.piece, a
+        f.seek(a)
+        while at < size and (at < b or held):
+            beyond = at >= b
+            some = f.read(min(READ, (size if beyond else b) - at))
+            at += len(some)
+            if not some:
+                raise EOFError("a file became shorter")
+            held += decoder.decode(some, at >= size)
+            done = min(skip, len(held))
+            skip -= done
+            while len(held) - done >= self.piece:
+                yield held[done : done + self.piece]
+                done += self.piece
+                if beyond:
+                    return
+            held = held[done:]
+        if held:
+            yield held
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -210,14 +242,14 @@ class TextWriter(DataSourceWriter):
 
 
 class EncodedText(DataSource):
-    """``format("encoded_text")``: options path, encoding; split and piece to read, end (of each row) to write."""
+    """``format("encoded_text")``: options path, encoding; split, piece and starts to read, end (of each row) to write."""
 
     @classmethod
     def name(cls):
         return "encoded_text"
 
     def schema(self):
-        return "path string, range long, part long, piece string"
+        return "path string, range long, part long, piece string, at long"
 
     def reader(self, schema):
         return PieceReader(self.options)
@@ -237,28 +269,32 @@ def write_texts(texts: DataFrame, path: str, encoding: str = "UTF-8", end: str =
     texts.select("text").write.format("encoded_text").mode("append").option("path", path).option("encoding", encoding).option("end", end).save()
 
 
-def read_pieces(spark: SparkSession, path: str, encoding: str = "UTF-8", split: int = 0, piece: int = 0) -> DataFrame:
-    """path, range, part, piece of all files under ``path``; in this order the pieces are the files' texts."""
+def read_pieces(spark: SparkSession, path: str, encoding: str = "UTF-8", split: int = 0, piece: int = 0, starts: dict | None = None) -> DataFrame:
+    """path, range, part, piece, at of all files under ``path``; in this order the pieces are the files' texts.
+
+    ``at`` is the characters before a piece in its range. With ``starts`` (of ``range_starts``) it is those in
+    its file, and the pieces are the file's from its begin on, each in the range where it begins.
+    """
     spark.dataSource.register(EncodedText)
     reader = spark.read.format("encoded_text").option("path", path).option("encoding", encoding)
+    if starts is not None:
+        reader = reader.option("starts", json.dumps({p: list(x.items()) for p, x in starts.items()}))
     return reader.option("split", split or SPLIT).option("piece", piece or PIECE).load()
 
 
-def numbered(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ``begin``, the characters of its file before each.
+def range_starts(pieces: DataFrame) -> dict[str, dict[int, int]]:
+    """Of each path the characters before its ranges, but for those without any.
 
-    Counts are summed by range, so that a file's window has a row for each range; pieces
-    should be a written table, as they are read for the counts and for the result.
+    The driver holds a number for each range, as it does to plan the reading.
     """
-    from pyspark.sql import Window
-
-    sizes = pieces.select("path", "range", "part", F.length("piece").cast("long").alias("n"))
-    totals = sizes.groupBy("path", "range").agg(F.sum("n").alias("n"))
-    file = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("path", "range", F.coalesce(F.sum("n").over(file), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("path", "range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    with_inside = pieces.withColumn("before", F.coalesce(F.sum(F.length("piece").cast("long")).over(inside), F.lit(0)))
-    return with_inside.join(starts, ["path", "range"]).select("path", "range", "part", (F.col("start") + F.col("before")).alias("begin"), "piece")
+    counts = pieces.groupBy("path", "range").agg(F.sum(F.length("piece").cast("long")).alias("n")).where("n > 0")
+    out, before, last = {}, 0, None
+    for path, begin, n in sorted(map(tuple, counts.collect())):
+        before, last = before if path == last else 0, path
+        if before:
+            out.setdefault(path, {})[begin] = before
+        before += n
+    return out
 
 
 def file_pieces(spark: SparkSession, path: str, encoding: str = "UTF-8", size: int = 0, split: int = 0) -> DataFrame:
@@ -267,11 +303,6 @@ def file_pieces(spark: SparkSession, path: str, encoding: str = "UTF-8", size: i
     ``large.Index`` takes them, so that a file of any size is indexed without a task that holds it.
     """
     size = size or PIECE
-    read = Scratch(spark, "files").keep(read_pieces(spark, path, encoding, split, size), "pieces")
-    at = numbered(read).withColumn("n", F.length("piece"))
-    # a piece is no longer than a cell, so that it lies in two at most
-    cells = at.withColumn("cell", F.explode(F.expr(f"sequence(begin div {size}, greatest(begin, begin + n - 1) div {size})")))
-    shift = (F.col("cell") * size - F.col("begin")).cast("int")
-    part = F.substring("piece", F.greatest(shift, F.lit(0)) + 1, F.least(shift + size, F.lit(size)))
-    whole = cells.select("path", "cell", F.struct("begin", part.alias("text")).alias("p")).groupBy("path", "cell").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return whole.select(F.xxhash64("path").alias("doc_id"), F.col("cell").alias("seq"), (F.col("cell") * size).alias("begin"), F.array_join("p.text", "").alias("piece"))
+    starts = range_starts(read_pieces(spark, path, encoding, split))
+    at = read_pieces(spark, path, encoding, split, size, starts)
+    return at.select(F.xxhash64("path").alias("doc_id"), F.expr(f"at div {size}").alias("seq"), F.col("at").alias("begin"), "piece")

@@ -27,7 +27,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        """All tables of this scratch go."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+    def drop(self, folder: str = "") -> None:
+        """All tables of this scratch go, or what is in one folder of it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}" if folder else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
