@@ -10,7 +10,7 @@ from tests.naive import implicit, tree
 from textrine.operators import navigate, partitions, traverse, trees, windows
 from textrine.options import Options, combinations
 from textrine.plans.kernel import SuffixTrees
-from textrine.queries import build
+from textrine.queries import QUERIES, build
 
 COLUMNS = ("parent", "parent_depth", "child", "child_depth", "suffix_link")
 
@@ -273,3 +273,18 @@ def test_suffixes_of_one_row_group_and_one_long_text_go_to_many_tasks(spark, tmp
     assert dict(rows.dtypes) == {"doc_id": "bigint", "node_id": "int", "depth": "int"}
     shares = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) > 2 and max(shares) < 0.5 * len(want)
+
+
+def test_packed_edges_need_fewer_bytes(spark, tmp_path):
+    """The same rows in another order, and a file that is smaller by a tenth at least."""
+    short = spark.createDataFrame([(1, "banana"), (2, "aaaa"), (None, "aab"), (None, ""), (7, None), (7, "x$"), (8, "é\U0001f600é")], "doc_id long, text string")
+    for labels in (False, True):
+        plain, packed = (trees.edges(short, labels=labels, packed=p) for p in (False, True))
+        assert plain.schema == packed.schema
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, packed.collect()))
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    size = {}
+    for name, df in {"plain": trees.edges(whole, labels=False), "packed": QUERIES["documents_edges"](spark, "/root/testdata/sf0.001")}.items():
+        df.write.parquet(str(tmp_path / name))
+        size[name] = sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet"))
+    assert size["packed"] < 0.9 * size["plain"]

@@ -59,8 +59,8 @@ def spread(texts: DataFrame) -> DataFrame:
     return texts.repartition(4 * cores, "doc_id", "text") if LITTLE <= size < SHARE * cores else texts
 
 
-def per_batch(texts: DataFrame, make, schema: str) -> DataFrame:
-    """``make(texts)`` -> dict of arrays with ``doc`` (text number) for groups of texts.
+def per_batch(texts: DataFrame, make, schema: str, by_length: bool = False) -> DataFrame:
+    """``make(texts)`` -> dict of arrays with ``doc`` (text number) for groups of texts, with ``by_length`` of similar length.
 
     Ids are carried as they are: a text with a null id is indexed like any other and its
     rows have a null id, and each of two texts with one id has its own rows. Operators
@@ -84,7 +84,8 @@ def per_batch(texts: DataFrame, make, schema: str) -> DataFrame:
                     part = {"doc_id": doc_ids, **out}
                     yield pa.RecordBatch.from_arrays([x if isinstance(x := part[k][lo : lo + 200_000], pa.Array) else pa.array(x, types[k]) for k in names], names)
 
-    return spread(texts.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())).mapInArrow(run, schema)
+    dealt = spread(texts.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()))
+    return (dealt.sortWithinPartitions(F.length("text")) if by_length else dealt).mapInArrow(run, schema)
 
 
 def suffix_array(texts: DataFrame) -> DataFrame:
@@ -111,9 +112,12 @@ def nodes(texts: DataFrame) -> DataFrame:
     return per_batch(texts, make, "doc_id long, node_id int, depth int, head_position int, leftmost int, suffix_link int, parent int, n_children int")
 
 
-def edges(texts: DataFrame, labels: bool = True) -> DataFrame:
+def edges(texts: DataFrame, labels: bool = True, packed: bool = False) -> DataFrame:
     """Edges in traversal order: parent and child with depths, label, suffix link.
 
+    ``packed`` is for tables that are written: rows of a group of texts of similar length come by
+    child, so that columnar files need fewer bytes for them; ``ord`` has the traversal's order.
+
     Labels end with "$" at leaves, which is how the terminator is shown; an edge is the
     terminator alone if it leads to a leaf one deeper, whatever letters the text has. Without ``labels`` only their length is made,
     which keeps the output linear in the text.
@@ -123,14 +127,17 @@ def edges(texts: DataFrame, labels: bool = True) -> DataFrame:
         e = SuffixTrees(rows).edges()
         out = {k: e[k] for k in ("doc", "ord", "parent", "parent_depth", "child", "child_depth", "suffix_link", "start")}
         out["label_len"] = e["child_depth"] - e["parent_depth"]
+        if packed:
+            order = np.lexsort((out["doc"], np.abs(out["child"]), out["child"] < 0))
+            out = {k: x[order] for k, x in out.items()}
         if labels:
             ended = [t + "$" for t in rows]
-            a = e["start"] - 1 + e["parent_depth"]
-            out["label"] = [ended[d][x:y] for d, x, y in zip(e["doc"].tolist(), a.tolist(), (a + out["label_len"]).tolist())]
+            a = out["start"] - 1 + out["parent_depth"]
+            out["label"] = [ended[d][x:y] for d, x, y in zip(out["doc"].tolist(), a.tolist(), (a + out["label_len"]).tolist())]
         return out
 
     schema = "doc_id long, ord int, parent int, parent_depth int, child int, child_depth int, suffix_link int, start int, label_len int"
-    out = per_batch(texts, make, schema + (", label string" if labels else ""))
+    out = per_batch(texts, make, schema + (", label string" if labels else ""), by_length=packed)
     return out.withColumn("letter", F.substring("label", 1, 1)) if labels else out
 
 

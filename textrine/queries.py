@@ -199,7 +199,7 @@ def large_edges(spark, sf_dir):
 
 @query()
 def documents_edges(spark, sf_dir):
-    return trees.edges(docs(spark, sf_dir), labels=False)
+    return trees.edges(docs(spark, sf_dir), labels=False, packed=True)
 
 
 @query(tree() + "SELECT doc_id, child AS node_id, parent FROM ed")
